@@ -92,7 +92,7 @@ def _features_sql(source: str, keys: str, n: str, frame_rows: str | None) -> str
 
 
 def _ema_list(span: int) -> str:
-    return f"list_reduce(closes, (a, x) -> a + (x - a) * 2 / {span + 1})"
+    return f"list_reduce(closes, lambda a, x: a + (x - a) * 2 / {span + 1})"
 
 
 _NAMES = ", ".join(f"round({name}, 6) AS {name}" for name in W.FEATURES)
@@ -103,7 +103,7 @@ _FINISH = f"""SELECT *, sk * (n - 2) / sqrt(n * (n - 1)) AS skew_close, skr * (n
     CASE WHEN n < 15 THEN 50 ELSE 100 - 100 / (1 + coalesce(gain, 0) / coalesce(loss, 1)) END AS rsi,
     CASE WHEN n < 26 THEN 0 ELSE {_ema_list(12)} - {_ema_list(26)} END AS macd"""
 _W9_SQL = (
-    _NUMBERED.replace("AS prev_close FROM candles)", "AS prev_close FROM candles)")
+    _NUMBERED
     + ", m AS (SELECT symbol, open_time, i - 1 AS i, high, low, close, volume, ln(close) - ln(prev_close) AS ret, close - prev_close AS delta FROM n), g AS ("
     + _features_sql("m", "symbol", "30", "30")
     + f"), f AS ({_FINISH} FROM g WHERE i >= 30) SELECT symbol, open_time, {_NAMES} FROM f"

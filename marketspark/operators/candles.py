@@ -110,10 +110,17 @@ def scan_for_chart(
     return C.ohlcv_result(newest(in_open_range(for_symbol(df, symbol), start_ms, end_ms), limit), interval)
 
 
-def last_bars(df: DataFrame, keys: Sequence[str], n: int = 60, time: str = "open_time") -> DataFrame:
-    """The newest ``n`` bars per key. Spark keeps at most n per key and task before the shuffle."""
-    newest_first = Window.partitionBy(*keys).orderBy(F.desc(time))
-    return df.withColumn("_rank", F.row_number().over(newest_first)).filter(F.col("_rank") <= n).drop("_rank")
+def last_bars(
+    df: DataFrame, keys: Sequence[str], n: int = 60, time: str | Sequence[str] = "open_time", rank: str | None = None
+) -> DataFrame:
+    """The newest ``n`` bars per key, 1 = newest in ``rank`` if asked.
+
+    Spark keeps at most n rows per key and task before the shuffle.
+    """
+    times = [time] if isinstance(time, str) else time
+    newest_first = Window.partitionBy(*keys).orderBy(*[F.desc(t) for t in times])
+    out = df.withColumn("_newest", F.row_number().over(newest_first)).filter(F.col("_newest") <= n)
+    return out.withColumnRenamed("_newest", rank) if rank else out.drop("_newest")
 
 
 def training_rows(df: DataFrame, symbol: str, limit: int = 10_000) -> DataFrame:

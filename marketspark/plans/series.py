@@ -29,16 +29,15 @@ def candlestick_series(df: DataFrame, symbol: str | None = None, date_range: Seq
 def volume_series(df: DataFrame, symbol: str | None = None, date_range: Sequence | None = None) -> DataFrame:
     """Volume split by candle direction, with the mean of the whole selection on every row."""
     rows = chart_rows(df, symbol, date_range, sort=False)
-    mean = rows.agg(F.avg("volume").alias("mean_volume"))  # exactly one row
+    mean = rows.agg(F.avg("volume")).scalar()
     up = C.direction() == "up"
     return (
-        rows.crossJoin(F.broadcast(mean))
-        .select(
+        rows.select(
             "symbol",
             "close_datetime",
             F.when(up, F.col("volume")).alias("volume_up"),
             F.when(~up, F.col("volume")).alias("volume_down"),
-            "mean_volume",
+            mean.alias("mean_volume"),
         )
         .orderBy("close_datetime", "symbol")
     )

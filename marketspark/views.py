@@ -136,7 +136,7 @@ _SQL = {
   FROM (SELECT DISTINCT symbol, exchange FROM quotes),
        (VALUES (100.0::DOUBLE, 'above'), (5.0::DOUBLE, 'below')) r(threshold, condition))""",
     "points": """points AS (
-  SELECT vec_id AS id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS v FROM embeddings)""",
+  SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)""",
 }
 _NEEDS = {"candles": ["quotes", "candles"], "rules": ["quotes", "rules"]}
 
