@@ -120,19 +120,21 @@ def crossings(quotes: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def _part_seconds(rows: DataFrame, target: int) -> int:
-    """Width of a time part that keeps every (rule, part) group near ``target`` rows, checked by counting."""
+def _part_width(rows: DataFrame, target: int) -> int:
+    """Width in microseconds of time parts with at most about ``target`` rows per rule, checked by counting.
+
+    0 means that every rule's whole history is already within the target.
+    """
     facts = rows.groupBy(*RULE_KEY).agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("a"), F.max("_at").alias("b"))
     most, low, high = facts.agg(F.max("n"), F.min("a"), F.max("b")).first()
-    if not most:
-        return 1
-    seconds = (high - low) // 1_000_000 + 1
-    while most > target and seconds > 1:
-        seconds = max(1, int(seconds * target / most))
-        part = F.expr(f"_at div {seconds * 1_000_000}L")
+    if not most or most <= target:
+        return 0
+    width = high - low + 1
+    while most > target and width > 1:
+        width = max(1, width * target // most)
+        part = F.expr(f"_at div {width}L")
         most = rows.groupBy(*RULE_KEY, part.alias("p")).count().agg(F.max("count")).first()[0]
-    # One part for everything must not be cut by a multiple of its own width.
-    return seconds if most > target or seconds * 1_000_000 <= high - low else 0
+    return width
 
 
 def replay(
@@ -152,8 +154,8 @@ def replay(
     for few parts after it, as the next fire replaces it.
     """
     rows = settle(crossings(quotes, rules))
-    seconds = part_seconds if part_seconds is not None else _part_seconds(rows, part_rows)
-    part = F.expr(f"_at div {seconds * 1_000_000}L") if seconds else F.lit(0).cast("bigint")
+    width = part_seconds * 1_000_000 if part_seconds is not None else _part_width(rows, part_rows)
+    part = F.expr(f"_at div {width}L") if width else F.lit(0).cast("bigint")
     rows = rows.withColumn("_part", part)
     cooldown = cooldown_seconds * 1_000_000
     keys = [*RULE_KEY, "_part"]
@@ -177,9 +179,10 @@ def replay(
     parts = settle(evaluate(no_entry))
     earlier = Window.partitionBy(*RULE_KEY).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     leaves = F.when(F.size("_fires") > 0, F.try_element_at("_fires", F.lit(-1)))
-    while seconds:
+    while width:
         # One row per part here: entry state = last fire of any earlier part.
-        linked = parts.withColumn("_from", F.last(leaves, ignorenulls=True).over(earlier))
+        ends = parts.select(*keys, "_in_at", "_in_price", leaves.alias("_left"))
+        linked = ends.withColumn("_from", F.last("_left", ignorenulls=True).over(earlier))
         wrong = linked.filter(
             ~(F.col("_from.at").eqNullSafe(F.col("_in_at")) & F.col("_from.price").eqNullSafe(F.col("_in_price")))
         ).select(*keys, F.col("_from.at").alias("_in_at"), F.col("_from.price").alias("_in_price"))
