@@ -8,7 +8,7 @@ from marketspark.catalog.base import query, rounded
 from marketspark.functions import candles as C
 from marketspark.functions import parse
 from marketspark.operators import candles as O
-from marketspark.views import HOUR_MS, candles, quotes, rules, sentiment, table, with_views
+from marketspark.views import HOUR_MS, candles, quotes, rules, stored_candles, table, with_views
 
 CANDLES = with_views("candles")
 QUOTES = with_views("quotes")
@@ -19,13 +19,17 @@ DERIVED_SQL = """close - open AS price_change,
   CASE WHEN low <> 0 THEN round((high - low) / low * 100, 4) ELSE 0 END AS high_low_spread_pct"""
 
 
-def chart_table(spark, sf_dir):
+def typed_times(bars):
     """Candles as the chart client holds them: typed open and close times."""
-    return candles(spark, sf_dir).withColumns(
+    return bars.withColumns(
         {"open_datetime": C.ms_to_timestamp("open_time"), "close_datetime": C.ms_to_timestamp("close_time")}
     )
 
 
+def chart_table(spark, sf_dir):
+    return typed_times(candles(spark, sf_dir))
+
+
 def doubled(spark, sf_dir):
     """Candles with a second copy of every seventh hour, as a feed without keys would store them."""
     bars = candles(spark, sf_dir).withColumn("seq", F.lit(1))
@@ -336,7 +340,7 @@ def _(spark, sf_dir):
   WHERE open_time - previous_open_time > {HOUR_MS}""",
 )
 def _(spark, sf_dir):
-    return O.gaps(candles(spark, sf_dir), HOUR_MS)
+    return O.gaps(stored_candles(spark, sf_dir), HOUR_MS)
 
 
 # ---- aggregates ----------------------------------------------------------------------------
@@ -425,7 +429,7 @@ def _(spark, sf_dir):
   WHERE c.open_time > coalesce(m, {END} - 900000)""",
 )
 def _(spark, sf_dir):
-    bars = candles(spark, sf_dir)
+    bars = stored_candles(spark, sf_dir)
     stored = bars.filter((F.col("open_time") <= START) & (F.col("symbol") != "view"))
     return O.new_rows(bars, stored, END).select("symbol", "open_time", "close")
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketspark.catalog.base import query, rounded
-from marketspark.catalog.candles import CANDLES, chart_table
+from marketspark.catalog.candles import CANDLES, chart_table, typed_times
 from marketspark.operators import candles as O
 from marketspark.operators import features as W
 from marketspark.operators import indicators as I
 from marketspark.plans import series
-from marketspark.views import candles, quotes, with_views
+from marketspark.views import quotes, stored_candles, with_views
 
 _NUMBERED = CANDLES + """, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time) AS i,
   lag(close) OVER (PARTITION BY symbol ORDER BY open_time) AS prev_close FROM candles)"""
@@ -28,18 +28,18 @@ _ATR_SQL = _NUMBERED + f""", t AS (SELECT symbol, i, open_time, close_time, {_TR
 
 @query("w1_ema", _EMAS_SQL + " SELECT symbol, open_time, ema_9, ema_21, ema_50, ema_200 FROM emas")
 def _(spark, sf_dir):
-    out = I.close_emas(candles(spark, sf_dir)).select("symbol", "open_time", "ema_9", "ema_21", "ema_50", "ema_200")
+    out = I.close_emas(stored_candles(spark, sf_dir)).select("symbol", "open_time", "ema_9", "ema_21", "ema_50", "ema_200")
     return rounded(out, "ema_9", "ema_21", "ema_50", "ema_200")
 
 
 @query("w2_true_range", _NUMBERED + f" SELECT symbol, open_time, round({_TRUE_RANGE}, 6) AS true_range FROM n")
 def _(spark, sf_dir):
-    return rounded(I.true_range(candles(spark, sf_dir)).select("symbol", "open_time", "true_range"), "true_range")
+    return rounded(I.true_range(stored_candles(spark, sf_dir)).select("symbol", "open_time", "true_range"), "true_range")
 
 
 @query("w3_atr", _ATR_SQL + " SELECT symbol, open_time, round(atr, 6) AS atr FROM a")
 def _(spark, sf_dir):
-    return rounded(I.atr(candles(spark, sf_dir)).select("symbol", "open_time", "atr"), "atr")
+    return rounded(I.atr(stored_candles(spark, sf_dir)).select("symbol", "open_time", "atr"), "atr")
 
 
 @query(
@@ -55,19 +55,19 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     sizes = (3, 5, 10, 20, 30)
     out = I.moving_averages(
-        I.in_order(candles(spark, sf_dir)), ["symbol"], {f"sma_{k}": ("close", k) for k in sizes}
+        I.in_order(stored_candles(spark, sf_dir)), ["symbol"], {f"sma_{k}": ("close", k) for k in sizes}
     )
     return rounded(out.select("symbol", "open_time", *[f"sma_{k}" for k in sizes]), *[f"sma_{k}" for k in sizes])
 
 
 @query("w6_simple_return", _NUMBERED + " SELECT symbol, open_time, round(coalesce(close / prev_close - 1, 0), 6) AS ret FROM n")
 def _(spark, sf_dir):
-    return rounded(I.simple_returns(candles(spark, sf_dir)).select("symbol", "open_time", "ret"), "ret")
+    return rounded(I.simple_returns(stored_candles(spark, sf_dir)).select("symbol", "open_time", "ret"), "ret")
 
 
 @query("w11_log_return", _NUMBERED + " SELECT symbol, open_time, round(ln(close) - ln(prev_close), 6) AS log_return FROM n")
 def _(spark, sf_dir):
-    return rounded(I.log_returns(candles(spark, sf_dir)).select("symbol", "open_time", "log_return"), "log_return")
+    return rounded(I.log_returns(stored_candles(spark, sf_dir)).select("symbol", "open_time", "log_return"), "log_return")
 
 
 def _features_sql(source: str, keys: str, n: str, frame_rows: str | None) -> str:
@@ -112,7 +112,7 @@ _W9_SQL = (
 
 @query("w9_rolling_features", _W9_SQL)
 def _(spark, sf_dir):
-    return rounded(W.rolling_features(candles(spark, sf_dir)), *W.FEATURES)
+    return rounded(W.rolling_features(stored_candles(spark, sf_dir)), *W.FEATURES)
 
 
 def minute_bars(spark, sf_dir):
@@ -149,7 +149,7 @@ def _(spark, sf_dir):
     _EMAS_SQL + " SELECT symbol, make_timestamp(close_time * 1000) AS close_datetime, close, ema_9, ema_21, ema_50, ema_200 FROM emas",
 )
 def _(spark, sf_dir):
-    return rounded(series.line_series(chart_table(spark, sf_dir)), "ema_9", "ema_21", "ema_50", "ema_200")
+    return rounded(series.line_series(typed_times(stored_candles(spark, sf_dir))), "ema_9", "ema_21", "ema_50", "ema_200")
 
 
 @query("c2_candlestick_series", CANDLES + " SELECT symbol, make_timestamp(close_time * 1000) AS close_datetime, open, high, low, close FROM candles")
@@ -163,13 +163,13 @@ def _(spark, sf_dir):
   CASE WHEN close > open THEN NULL ELSE volume END AS volume_down, round(avg(volume) OVER (), 6) AS mean_volume FROM candles""",
 )
 def _(spark, sf_dir):
-    return rounded(series.volume_series(chart_table(spark, sf_dir)), "mean_volume")
+    return rounded(series.volume_series(typed_times(stored_candles(spark, sf_dir))), "mean_volume")
 
 
 @query("c4_volatility_series", _ATR_SQL + " SELECT symbol, make_timestamp(close_time * 1000) AS close_datetime, round(atr, 6) AS atr FROM a")
 def _(spark, sf_dir):
     symbols = ["click", "error", "purchase", "signup", "view", "absent"]
-    return rounded(series.volatility_series(chart_table(spark, sf_dir), symbols), "atr")
+    return rounded(series.volatility_series(typed_times(stored_candles(spark, sf_dir)), symbols), "atr")
 
 
 def live_messages(spark, sf_dir):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketspark.operators.joins import join_small
-from marketspark.operators.ordered import latest_before, slot_of_ts
+from marketspark.operators.ordered import latest_before, slot_of_ts, sort_key
 from marketspark.session import settle
 
 RULE_KEY = ["symbol", "exchange", "threshold", "condition"]
@@ -20,7 +20,7 @@ MIN_MOVE = 100.0
 
 def latest_quotes(quotes: DataFrame) -> DataFrame:
     """Newest price per (exchange, symbol); shrinks to one row per key and task before the shuffle."""
-    when = F.struct("ts", "seq")
+    when = sort_key(quotes, ["ts", "seq"])
     return quotes.groupBy("exchange", "symbol").agg(
         F.max_by("price", when).alias("price"), F.max("ts").alias("ts")
     )

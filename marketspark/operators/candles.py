@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from marketspark.functions import candles as C
 from marketspark.functions.parse import parse_time
-from marketspark.operators.ordered import DAY_MS, ordered, slot_of_ms
+from marketspark.operators.ordered import DAY_MS, ordered, slot_of_ms, sort_key
 
 PRICES = ["open", "high", "low", "close"]
 
 
 def build_candles(ticks: DataFrame, keys: Sequence[str], seconds: int) -> DataFrame:
     """Tumbling candles from ticks (``ts``, ``seq``, ``price``, ``volume``); partial aggregation before the shuffle."""
-    when = F.struct("ts", "seq")
+    when = sort_key(ticks, ["ts", "seq"])
     return (
         ticks.groupBy(*keys, F.window("ts", f"{seconds} seconds").alias("_w"))
         .agg(

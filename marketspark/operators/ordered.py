@@ -32,6 +32,21 @@ def slot_of_ts(name: str, seconds: int = 3600) -> Column:
     return F.expr(f"unix_micros({name}) div {int(seconds) * 1_000_000}L")
 
 
+def sort_key(df: DataFrame, order: Sequence[str]) -> Column:
+    """One column that sorts like ``order``, for ``max_by`` and ``min_by``.
+
+    Kept numeric where the types allow: such aggregates run as hash aggregates, while a
+    struct key would make Spark sort all rows of a task first.
+    """
+    if len(order) == 1:
+        return F.col(order[0])
+    kinds = dict(df.dtypes)
+    if len(order) == 2 and kinds[order[0]] == "timestamp" and kinds[order[1]] in ("bigint", "int"):
+        high = F.unix_micros(order[0]).cast("decimal(18,0)") * F.expr("20000000000000000000BD")  # beyond any bigint range
+        return high + F.col(order[1]).cast("decimal(19,0)")
+    return F.struct(*order)
+
+
 def ordered(
     df: DataFrame,
     keys: Sequence[str],
@@ -46,19 +61,18 @@ def ordered(
     series, and ``slot`` must not decrease along it.
     """
     keys, order = list(keys), list(order)
-    now = F.struct(*[F.col(c) for c in previous]) if previous else F.lit(None).cast("boolean")
-    rows = df.withColumn("_slot", slot).withColumn("_now", now)
-    summary = [F.count(F.lit(1)).alias("_rows")]
-    if previous:
-        summary.append(F.max_by("_now", F.struct(*order)).alias("_now"))
-    slots = rows.groupBy(*keys, "_slot").agg(*summary)
+    rows = df.withColumn("_slot", slot).withColumns({f"_now_{c}": F.col(c) for c in previous})
+    key = sort_key(df, order)
+    slots = rows.groupBy(*keys, "_slot").agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.max_by(c, key).alias(f"_last_{c}") for c in previous]
+    )
     by_series = Window.partitionBy(*keys).orderBy("_slot")
     earlier = by_series.rowsBetween(Window.unboundedPreceding, -1)
     seeds = slots.select(
         *keys,
         "_slot",
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
-        *([F.lag("_now").over(by_series).alias("_now")] if previous else []),
+        *[F.lag(f"_last_{c}").over(by_series).alias(f"_now_{c}") for c in previous],
     )
     both = rows.withColumn("_before", F.lit(None).cast("bigint")).unionByName(seeds, allowMissingColumns=True)
     in_slot = Window.partitionBy(*keys, "_slot").orderBy(F.col("_before").isNull(), *order)
@@ -66,12 +80,8 @@ def ordered(
     out = both.withColumn(
         index, F.max("_before").over(from_seed) + F.row_number().over(in_slot).cast("bigint") - F.lit(2)
     )
-    if previous:
-        out = out.withColumn("_prev", F.lag("_now").over(in_slot))
-    out = out.filter(F.col("_before").isNull())
-    for name in previous:
-        out = out.withColumn(f"prev_{name}", F.col("_prev").getField(name))
-    return out.drop("_slot", "_now", "_before", "_prev")
+    out = out.withColumns({f"prev_{c}": F.lag(f"_now_{c}").over(in_slot) for c in previous})
+    return out.filter(F.col("_before").isNull()).drop("_slot", "_before", *[f"_now_{c}" for c in previous])
 
 
 def with_margin(
@@ -188,31 +198,39 @@ def latest_before(
     ``quote_order``. One shuffle on (keys, slot), no per-key group.
     """
     keys = list(keys)
-    found = F.struct(F.col(time).alias("at"), *[F.col(v) for v in values])
-    left = probes.withColumn("_quote", F.lit(None)).withColumn("_role", F.lit(2))
-    right = quotes.select(*keys, time, *quote_order, found.alias("_quote")).withColumn("_role", F.lit(1))
     ties = [f"_tie{i}" for i in range(len(quote_order))]
-    right = right.withColumnsRenamed(dict(zip(quote_order, ties)))
-    left = left.withColumn("_quote", F.lit(None).cast(right.schema["_quote"].dataType))
+    found = {f"_q_{v}": F.col(v) for v in values}
+    right = (
+        quotes.select(*keys, time, *quote_order, *values)
+        .withColumns({**found, "_q_at": F.col(time), "_role": F.lit(1)})
+        .drop(*values)
+        .withColumnsRenamed(dict(zip(quote_order, ties)))
+    )
+    left = probes.withColumn("_role", F.lit(2))
     rows = left.unionByName(right, allowMissingColumns=True).withColumn("_slot", slot)
+    key = F.when(F.col("_role") == 1, sort_key(rows, [time, *ties]))
+    carried = ["_q_at", *found]
     slots = rows.groupBy(*keys, "_slot").agg(
-        F.max_by("_quote", F.when(F.col("_role") == 1, F.struct(time, *ties))).alias("_last")
+        F.count_if(F.col("_role") == 1).alias("_n"), *[F.max_by(c, key).alias(c) for c in carried]
     )
     earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    whole = F.when(F.col("_n") > 0, F.struct(*carried))  # a quote may hold nulls and is still a quote
     seeds = slots.select(
-        *keys, "_slot", F.last("_last", ignorenulls=True).over(earlier).alias("_quote"), F.lit(0).alias("_role")
-    )
+        *keys, "_slot", F.last(whole, ignorenulls=True).over(earlier).alias("_seed"), F.lit(0).alias("_role")
+    ).filter(F.col("_seed").isNotNull()).select(*keys, "_slot", "_role", "_seed.*")
     scan = (
         Window.partitionBy(*keys, "_slot")
         .orderBy(F.col("_role") > 0, time, "_role", *ties)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
+    whole = F.when(F.col("_role") < 2, F.struct(*carried))
     out = (
         rows.unionByName(seeds, allowMissingColumns=True)
-        .withColumn("_found", F.last("_quote", ignorenulls=True).over(scan))
+        .withColumn("_found", F.last(whole, ignorenulls=True).over(scan))
         .filter(F.col("_role") == 2)
-        .withColumn(f"quote_{time}", F.col("_found.at"))
+        .drop(*carried)
+        .withColumn(f"quote_{time}", F.col("_found._q_at"))
     )
     for v in values:
-        out = out.withColumn(v, F.col("_found").getField(v))
-    return out.drop("_quote", "_role", "_slot", "_found", *ties)
+        out = out.withColumn(v, F.col("_found").getField(f"_q_{v}"))
+    return out.drop("_role", "_slot", "_found", *ties)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketspark.operators.features import FEATURES, MIN_ROWS, newest_features
@@ -162,12 +162,12 @@ def load_centroids(spark: SparkSession, path: str) -> list[list[float]] | None:
 def census(labelled: DataFrame, label: str = "label") -> DataFrame:
     """Rows per label, with the number of clusters and of outliers beside each."""
     sizes = labelled.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("size"))
-    facts = sizes.agg(
-        F.count_if(F.col("label") >= 0).alias("clusters"),
-        F.coalesce(F.sum(F.when(F.col("label") < 0, F.col("size"))), F.lit(0)).alias("outliers"),
-    )
-    return sizes.select(
-        "label", "size", facts.select("clusters").scalar().alias("clusters"), facts.select("outliers").scalar().alias("outliers")
+    every = Window.partitionBy(F.lit(0))  # one row per cluster here
+    return sizes.withColumns(
+        {
+            "clusters": F.count_if(F.col("label") >= 0).over(every),
+            "outliers": F.coalesce(F.sum(F.when(F.col("label") < 0, F.col("size"))).over(every), F.lit(0)),
+        }
     )
 
 

@@ -288,12 +288,13 @@ def score_texts(
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chain = [(provider, make())] + ([(fallback_provider, fallback())] if fallback else [])
         for part in parts:
-            answers: list = [None] * len(part)
+            texts = part[text].tolist()
+            answers: list = [None] * len(texts)
             for name, classifier in chain:
                 open_ = [i for i, a in enumerate(answers) if a is None]
                 for at in range(0, len(open_), batch):
                     block = open_[at : at + batch]
-                    for i, answer in zip(block, _classify([part[text].iloc[i] for i in block], classifier)):
+                    for i, answer in zip(block, _classify([texts[i] for i in block], classifier)):
                         if answer is not None and len(answer[0]) > 0:
                             answers[i] = (list(answer[0]), [float(s) for s in answer[1]], name)
             out = part[columns].copy()

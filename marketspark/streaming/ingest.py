@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from marketspark.functions.candles import live_result, with_derived
 from marketspark.functions.parse import closed_only, decode_candle, flatten_candle
 from marketspark.operators.candles import keep_one, last_minutes
+from marketspark.operators.ordered import sort_key
 
 
 def read_messages(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -70,9 +71,13 @@ def start_ingest(messages: DataFrame, table: str, quarantine: str, checkpoint: s
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        good, bad = split_batch(batch)
-        good.write.mode("overwrite").parquet(f"{table}/batch={number}")
-        bad.write.mode("overwrite").text(f"{quarantine}/batch={number}")
+        batch = batch.persist()
+        try:
+            good, bad = split_batch(batch)
+            good.write.mode("overwrite").parquet(f"{table}/batch={number}")
+            bad.write.mode("overwrite").text(f"{quarantine}/batch={number}")
+        finally:
+            batch.unpersist()
 
     return messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -137,7 +142,7 @@ def latest_frame(candles: DataFrame, arrival: Sequence[str] = ("ts",)) -> DataFr
 
 def candles_from_ticks(ticks: DataFrame, step: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
     """Tumbling candles of a tick stream; a window is emitted once the watermark passes it, later ticks are dropped."""
-    when = F.struct("ts", "seq")
+    when = sort_key(ticks, ["ts", "seq"])
     return (
         ticks.withWatermark("ts", lateness)
         .groupBy("symbol", F.window("ts", step).alias("_w"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketspark.operators.candles import build_candles
+from marketspark.session import new_path
 
 HOUR_MS = 3_600_000
 EXCHANGES = ["binance", "kraken", "bitmex", "bybit"]
@@ -43,6 +44,17 @@ def candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_candle_rows(build_candles(quotes(spark, sf_dir), ["symbol"], 3600))
 
 
+def stored_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hourly candles as a table of their own, for queries that read them more than once.
+
+    Otherwise every pass would read and aggregate the whole tape again.
+    """
+    path = new_path(spark, "candles")
+    bars = candles(spark, sf_dir)
+    bars.write.parquet(path)
+    return spark.read.schema(bars.schema).parquet(path)
+
+
 def as_candle_rows(bars: DataFrame, step_ms: int = HOUR_MS) -> DataFrame:
     return bars.select(
         "symbol",
