@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketspark.operators.joins import join_small
-from marketspark.operators.ordered import latest_before, slot_of_ts, sort_key
+from marketspark.operators.ordered import TICK_SLOT_SECONDS, latest_before, slot_of_ts, sort_key
 from marketspark.session import settle
 
 RULE_KEY = ["symbol", "exchange", "threshold", "condition"]
@@ -62,14 +62,14 @@ def fallback_prices(rules: DataFrame, quotes: DataFrame, default: Sequence[str]
     )
 
 
-def fresh_price(probes: DataFrame, quotes: DataFrame, keys: Sequence[str], ttl_seconds: float = 5, slot_seconds: int = 3600) -> DataFrame:
+def fresh_price(probes: DataFrame, quotes: DataFrame, keys: Sequence[str], ttl_seconds: float = 5, slot_seconds: int = TICK_SLOT_SECONDS) -> DataFrame:
     """Price from the newest earlier quote if it is younger than the time to live, else null."""
     found = latest_before(probes, quotes, keys, "ts", ["price"], slot_of_ts("ts", slot_seconds), ["seq"])
     age = (F.unix_micros("ts") - F.unix_micros("quote_ts")) / 1_000_000
     return found.withColumn("price", F.when(age < ttl_seconds, F.col("price")))
 
 
-def price_at(probes: DataFrame, quotes: DataFrame, keys: Sequence[str], slot_seconds: int = 3600) -> DataFrame:
+def price_at(probes: DataFrame, quotes: DataFrame, keys: Sequence[str], slot_seconds: int = TICK_SLOT_SECONDS) -> DataFrame:
     """Price known at each probe's time, however old."""
     return latest_before(probes, quotes, keys, "ts", ["price"], slot_of_ts("ts", slot_seconds), ["seq"])
 

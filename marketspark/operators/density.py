@@ -69,9 +69,13 @@ def core_distances(points: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> D
 
 
 def _prim(x: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spanning tree of the mutual-reachability graph, one row of distances at a time."""
+    """Spanning tree of the mutual-reachability graph, one row of distances at a time.
+
+    Equal weights are ordered by the lower, then the higher end, so that the tree is
+    unique and does not depend on how the points were dealt into blocks.
+    """
     n = len(x)
-    best, source = np.full(n, np.inf), np.zeros(n, dtype=int)
+    best, source = np.full(n, np.inf), np.full(n, n)
     done = np.zeros(n, dtype=bool)
     ends = np.zeros((n - 1, 2), dtype=int)
     weights = np.zeros(n - 1)
@@ -79,9 +83,12 @@ def _prim(x: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     for e in range(n - 1):
         done[at] = True
         d = np.maximum(np.sqrt(((x - x[at]) ** 2).sum(axis=1)), np.maximum(core, core[at]))
-        closer = ~done & (d < best)
+        closer = ~done & ((d < best) | ((d == best) & (at < source)))
         best[closer], source[closer] = d[closer], at
-        at = int(np.where(done, np.inf, best).argmin())
+        open_ = np.where(done, np.inf, best)
+        ties = np.flatnonzero(open_ == open_.min())
+        low, high = np.minimum(ties, source[ties]), np.maximum(ties, source[ties])
+        at = int(ties[np.lexsort((high, low))[0]])
         ends[e], weights[e] = (source[at], at), best[at]
     return ends[:, 0], ends[:, 1], weights
 

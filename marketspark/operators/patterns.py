@@ -86,7 +86,7 @@ def scale(df: DataFrame, columns: Sequence[str] = FEATURES) -> DataFrame:
 def fit_embedder(df: DataFrame, dim: int = 16, columns: Sequence[str] = FEATURES) -> Embedder:
     """Standardise, then principal components with the largest loading of each made positive."""
     columns = list(columns)
-    known = df.select(*columns).dropna()
+    known = settle(df.select(*columns).dropna())  # read by several passes below
     means, deviations = fit_scaler(known, columns)
     z = known.select(*[standard(F.col(c), m, s).alias(c) for c, m, s in zip(columns, means, deviations)])
     if z.limit(2).count() < 2:

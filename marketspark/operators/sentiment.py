@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType
 from marketspark.functions.sentiment import score
 from marketspark.operators.candles import last_bars
 from marketspark.operators.joins import join_small
-from marketspark.operators.ordered import CHUNK_ROWS, chunk_window, ordered, own_rows, slot_of_ts, with_margin
+from marketspark.operators.ordered import CHUNK_ROWS, TICK_SLOT_SECONDS, chunk_window, ordered, own_rows, slot_of_ts, with_margin
 
 WIDTHS = {"1h": "1 hour", "4h": "4 hours", "1d": "1 day"}
 # Price of a million tokens per provider.
@@ -206,7 +206,7 @@ def trend(df: DataFrame, window: int = 5) -> DataFrame:
     return facts.join(counts, "symbol")
 
 
-def moving_trend(df: DataFrame, window: int = 5, slot_seconds: int = 3600, size: int = CHUNK_ROWS) -> DataFrame:
+def moving_trend(df: DataFrame, window: int = 5, slot_seconds: int = TICK_SLOT_SECONDS, size: int = CHUNK_ROWS) -> DataFrame:
     """Moving averages of score and price at every record: the series behind ``trend``."""
     from marketspark.operators.indicators import moving_averages
 
