@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from marketspark.session import settle
 RULE_KEY = ["symbol", "exchange", "threshold", "condition"]
 COOLDOWN_SECONDS = 3600
 MIN_MOVE = 100.0
+PART_COOLDOWNS = 8
 
 
 def latest_quotes(quotes: DataFrame) -> DataFrame:
@@ -120,21 +122,16 @@ def crossings(quotes: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def _part_width(rows: DataFrame, target: int) -> int:
-    """Width in microseconds of time parts with at most about ``target`` rows per rule, checked by counting.
+def _part_width(rows: DataFrame, target: int, cooldown: int) -> int:
+    """Width in microseconds of the time parts; 0 where no rule has more than ``target`` rows.
 
-    0 means that every rule's whole history is already within the target.
+    A part spans several cooldowns, so that most of its outcome does not hang on its entry state.
     """
     facts = rows.groupBy(*RULE_KEY).agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("a"), F.max("_at").alias("b"))
     most, low, high = facts.agg(F.max("n"), F.min("a"), F.max("b")).first()
     if not most or most <= target:
         return 0
-    width = high - low + 1
-    while most > target and width > 1:
-        width = max(1, width * target // most)
-        part = F.expr(f"_at div {width}L")
-        most = rows.groupBy(*RULE_KEY, part.alias("p")).count().agg(F.max("count")).first()[0]
-    return width
+    return max((high - low + 1) * target // most, PART_COOLDOWNS * cooldown, 1)
 
 
 def replay(
@@ -145,51 +142,64 @@ def replay(
     part_seconds: int | None = None,
     part_rows: int = 500_000,
 ) -> DataFrame:
-    """Every alert that would have fired over stored quotes, in order, per rule.
+    """Every alert that would have fired over stored quotes, per rule.
 
-    The rule depends on its own past, so a rule's history is cut into time parts of bounded
-    size that run in parallel, each from a guessed entry state. A part whose guess turns out
-    to differ from what the parts before it leave behind runs again. Parts settle from the
-    earliest on, so the loop ends with the exact sequential result; an entry state matters
-    for few parts after it, as the next fire replaces it.
+    The rule depends on its own past, so a rule's history is cut into time parts that run in
+    parallel, each from a guessed entry state; a part is read in time order in small batches
+    and never held as a whole. A part whose guess differs from what the parts before it leave
+    behind runs again. Parts settle from the earliest on, so the loop ends with the exact
+    sequential result, after few rounds as long as parts are longer than the cooldown.
     """
     rows = settle(crossings(quotes, rules))
-    width = part_seconds * 1_000_000 if part_seconds is not None else _part_width(rows, part_rows)
-    part = F.expr(f"_at div {width}L") if width else F.lit(0).cast("bigint")
-    rows = rows.withColumn("_part", part)
     cooldown = cooldown_seconds * 1_000_000
+    width = part_seconds * 1_000_000 if part_seconds is not None else _part_width(rows, part_rows, cooldown)
+    part = F.expr(f"_at div {width}L") if width else F.lit(0).cast("bigint")
+    rows = rows.drop("ts").withColumn("_part", part)
     keys = [*RULE_KEY, "_part"]
-    result = "symbol string, exchange string, threshold double, condition string, _part bigint, _in_at bigint, _in_price double, _fires array<struct<at:bigint,seq:bigint,price:double>>"
-
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_at", "seq"])
-        at, price, seq = (group[c].to_numpy() for c in ("_at", "price", "seq"))
-        first = group.iloc[0]
-        entry = (None, None) if pd.isna(first["_in_at"]) else (int(first["_in_at"]), float(first["_in_price"]))
-        fired, _, _ = fire(at, price, *entry, cooldown, min_move)
-        fires = [{"at": int(at[i]), "seq": int(seq[i]), "price": float(price[i])} for i in fired]
-        return pd.DataFrame([[*key, entry[0], entry[1], fires]], columns=[*keys, "_in_at", "_in_price", "_fires"]).astype({"_in_at": "Int64"})
-
-    def evaluate(entries: DataFrame) -> DataFrame:
-        return join_small(rows.drop("ts"), entries, keys).groupBy(*keys).applyInPandas(run, result)
-
-    no_entry = rows.select(*keys).distinct().select(
-        "*", F.lit(None).cast("bigint").alias("_in_at"), F.lit(None).cast("double").alias("_in_price")
+    result = (
+        "symbol string, exchange string, threshold double, condition string, _part bigint, "
+        "_end boolean, _in_at bigint, _in_price double, at bigint, seq bigint, price double"
     )
-    parts = settle(evaluate(no_entry))
+
+    def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Fires of one part, then one end row with the entry state and the last fire."""
+        entry = state = seen = last = None
+        for batch in batches:
+            at, price = batch["_at"].to_numpy(), batch["price"].to_numpy()
+            if seen is None:
+                known = not pd.isna(batch["_in_at"].iloc[0])
+                entry = state = (int(batch["_in_at"].iloc[0]), float(batch["_in_price"].iloc[0])) if known else (None, None)
+            if (np.diff(at) < 0).any() or (seen is not None and at[0] < seen):
+                raise ValueError("a part must arrive in time order")
+            seen = at[-1]
+            fired, *state = fire(at, price, *state, cooldown, min_move)
+            if fired:
+                last = state
+                yield _rows(key, False, entry, at[fired], batch["seq"].to_numpy()[fired], price[fired])
+        end = last or (None, None)
+        yield _rows(key, True, entry, [end[0]], [None], [end[1]])
+
+    def _rows(key: tuple, end: bool, entry: tuple, at, seq, price) -> pd.DataFrame:
+        out = pd.DataFrame({"at": pd.array(at, "Int64"), "seq": pd.array(seq, "Int64"), "price": pd.array(price, "Float64")})
+        facts = dict(zip(keys, key)) | {"_end": end}
+        out = out.assign(**facts, _in_at=pd.array([entry[0]] * len(out), "Int64"), _in_price=pd.array([entry[1]] * len(out), "Float64"))
+        return out[[*keys, "_end", "_in_at", "_in_price", "at", "seq", "price"]]
+
+    def evaluate(rows: DataFrame) -> DataFrame:
+        in_order = rows.repartition(*keys).sortWithinPartitions(*keys, "_at", "seq")
+        return in_order.groupBy(*keys).applyInPandas(run, result)
+
+    unknown = {"_in_at": F.lit(None).cast("bigint"), "_in_price": F.lit(None).cast("double")}
+    done = settle(evaluate(rows.withColumns(unknown)))
     earlier = Window.partitionBy(*RULE_KEY).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    leaves = F.when(F.size("_fires") > 0, F.try_element_at("_fires", F.lit(-1)))
     while width:
-        # One row per part here: entry state = last fire of any earlier part.
-        ends = parts.select(*keys, "_in_at", "_in_price", leaves.alias("_left"))
-        linked = ends.withColumn("_from", F.last("_left", ignorenulls=True).over(earlier))
-        wrong = linked.filter(
-            ~(F.col("_from.at").eqNullSafe(F.col("_in_at")) & F.col("_from.price").eqNullSafe(F.col("_in_price")))
-        ).select(*keys, F.col("_from.at").alias("_in_at"), F.col("_from.price").alias("_in_price"))
-        wrong = settle(wrong)
+        # One end row per part: the right entry state is the last fire of any earlier part.
+        left = F.when(F.col("at").isNotNull(), F.struct("at", "price"))
+        linked = done.filter("_end").select(*keys, "_in_at", "_in_price", F.last(left, ignorenulls=True).over(earlier).alias("_from"))
+        same = F.col("_from.at").eqNullSafe(F.col("_in_at")) & F.col("_from.price").eqNullSafe(F.col("_in_price"))
+        wrong = settle(linked.filter(~same).select(*keys, F.col("_from.at").alias("_in_at"), F.col("_from.price").alias("_in_price")))
         if wrong.isEmpty():
             break
-        parts = settle(parts.join(wrong, keys, "left_anti").unionByName(evaluate(wrong)))
-    return parts.select(*RULE_KEY, F.inline("_fires")).select(
-        *RULE_KEY, F.timestamp_micros("at").alias("ts"), "seq", "price"
-    )
+        again = evaluate(join_small(rows, wrong, keys))
+        done = settle(done.join(wrong.select(*keys), keys, "left_anti").unionByName(again))
+    return done.filter(~F.col("_end")).select(*RULE_KEY, F.timestamp_micros("at").alias("ts"), "seq", "price")
