@@ -8,7 +8,7 @@ from marketspark.catalog.base import query, rounded
 from marketspark.catalog.indicators import minute_bars
 from marketspark.operators import density as D
 from marketspark.operators import patterns as M
-from marketspark.operators.features import rolling_features
+from marketspark.operators.features import FEATURES, rolling_features
 from marketspark.plans.training import train
 from marketspark.session import new_path
 from marketspark.views import candles, points, stored_candles, with_views
@@ -43,7 +43,7 @@ def _(spark, sf_dir):
 
 @query("m3_embedding")
 def _(spark, sf_dir):
-    rows = rolling_features(stored_candles(spark, sf_dir)).dropna()
+    rows = M.complete(rolling_features(stored_candles(spark, sf_dir)), FEATURES)
     out = M.fit_embedder(rows, 8).embed(rows)
     return out.select("symbol", "open_time", *[F.round(F.col("embedding").getItem(i), 6).alias(f"e{i}") for i in range(8)])
 
@@ -134,7 +134,7 @@ def _(spark, sf_dir):
 
 @query("s15_model_store")
 def _(spark, sf_dir):
-    rows = rolling_features(stored_candles(spark, sf_dir)).dropna()
+    rows = M.complete(rolling_features(stored_candles(spark, sf_dir)), FEATURES)
     path = new_path(spark, "embedder")
     M.fit_embedder(rows, 8).save(spark, path)
     out = M.Embedder.load(spark, path).embed(rows)

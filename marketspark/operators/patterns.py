@@ -77,6 +77,15 @@ def fit_scaler(df: DataFrame, columns: Sequence[str] = FEATURES) -> tuple[list[f
     return [float(v) for v in row[:k]], [float(v) for v in row[k:]]
 
 
+def complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows without a null or NaN in the columns; the input is computed once and stored.
+
+    Stored before the test because over a plan full of computed columns the optimizer would
+    restate a condition on many columns once for every combination of them.
+    """
+    return settle(df).dropna(subset=list(columns))
+
+
 def scale(df: DataFrame, columns: Sequence[str] = FEATURES) -> DataFrame:
     """Columns replaced by their standard scores; a constant column becomes 0."""
     means, deviations = fit_scaler(df, columns)
@@ -86,7 +95,7 @@ def scale(df: DataFrame, columns: Sequence[str] = FEATURES) -> DataFrame:
 def fit_embedder(df: DataFrame, dim: int = 16, columns: Sequence[str] = FEATURES) -> Embedder:
     """Standardise, then principal components with the largest loading of each made positive."""
     columns = list(columns)
-    known = settle(df.select(*columns).dropna())  # read by several passes below
+    known = complete(df.select(*columns), columns)
     means, deviations = fit_scaler(known, columns)
     z = known.select(*[standard(F.col(c), m, s).alias(c) for c, m, s in zip(columns, means, deviations)])
     if z.limit(2).count() < 2:

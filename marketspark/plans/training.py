@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from marketspark.operators.candles import training_rows
 from marketspark.operators.density import density_clusters
-from marketspark.operators.features import rolling_features
-from marketspark.operators.patterns import Embedder, fit_centroids, fit_embedder
+from marketspark.operators.features import FEATURES, rolling_features
+from marketspark.operators.patterns import Embedder, complete, fit_centroids, fit_embedder
 from marketspark.session import settle
 
 
@@ -31,7 +31,7 @@ def train(
     bars = training_rows(candles, symbol, limit).select(
         F.lit(symbol).alias("symbol"), F.unix_millis("timestamp").alias("open_time"), "open", "high", "low", "close", "volume"
     )
-    features = settle(rolling_features(bars, window).dropna())
+    features = complete(rolling_features(bars, window), FEATURES)
     embedder = fit_embedder(features, dim)
     embedded = settle(embedder.embed(features.withColumn("id", F.col("open_time"))).select("id", "embedding"))
     labels = density_clusters(embedded.select("id", F.col("embedding").alias("v")), min_cluster_size)

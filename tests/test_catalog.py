@@ -11,8 +11,8 @@ from tools.check import canon
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLE = entry_point.queries(), entry_point.oracle_sql()
-# The whole training job takes longest; tests/test_patterns.py covers it.
-SLOW = {"m7_detect", "m5_centroids"}
+# Fits and replays of many rounds take longest; test_patterns.py and test_alerts.py cover them.
+SLOW = {"m5_centroids", "m7_detect", "m8_training", "s15_model_store", "v4_custom_fold"}
 
 
 @pytest.fixture(scope="module")
