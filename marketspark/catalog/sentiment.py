@@ -173,12 +173,25 @@ def _(spark, sf_dir):
     return rounded(out.select("symbol", "sample_size", "spearman_correlation"), "spearman_correlation")
 
 
-@query("a7_p_values")
+# Student's t with whole degrees of freedom has a finite series: the chance of a smaller |t| at angle a = atan(t / sqrt(df)).
+_WITHIN = """CASE WHEN df % 2 = 1 THEN 2 / pi() * (a + CASE WHEN df > 1 THEN sin(a) * cos(a) * list_sum(list_transform(range(0, (df - 1) // 2),
+    lambda k: exp(k * ln(4) + 2 * lgamma(k + 1) - lgamma(2 * k + 2) + 2 * k * ln(cos(a))))) ELSE 0 END)
+  ELSE sin(a) * list_sum(list_transform(range(0, df // 2), lambda k: exp(lgamma(2 * k + 1) - k * ln(4) - 2 * lgamma(k + 1) + 2 * k * ln(cos(a))))) END"""
+_A7 = _PAIRS + f""", k AS (SELECT symbol, price, score, rank() OVER (PARTITION BY symbol ORDER BY price) + (count(*) OVER (PARTITION BY symbol, price) - 1) / 2 AS price_rank,
+    rank() OVER (PARTITION BY symbol ORDER BY score) + (count(*) OVER (PARTITION BY symbol, score) - 1) / 2 AS score_rank FROM p),
+  c AS (SELECT symbol, count(*) AS n, covar_pop(price, score) / nullif(stddev_pop(price) * stddev_pop(score), 0) AS pearson,
+    covar_pop(price_rank, score_rank) / nullif(stddev_pop(price_rank) * stddev_pop(score_rank), 0) AS spearman FROM k GROUP BY symbol),
+  u AS (SELECT symbol, n, 'pearson' AS kind, pearson AS r FROM c UNION ALL SELECT symbol, n, 'spearman', spearman FROM c),
+  w AS (SELECT symbol, n, kind, n - 2 AS df, abs(r) AS r, atan(abs(r) / sqrt(1 - r * r)) AS a FROM u)
+  SELECT symbol, n AS sample_size, round(max(CASE WHEN kind = 'pearson' THEN 1 - {_WITHIN} END), 6) AS pearson_p_value,
+    round(max(CASE WHEN kind = 'spearman' THEN 1 - {_WITHIN} END), 6) AS spearman_p_value FROM w GROUP BY symbol, n"""
+
+
+@query("a7_p_values", _A7)
 def _(spark, sf_dir):
     out = O.with_p_values(O.correlations(O.price_buckets(sentiment(spark, sf_dir))))
-    return rounded(
-        out, "pearson_correlation", "spearman_correlation", "pearson_p_value", "spearman_p_value"
-    )
+    out = out.select("symbol", "sample_size", "pearson_p_value", "spearman_p_value")
+    return rounded(out, "pearson_p_value", "spearman_p_value")
 
 
 @query(
@@ -323,7 +336,13 @@ def overlap_classifier(labels):
     return classify
 
 
-@query("v3_zero_shot")
+_SHARED = "CAST(len(list_intersect(list_distinct(string_split('{0}', '')), string_split(text, ''))) AS DOUBLE)"
+_ZERO_SHOT = SENTIMENT + ", z AS (SELECT seq, ['sharp drop','steady rise','news'] AS labels, [" + ", ".join(
+    _SHARED.format(label) for label in ("sharp drop", "steady rise", "news")
+) + "] AS scores FROM sentiment) SELECT seq, labels[list_position(scores, list_max(scores))] AS label, list_max(scores) AS confidence FROM z"
+
+
+@query("v3_zero_shot", _ZERO_SHOT)
 def _(spark, sf_dir):
     make = O.label_classifier(overlap_classifier, ["sharp drop", "steady rise", "news"])
     rows = O.score_texts(sentiment(spark, sf_dir).select("seq", "text"), "text", make)

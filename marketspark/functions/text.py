@@ -50,7 +50,8 @@ def with_pattern(message: Column, cluster: Column) -> Column:
 
 
 def is_sendable(message: Column) -> Column:
-    return F.length(F.regexp_replace(message, r"^\s+", "")) > 0
+    """Anything but white space (in any script) is left."""
+    return F.length(F.regexp_replace(message, r"^(?U)[\s\x1c-\x1f]+", "")) > 0
 
 
 def cut(message: Column) -> Column:

@@ -133,7 +133,7 @@ def ema(
     """Exponential moving averages, seeded with the first value, as a chunked prefix scan.
 
     ``outputs`` maps a new column to (value column, span, full): with ``full`` the first
-    span-1 values are null. The recurrence is linear, so a chunk's contribution to later
+    span-1 values are null. Values must not be null. The recurrence is linear, so a chunk's contribution to later
     chunks fades by a known factor: each chunk emits its end value to the few chunks that
     can still feel it, and no series-wide ordering step is needed.
     """

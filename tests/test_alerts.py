@@ -62,7 +62,13 @@ def test_parts_do_not_change_the_result(spark, rules, part_seconds):
             last = (minute, price)
             want.append(last)
     assert len(want) > 5
-    got = [f[2:] for f in fired(spark, rules, quotes, part_seconds=part_seconds)]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(key)
+    spark.conf.set(key, "16")  # a part arrives in many batches
+    try:
+        got = [f[2:] for f in fired(spark, rules, quotes, part_seconds=part_seconds)]
+    finally:
+        spark.conf.set(key, usual)
     assert got == want
 
 
@@ -115,6 +121,6 @@ def test_texts(spark):
 
 
 def test_message_hygiene(spark):
-    df = spark.createDataFrame([("",), ("  \n\t",), (None,), ("x" * 5000,), ("ok",)], "m string")
+    df = spark.createDataFrame([("",), ("  \n\t",), ("\u00a0\x1c",), (None,), ("x" * 5000,), ("ok",)], "m string")
     rows = df.filter(X.is_sendable(F.col("m"))).select(X.cut(F.col("m")).alias("m")).collect()
     assert sorted(len(r.m) for r in rows) == [2, 4096]
