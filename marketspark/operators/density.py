@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketspark.session import settle
+from marketspark.session import settle, ship_code
 
 BLOCK_ROWS = 2000
 REDUCE_WAYS = 8
@@ -45,6 +45,7 @@ def core_distances(points: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> D
 
     ``points`` has ``id`` and ``v``. Null where there are fewer than k points.
     """
+    ship_code(points.sparkSession)
     copies, _ = _block_pairs(points.select("id", "v"), block_rows)
 
     def nearest(group: pd.DataFrame) -> pd.DataFrame:

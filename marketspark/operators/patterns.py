@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketspark.operators.features import FEATURES, MIN_ROWS, newest_features
-from marketspark.session import settle
+from marketspark.session import settle, ship_code
 
 NOISE = -1
 
@@ -135,6 +135,7 @@ def nearest_centroid(df: DataFrame, centroids: Sequence[Sequence[float]] | None,
     """Append ``cluster_id`` (lowest index on ties, -1 without centroids or vector) and ``distance``."""
     if not centroids:
         return df.withColumns({"cluster_id": F.lit(NOISE), "distance": F.lit(None).cast("double")})
+    ship_code(df.sparkSession)
     table = np.asarray(centroids, dtype=float)
 
     def assign(vectors: pd.Series) -> pd.DataFrame:

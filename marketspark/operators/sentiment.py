@@ -15,6 +15,7 @@ from marketspark.functions.sentiment import score
 from marketspark.operators.candles import last_bars
 from marketspark.operators.joins import join_small
 from marketspark.operators.ordered import CHUNK_ROWS, TICK_SLOT_SECONDS, chunk_window, ordered, own_rows, slot_of_ts, with_margin
+from marketspark.session import ship_code
 
 WIDTHS = {"1h": "1 hour", "4h": "4 hours", "1d": "1 day"}
 # Price of a million tokens per provider.
@@ -149,6 +150,7 @@ def correlations(buckets: DataFrame) -> DataFrame:
 
 def with_p_values(result: DataFrame) -> DataFrame:
     """P-value columns on one row per symbol."""
+    ship_code(result.sparkSession)
     return result.withColumns(
         {
             "pearson_p_value": p_value("pearson_correlation", "sample_size"),
@@ -283,6 +285,7 @@ def score_texts(
     ``make`` builds the classifier once per partition. Texts without an answer go to the
     fallback, if there is one; if that fails too all three columns are null.
     """
+    ship_code(df.sparkSession)
     columns = df.columns
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +29,34 @@ def build_session(app: str = "marketspark", master: str | None = None, **conf: s
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_code(spark)
+    return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Functions that run in tasks are pickled by reference, so executors must be able to import
+    the package whether or not it is installed there.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(package):
+        archive = os.path.join(tempfile.mkdtemp(prefix="marketspark-code-"), "marketspark.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for folder, _, files in os.walk(package):
+                for name in sorted(files):
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        out.write(path, os.path.relpath(path, os.path.dirname(package)))
+        context.addPyFile(archive)
+    _shipped.add(context.applicationId)
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -53,5 +82,6 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def settle(df: DataFrame) -> DataFrame:
     """Compute once and cut lineage with a reliable checkpoint that outlives executors."""
+    ship_code(df.sparkSession)
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)

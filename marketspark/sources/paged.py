@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from marketspark.schemas import CANDLE_DDL
+from marketspark.session import ship_code
 
 PAGE_ROWS = 1000
 STEPS_MS = {"1m": 60_000, "3m": 180_000, "5m": 300_000, "15m": 900_000, "30m": 1_800_000, "1h": 3_600_000}
@@ -78,6 +79,7 @@ class PagedReader(DataSourceReader):
 
 def read_paged(spark, transport: str, symbols: list[str], start: int, end: int, interval: str = "15m", pages: int = 10, **settings: str):
     """Candles of several symbols over a closed range of open times, read page by page until caught up."""
+    ship_code(spark)
     spark.dataSource.register(PagedCandles)
     options = {"transport": transport, "symbols": ",".join(symbols), "start": str(start), "end": str(end), "interval": interval, "pages": str(pages)}
     options.update({f"set_{k}": v for k, v in settings.items()})

@@ -16,6 +16,7 @@ from marketspark.functions.sentiment import as_record, top_confidence, top_label
 from marketspark.operators.alerts import COOLDOWN_SECONDS, MIN_MOVE, RULE_KEY, crosses, fire
 from marketspark.operators.joins import BROADCAST_ROWS
 from marketspark.operators.sentiment import Classifier, score_texts
+from marketspark.session import ship_code
 
 FIRED_DDL = "symbol string, exchange string, threshold double, condition string, ts timestamp, seq bigint, price double"
 
@@ -29,6 +30,7 @@ def fired_alerts(
     the crossings of one micro-batch. Rows of a batch are put in time order; the stream is
     expected to be ordered across batches, as a topic partition is.
     """
+    ship_code(quotes.sparkSession)
     if rules.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         rules = F.broadcast(rules)
     crossed = (

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketspark.operators.candles import build_candles
-from marketspark.session import new_path
+from marketspark.session import new_path, ship_code
 
 HOUR_MS = 3_600_000
 EXCHANGES = ["binance", "kraken", "bitmex", "bybit"]
@@ -17,6 +17,7 @@ EXCHANGES = ["binance", "kraken", "bitmex", "bybit"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
