@@ -7,6 +7,17 @@ from pyspark.sql import functions as F
 
 from marketspark.schemas import KLINE_MSG_DDL
 
+# Status text of a live payload per kind of failure.
+STATUS = {
+    "missing": "WebSocket payload missing data field",
+    "unreadable": "Invalid WebSocket payload",
+    "no_object": "Unexpected WebSocket payload format",
+    "error": "WebSocket error: ",
+    "no_list": "Invalid WebSocket data format",
+    "empty": "No realtime data received",
+    "good": "WebSocket connected",
+}
+
 ROW_DDL = (
     "symbol string, close_datetime string, close double, volume double, open double, high double, low double"
 )
@@ -74,15 +85,15 @@ def decode_live(df: DataFrame, data: str = "data") -> DataFrame:
     parsed = df.withColumn("records", F.from_json(body, f"array<struct<{_struct(ROW_DDL)}>>"))
     error = F.get_json_object(text, "$.error")
     status = (
-        F.when(text.isNull(), "WebSocket payload missing data field")
-        .when(readable.isNull(), "Invalid WebSocket payload")
-        .when(~kind.startswith("OBJECT"), "Unexpected WebSocket payload format")
-        .when(error.isNotNull(), F.concat(F.lit("WebSocket error: "), error))
-        .when(body.isNull() | ~F.trim(body).startswith("["), "Invalid WebSocket data format")
-        .when(F.size("records") == 0, "No realtime data received")
-        .otherwise("WebSocket connected")
+        F.when(text.isNull(), STATUS["missing"])
+        .when(readable.isNull(), STATUS["unreadable"])
+        .when(~kind.startswith("OBJECT"), STATUS["no_object"])
+        .when(error.isNotNull(), F.concat(F.lit(STATUS["error"]), error))
+        .when(body.isNull() | ~F.trim(body).startswith("["), STATUS["no_list"])
+        .when(F.size("records") == 0, STATUS["empty"])
+        .otherwise(STATUS["good"])
     )
-    good = F.col("status") == "WebSocket connected"
+    good = F.col("status") == STATUS["good"]
     return parsed.withColumn("status", status).withColumn("records", F.when(good, F.col("records")))
 
 

@@ -14,6 +14,7 @@ def money(value: Column) -> Column:
     return F.concat(F.lit("$"), F.format_number(value, 2))
 
 
+# The layout of the three message parts below.
 def alert_text(symbol: Column, exchange: Column, price: Column, threshold: Column, condition: Column, at: Column) -> Column:
     lines = [
         F.lit("*Price Alert!*"),

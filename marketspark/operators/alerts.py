@@ -15,6 +15,7 @@ from marketspark.operators.ordered import TICK_SLOT_SECONDS, latest_before, slot
 from marketspark.session import settle
 
 RULE_KEY = ["symbol", "exchange", "threshold", "condition"]
+# Pause and least price move between two alerts of a rule.
 COOLDOWN_SECONDS = 3600
 MIN_MOVE = 100.0
 PART_COOLDOWNS = 8

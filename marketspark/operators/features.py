@@ -32,6 +32,7 @@ FEATURES = [
     "rsi",
     "macd",
 ]
+# Least rows for features, for RSI, and the two MACD spans; the year for volatility; the window.
 MIN_ROWS, RSI_ROWS, MACD_FAST, MACD_SLOW = 10, 15, 12, 26
 TRADING_DAYS = 252
 WINDOW = 30

@@ -18,6 +18,7 @@ from marketspark.operators.ordered import (
     with_margin,
 )
 
+# Spans of the chart's moving averages.
 EMA_SPANS = (9, 21, 50, 200)
 KEYS = ("symbol",)
 
