@@ -16,9 +16,10 @@ PRICES = ["open", "high", "low", "close"]
 
 def build_candles(ticks: DataFrame, keys: Sequence[str], seconds: int) -> DataFrame:
     """Tumbling candles from ticks (``ts``, ``seq``, ``price``, ``volume``); partial aggregation before the shuffle."""
-    when = sort_key(ticks, ["ts", "seq"])
+    when = "_when"  # a column of its own, so that it is computed once per tick
     return (
-        ticks.groupBy(*keys, F.window("ts", f"{seconds} seconds").alias("_w"))
+        ticks.withColumn(when, sort_key(ticks, ["ts", "seq"]))
+        .groupBy(*keys, F.window("ts", f"{seconds} seconds").alias("_w"))
         .agg(
             F.min_by("price", when).alias("open"),
             F.max("price").alias("high"),

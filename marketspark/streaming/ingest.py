@@ -10,8 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from marketspark.functions.candles import live_result, with_derived
 from marketspark.functions.parse import closed_only, decode_candle, flatten_candle
-from marketspark.operators.candles import keep_one, last_minutes
-from marketspark.operators.ordered import sort_key
+from marketspark.operators.candles import build_candles, keep_one, last_minutes
 
 
 def read_messages(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -140,19 +139,6 @@ def latest_frame(candles: DataFrame, arrival: Sequence[str] = ("ts",)) -> DataFr
     return keep_one(candles, ["symbol", "close_time"], arrival)
 
 
-def candles_from_ticks(ticks: DataFrame, step: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
+def candles_from_ticks(ticks: DataFrame, seconds: int = 3600, lateness: str = "10 minutes") -> DataFrame:
     """Tumbling candles of a tick stream; a window is emitted once the watermark passes it, later ticks are dropped."""
-    when = sort_key(ticks, ["ts", "seq"])
-    return (
-        ticks.withWatermark("ts", lateness)
-        .groupBy("symbol", F.window("ts", step).alias("_w"))
-        .agg(
-            F.min_by("price", when).alias("open"),
-            F.max("price").alias("high"),
-            F.min("price").alias("low"),
-            F.max_by("price", when).alias("close"),
-            F.sum("volume").alias("volume"),
-            F.count(F.lit(1)).alias("num_trades"),
-        )
-        .select("symbol", F.col("_w.start").alias("ts"), "open", "high", "low", "close", "volume", "num_trades")
-    )
+    return build_candles(ticks.withWatermark("ts", lateness), ["symbol"], seconds)
