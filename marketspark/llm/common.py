@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from marketspark.session import new_path, ship_code
@@ -111,7 +112,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
     """The batches cut so that one holds at most ``limit`` bytes of text, or one row."""
     for batch in batches:
         column = batch.column(text)
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
         ends = np.cumsum(sizes)
         at = 0
         while at < len(ends):
