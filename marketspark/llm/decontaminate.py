@@ -42,7 +42,7 @@ class Matcher:
         self.flags = np.zeros(1 << 20, dtype=bool)
         self.flags[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
         random = np.random.default_rng(seed)
-        self.rounds = [(np.uint64(random.integers(1, 1 << 63) * 2 + 1), np.sort(random.random(SAMPLES))) for _ in range(repetitions(recall))]
+        self.rounds = [(np.uint64(int(random.integers(1, 1 << 63)) * 2 + 1), np.sort(random.random(SAMPLES))) for _ in range(repetitions(recall))]
         classes: dict[int, list[int]] = {}
         for k, w in self.items:
             classes.setdefault(int(math.log(len(w), LADDER)), []).append(k)
@@ -106,9 +106,10 @@ class Matcher:
         near = [np.zeros((0, 2), dtype=np.int64)]
         begins = []
         for low, miss, _, _ in self.classes:
-            # No passage within the threshold has more words foreign to all items than it has edits.
-            behind = np.minimum(np.arange(total) + low, words.first[text + 1])
-            begins.append(np.flatnonzero(strange[behind] - strange[:-1] <= miss))
+            # No passage within the threshold has more words foreign to all items, or missing at the text's end, than edits.
+            wanted = np.arange(total) + low
+            behind = np.minimum(wanted, words.first[text + 1])
+            begins.append(np.flatnonzero(strange[behind] - strange[:-1] + wanted - behind <= miss))
         for r, (factor, places) in enumerate(self.rounds):
             symbols = np.concatenate([hashes * factor, np.zeros(self.longest + 1, dtype=np.uint64)])
             for begin, (_, _, steps, tables) in zip(begins, self.classes, strict=True):
