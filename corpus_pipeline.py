@@ -1,17 +1,74 @@
-"""The corpus pipeline: stages over documents, each written and read again before the next."""
+"""The corpus pipeline: stages over documents, each written and read again before the next.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marketspark.llm import decontaminate, langid, mixing, secrets, simhash
+from marketspark.llm.common import documents, stored
+from marketspark.session import ship_code
+
+#: Bits per symbol from which no learned language explains a text; prose takes 2 to 3, random letters over 5.
+FOREIGN_BITS = 5.0
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a letter and those that cross-parse no better than random letters."""
+    ship_code(spark)
+    names = docs.columns
+    model = langid.fit(docs.filter(~langid.held_out()))
+    told = langid.predict(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").alias("_text")), model, "_text")
+    kept = F.col("lang_pred") != "und"
+    return told.filter(kept & (F.col("cross_entropy") <= FOREIGN_BITS) if model.langs else F.lit(True)).select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints stays, that with the smallest id.
+
+    Rows that repeat an id are one document and stay or go together; rows without an id stay.
+    """
+    ship_code(spark)
+    groups = simhash.near_duplicates(docs)
+    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
 
-STAGES: list = []
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage close to a benchmark item go."""
+    ship_code(spark)
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are struck out of the texts; every document stays."""
+    ship_code(spark)
+    return secrets.redact(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with words once, those of small sources partly twice (column ``copy``)."""
+    ship_code(spark)
+    return mixing.mix(docs, repeats=2.0, seed=1)
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_leaks", benchmark_leaks),
+    ("secret_scan", secret_scan),
+    ("source_mix", source_mix),
+]
+
+#: Fitted automata and random embeddings are not SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to documents."""
-    from marketspark.llm.common import documents, stored
-
     docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketspark.llm import decontaminate, langid, secrets, simhash
+from marketspark.llm import decontaminate, langid, mixing, secrets, simhash
 from marketspark.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
+#: Production parameters of the mixture: no source is repeated more than twice as often as another.
+MIX_REPEATS, MIX_SEED = 2.0, 1
+
 
 def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[build.__name__] = build
@@ -31,6 +34,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score", "cross_entropy")
 
 
+@query
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir), repeats=MIX_REPEATS, seed=MIX_SEED).select("doc_id", "source", "copy", mixing.n_tokens().alias("n_tokens"))
+
+
 @query
 def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))

@@ -244,3 +244,18 @@ def posting_table(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_R
     low = F.expr(f"translate(`{text_col}`, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
     rows = docs.select(F.col(id_col).alias("doc_id"), low.alias("low"))
     return rows.select("doc_id", F.explode(F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]))).alias("trigram")).select("trigram", "doc_id")
+
+
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, mark: str = "[redacted]", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """``docs`` with every span replaced by ``mark`` (overlapping spans by one), columns otherwise unchanged.
+
+    ``size_col``, where it exists, becomes the length of a changed text. Null texts stay null.
+    """
+    found = find_secrets(docs, rules, text_col=text_col, keep=True)
+    cut = F.expr(f"""aggregate(spans, named_struct('out', '', 'at', 0L), (done, x) -> named_struct(
+        'out', IF(x.start < done.at, done.out, concat(done.out, substring(`{text_col}`, CAST(done.at + 1 AS INT), CAST(x.start - done.at AS INT)), '{mark}')),
+        'at', greatest(done.at, x.end)), done -> concat(done.out, substring(`{text_col}`, CAST(done.at + 1 AS INT))))""")
+    changed = found.withColumn(text_col, F.when(F.size("spans") > 0, cut).otherwise(F.col(text_col)))
+    if size_col in docs.columns:
+        changed = changed.withColumn(size_col, F.when(F.size("spans") > 0, F.char_length(text_col).cast(docs.schema[size_col].dataType)).otherwise(F.col(size_col)))
+    return changed.select(*docs.columns)
