@@ -129,8 +129,14 @@ def fit(docs: DataFrame, rows: int = 300, symbols_each: int = 40_000, passage: i
     language teach nothing. More than ``languages`` languages are an error: each costs one table.
     """
     labelled = docs.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k", F.xxhash64("text"))
-    sample = labelled.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows)
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(languages + 1).collect()}
+    if len(counts) > languages:
+        raise ValueError(f"more than {languages} languages")
+    # The smallest hashes lie below this share of all with near certainty; what is above never leaves its task.
+    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, 3.0 * rows / n))) for lang, n in counts.items()], F.lit(0.0))
+    draw = F.shiftrightunsigned(F.xxhash64("k"), 11) / F.lit(float(1 << 53))
+    order = Window.partitionBy("lang").orderBy(draw, "k", F.xxhash64("text"))
+    sample = labelled.filter(draw < share).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows)
 
     def passages(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("n")
@@ -143,9 +149,7 @@ def fit(docs: DataFrame, rows: int = 300, symbols_each: int = 40_000, passage: i
             out += [clean[a : a + passage] for a in starts]
         return pd.DataFrame({"lang": group["lang"].iloc[0], "passages": [out]})
 
-    taught = sample.groupBy("lang").applyInPandas(passages, "lang string, passages array<string>").limit(languages + 1).collect()
-    if len(taught) > languages:
-        raise ValueError(f"more than {languages} languages")
+    taught = sample.groupBy("lang").applyInPandas(passages, "lang string, passages array<string>").collect()
     texts = {row["lang"]: [str(p) for p in row["passages"]] for row in sorted(taught)}
     count: dict[str, int] = {}
     for own in texts.values():
