@@ -14,6 +14,8 @@ from marketspark.session import ship_code
 
 #: Bits per symbol from which no learned language explains a text; prose takes 2 to 3, random letters over 5.
 FOREIGN_BITS = 5.0
+#: Below so many characters one phrase decides, so short texts are not judged by their entropy.
+ENOUGH_CHARS = 200
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +25,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.filter(~langid.held_out()))
     told = langid.predict(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").alias("_text")), model, "_text")
     kept = F.col("lang_pred") != "und"
-    return told.filter(kept & (F.col("cross_entropy") <= FOREIGN_BITS) if model.langs else F.lit(True)).select("row.*")
+    foreign = (F.col("cross_entropy") > FOREIGN_BITS) & (F.length("_text") >= ENOUGH_CHARS)
+    return told.filter(kept & ~foreign if model.langs else F.lit(True)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
