@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketspark.llm import decontaminate, langid, mixing, secrets, simhash, sketches, substrings
+from marketspark.llm import decontaminate, hmm, langid, mixing, secrets, simhash, sketches, substrings
 from marketspark.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op10_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(documents(spark, sf_dir))
