@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketspark.llm import decontaminate, hmm, langid, mixing, secrets, simhash, sketches, substrings
+from marketspark.llm import decontaminate, hmm, langid, mixing, secrets, simhash, sketches, substrings, warc
 from marketspark.llm.common import documents
+from marketspark.session import new_path, ship_code
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -17,16 +18,45 @@ ORACLE: dict[str, str] = {}
 MIX_REPEATS, MIX_SEED = 2.0, 1
 
 
-def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+def query(build: Callable[[SparkSession, str], DataFrame] | None = None, sql: str | None = None) -> Callable:
+    """Register a query under its function's name, with its SQL twin where SQL can say it."""
+    if build is None:
+        return lambda build: query(build, sql)
     QUERIES[build.__name__] = build
+    if sql:
+        ORACLE[build.__name__] = sql
     return build
 
 
-@query
+@query(
+    sql="""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+    win AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS i, ws FROM w),
+    ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(ws[i:i + 19], ' ') ORDER BY doc_id, i) AS n FROM win),
+    gone AS (SELECT DISTINCT doc_id, i + unnest(range(0, 20)) AS i FROM ranked WHERE n > 1),
+    word AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS x FROM w),
+    kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS k, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+    SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
+)
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.find_repeats(documents(spark, sf_dir), length=20).drop("spans")
 
 
+@query(
+    sql="""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+    f AS (SELECT h, min(page_id) AS m FROM p WHERE strlen(h) >= 100 GROUP BY h)
+    SELECT page_id, strlen(p.h) AS payload_bytes, sha256(p.h) AS payload_digest,
+        CASE WHEN f.m < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN f.m < page_id THEN f.m END AS refers_to
+    FROM p LEFT JOIN f USING (h)"""
+)
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_code(spark)
+    root = new_path(spark, "warc")
+    manifest = warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), root)
+    return warc.read(manifest, root).drop("url")
+
+
 @query
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
