@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketspark.llm import decontaminate, hmm, langid, mixing, secrets, simhash, sketches, substrings, warc
+from marketspark.llm import decontaminate, hmm, langid, mixing, quality, secrets, simhash, sketches, substrings, warc
 from marketspark.llm.common import documents
 from marketspark.session import new_path, ship_code
 
@@ -74,6 +74,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score", "cross_entropy")
 
 
+@query
+def op6_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir)).withColumn("votes", F.array_join("votes", ","))
+
+
 @query
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), repeats=MIX_REPEATS, seed=MIX_SEED).select("doc_id", "source", "copy", mixing.n_tokens().alias("n_tokens"))
