@@ -138,7 +138,9 @@ def find_repeats(docs: DataFrame, length: int = 20, gram: int = 8, id_col: str =
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"))
     seeds = anchors(rows, length, gram)
-    firsts = seeds.groupBy("h").agg(F.min("doc").alias("first"), F.min_by("ctx", "doc").alias("fctx"))
+    # Only anchors met again are kept, in a table: a join of two plain shuffles is one that Spark can split at a hot anchor.
+    firsts = seeds.groupBy("h").agg(F.min("doc").alias("first"), F.min_by("ctx", "doc").alias("fctx"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    firsts = stored(firsts, "repeats-firsts")
     met = stored(seeds.join(firsts, "h").filter("doc <> first OR ctx <> fctx").select("doc", "ctx", "first", "fctx", (F.col("ctx") == F.col("fctx")).alias("same")), "repeats-met")
     open_runs = met.filter("NOT same").select("doc", "ctx").unionAll(met.filter("NOT same").select(F.col("first").alias("doc"), F.col("fctx").alias("ctx")).distinct())
     marks = met.filter("same").select("doc", "ctx", F.lit(True).alias("whole")).unionAll(open_runs.withColumn("whole", F.lit(False)))
