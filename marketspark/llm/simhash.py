@@ -71,8 +71,8 @@ def links(fps: DataFrame, distance: int = 2, segments: int = 2) -> DataFrame:
     segment. Every fingerprint is filed in a table per segment and looks up the Hamming ball of its own segment
     there; what it finds is verified over all 64 bits inside the join, so candidates are never written.
     """
-    if BITS % segments:
-        raise ValueError("segments must divide 64")
+    if segments < 2 or BITS % segments:
+        raise ValueError("segments must divide 64, and be two or more")
     width, radius = BITS // segments, distance // segments
     mask = (1 << width) - 1
     parts = [f"named_struct('s', {s}, 'v', shiftrightunsigned(fp, {s * width}) & {mask}L)" for s in range(segments)]
