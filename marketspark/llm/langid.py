@@ -29,7 +29,7 @@ class Model:
     """Letters of the alphabet and, per language, the parsing table of its automaton.
 
     ``table[s * width + c]`` is where state s goes on symbol c: a premultiplied state, marked with FAILED where
-    the automaton has no such edge and a new phrase begins with c. The last column (padding) stays put.
+    the automaton has no such edge and a new phrase begins with c. The last column is the cut between passages.
     """
 
     letters: str
@@ -54,7 +54,7 @@ class Model:
 
 
 def symbols(texts: pa.Array, lookup: np.ndarray, other: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of all texts in a row, where each text begins, and how many letters it has; gaps are one symbol."""
+    """Symbols of all texts in a row, where each text begins, and how many letters it has; a gap behind a letter is one symbol."""
     plain = [t or "" for t in texts.to_pylist()]
     points = np.frombuffer("".join(plain).encode("utf-32-le", "replace"), dtype=np.uint32)
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in plain], dtype=np.int64)]).astype(np.int64)
@@ -110,14 +110,14 @@ def automaton(sym: np.ndarray, width: int) -> np.ndarray:
                     edges[p][c] = clone
                     p = link[p]
         last = new
-    table = np.zeros((len(edges), width), dtype=np.int32)
-    restart = np.zeros(width, dtype=np.int32)
+    # The last state is where a text begins and where a symbol that was never taught leads: any symbol starts anew there.
+    table = np.zeros((len(edges) + 1, width), dtype=np.int32)
+    restart = np.full(width, len(edges) * width, dtype=np.int32)
     for c, q in edges[0].items():
         restart[c] = q * width
     table[:] = restart | FAILED
     for s, out in enumerate(edges):
         table[s, list(out)] = [q * width for q in out.values()]
-    table[:, width - 1] = np.arange(len(edges), dtype=np.int32) * width
     return table.ravel()
 
 
@@ -183,8 +183,8 @@ def phrases(sym: np.ndarray, first: np.ndarray, model: Model) -> np.ndarray:
     text, start, length = text[order], start[order], length[order]
     out = np.zeros((len(size), len(model.langs)), dtype=np.int64)
     for g, table in enumerate(model.tables):
-        state = np.zeros(len(text), dtype=np.int32)
-        count = np.ones(len(text), dtype=np.int32)
+        state = np.full(len(text), len(table) - model.width, dtype=np.int32)
+        count = np.zeros(len(text), dtype=np.int32)
         live = len(text)
         for j in range(SEGMENT):
             live = int(np.searchsorted(-length[:live], -j, side="left"))
