@@ -40,7 +40,7 @@ def _(spark, sf_dir):
     tape = quotes(spark, sf_dir)
     newest = tape.agg(F.max("ts")).scalar()
     fresh = O.latest_quotes(tape).filter(F.col("ts") > newest - F.make_dt_interval(hours=F.lit(1)))
-    return O.fallback_prices(rules(spark, sf_dir), fresh)
+    return O.fallback_prices(rules(spark, sf_dir), fresh).select("symbol", "exchange", "price", "source")
 
 
 def _probes(spark, sf_dir, kind):
@@ -104,10 +104,11 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", X.regime_name(F.col("user_id") % 6).alias("regime"))
 
 
-@query("p19_hygiene", "SELECT doc_id, substring(text, 1, 4096) AS message FROM documents WHERE length(ltrim(text, chr(10) || chr(9) || chr(13) || ' ')) > 0")
+@query("p19_hygiene", f"""SELECT doc_id, CAST(p AS INTEGER) AS part, substring(text, CAST(p * {X.MESSAGE_LIMIT} + 1 AS BIGINT), {X.MESSAGE_LIMIT}) AS message
+  FROM (SELECT doc_id, text, unnest(range(0, greatest((length(text) + {X.MESSAGE_LIMIT - 1}) // {X.MESSAGE_LIMIT}, 1))) AS p FROM documents WHERE length(ltrim(text, chr(10) || chr(9) || chr(13) || ' ')) > 0)""")
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").filter(X.is_sendable(F.col("text")))
-    return docs.select("doc_id", X.cut(F.col("text")).alias("message"))
+    return docs.select("doc_id", F.posexplode(X.parts(F.col("text"))).alias("part", "message"))
 
 
 REPLAY_SQL = RULES + f""", c AS (SELECT r.symbol, r.exchange, threshold, condition, ts, seq, price, row_number() OVER (PARTITION BY r.symbol, r.exchange, threshold, condition ORDER BY ts, seq) AS i

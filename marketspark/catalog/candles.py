@@ -283,7 +283,7 @@ def _(spark, sf_dir):
     "s9_chart_scan",
     CANDLES + """ SELECT symbol, make_timestamp(open_time * 1000) AS open_datetime, make_timestamp(close_time * 1000) AS close_datetime,
   open, high, low, close, volume, round(quote_volume, 4) AS quote_volume, num_trades, taker_base_volume,
-  round(taker_quote_volume, 4) AS taker_quote_volume, '15m' AS interval FROM candles ORDER BY open_time DESC, symbol DESC LIMIT 10000""",
+  round(taker_quote_volume, 4) AS taker_quote_volume, '15m' AS interval FROM candles""",
 )
 def _(spark, sf_dir):
     return rounded(O.scan_for_chart(candles(spark, sf_dir)), "quote_volume", "taker_quote_volume", digits=4)
@@ -305,11 +305,10 @@ def _(spark, sf_dir):
 
 @query(
     "s11_training_rows",
-    CANDLES + """ SELECT make_timestamp(open_time * 1000) AS "timestamp", open, high, low, close, volume FROM candles
-  WHERE symbol = 'purchase' ORDER BY open_time DESC LIMIT 10000""",
+    CANDLES + """ SELECT symbol, make_timestamp(open_time * 1000) AS "timestamp", open, high, low, close, volume FROM candles""",
 )
 def _(spark, sf_dir):
-    return O.training_rows(candles(spark, sf_dir), "pur/chase")
+    return O.training_rows(candles(spark, sf_dir))
 
 
 # ---- de-duplication ------------------------------------------------------------------------
@@ -458,10 +457,6 @@ def _(spark, sf_dir):
    coalesce((SELECT arg_min(interval, place) FROM sizes WHERE c >= 3000), (SELECT arg_max(interval, (c, -place)) FROM sizes))""",
 )
 def _(spark, sf_dir):
-    ticks = quotes(spark, sf_dir)
-    steps = {"1h": 3600, "4h": 14_400, "1d": 86_400}
-    parts = [
-        O.build_candles(ticks, ["symbol"], s).select(F.lit(i).alias("interval"), "symbol", "ts", "num_trades")
-        for i, s in steps.items()
-    ]
-    return O.best_interval(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["1d", "4h", "1h"], 3000)
+    # The tape is read once; wider bars are rolled up from the hourly ones.
+    bars = O.roll_up(stored_candles(spark, sf_dir).withColumn("ts", F.timestamp_millis("open_time")), {"1h": 3600, "4h": 14_400, "1d": 86_400})
+    return O.best_interval(bars, ["1d", "4h", "1h"], 3000)

@@ -10,12 +10,12 @@ from marketspark.catalog.candles import CANDLES, DERIVED_SQL, DOUBLED, doubled
 from marketspark.catalog.sentiment import SENTIMENT, gloomy_classifier
 from marketspark.functions import parse
 from marketspark.operators import alerts as A
-from marketspark.operators.candles import PRICES
+from marketspark.operators.candles import PRICES, new_rows
 from marketspark.sources import paged, tables
 from marketspark.session import new_path
 from marketspark.streaming import alerts as SA
 from marketspark.streaming import ingest as SI
-from marketspark.views import HOUR_MS, candles, quotes, quotes_of, rules, sentiment, table, with_views
+from marketspark.views import HOUR_MS, candles, quotes, quotes_of, rules, sentiment, stored_candles, table, with_views
 
 _ALL = "symbol, open_time, open, high, low, close, volume, close_time, round(quote_volume, 4) AS quote_volume, num_trades, taker_base_volume, round(taker_quote_volume, 4) AS taker_quote_volume"
 _WHOLE = CANDLES + f" SELECT {_ALL} FROM candles"
@@ -92,6 +92,20 @@ def _(spark, sf_dir):
     return tables.read_candles(spark, path).select("symbol", "open_time", "close", "volume")
 
 
+@query("s6_incremental_load", CANDLES + f" SELECT {_ALL} FROM candles")
+def _(spark, sf_dir):
+    """Half of the tape is stored, then what is newer is loaded twice; the cut lies inside a day."""
+    path = new_path(spark, "candles")
+    bars = stored_candles(spark, sf_dir)
+    low, high = bars.agg(F.min("open_time"), F.max("open_time")).first()
+    cut = (low + high) // 2 // 86_400_000 * 86_400_000 + 11 * HOUR_MS
+    tables.write_candles(bars.filter(F.col("open_time") <= cut), path, whole=True)
+    for _ in range(2):
+        fresh = new_rows(bars, spark.read.parquet(path), high)
+        tables.write_candles(fresh, path)
+    return tidy(spark.read.parquet(path).drop("open_date"))
+
+
 @query("s8_sentiment_append", SENTIMENT + ' SELECT "timestamp", symbol, sentiment_label, confidence, price FROM sentiment')
 def _(spark, sf_dir):
     path = new_path(spark, "sentiment")
@@ -175,8 +189,8 @@ def _(spark, sf_dir):
 
 @query("s7_stream_write", CANDLES + f" SELECT {_DERIVED} FROM candles WHERE {_KEPT}")
 def _(spark, sf_dir):
-    path, state = new_path(spark, "append"), new_path(spark, "state")
-    run(SI.start_append(SI.candles_from(message_stream(spark, sf_dir)), path, state))
+    path, aside, state = (new_path(spark, n) for n in ("ingest", "aside", "state"))
+    run(SI.start_ingest(message_stream(spark, sf_dir), path, aside, state))
     return _derived(spark.read.parquet(path))
 
 
@@ -275,13 +289,12 @@ def _(spark, sf_dir):
 
 @query(
     "x8_stream_candles",
-    CANDLES + f""" SELECT symbol, make_timestamp(open_time * 1000) AS ts, open, high, low, close, volume, num_trades FROM candles
-  WHERE make_timestamp(open_time * 1000) + INTERVAL '1 hour' <= (SELECT max(ts) FROM quotes) - INTERVAL '10 minutes'""",
+    CANDLES + " SELECT symbol, make_timestamp(open_time * 1000) AS ts, open, high, low, close, volume, num_trades FROM candles",
 )
 def _(spark, sf_dir):
-    path, state = new_path(spark, "append"), new_path(spark, "state")
-    run(SI.start_append(SI.candles_from_ticks(quote_stream(spark, sf_dir)), path, state))
-    return spark.read.parquet(path)
+    path, state = new_path(spark, "ticks"), new_path(spark, "state")
+    run(SI.start_tick_candles(quote_stream(spark, sf_dir), path, state))
+    return SI.read_tick_candles(spark, path)
 
 
 @query(

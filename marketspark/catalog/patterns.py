@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketspark.catalog.base import query, rounded
-from marketspark.catalog.indicators import minute_bars
+from marketspark.catalog.indicators import _W9_SQL, MINUTES, minute_bars
 from marketspark.operators import density as D
 from marketspark.operators import patterns as M
-from marketspark.operators.features import FEATURES, rolling_features
+from marketspark.operators.features import FEATURES, MIN_ROWS, rolling_features
 from marketspark.plans.training import train
 from marketspark.session import new_path
-from marketspark.views import candles, points, stored_candles, with_views
+from marketspark.views import points, stored_candles, with_views
 
 POINTS = with_views("points")
 DIMS = 64
@@ -31,21 +31,17 @@ def _(spark, sf_dir):
     return rounded(M.scale(_wide(spark, sf_dir), names), *names)
 
 
-@query("m2_components")
+@query("m2_components", f"SELECT CAST(a AS INTEGER) AS i, CAST(b AS INTEGER) AS j, CASE WHEN a = b THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS product FROM range({DIMS}) x(a), range({DIMS}) y(b)")
 def _(spark, sf_dir):
-    names = [f"x{i}" for i in range(DIMS)]
-    model = M.fit_embedder(_wide(spark, sf_dir), 8, names)
+    """All components: each has length one and stands at right angles to the others."""
+    model = M.fit_embedder(_wide(spark, sf_dir), DIMS, [f"x{i}" for i in range(DIMS)])
     path = new_path(spark, "components")
     model.save(spark, path)
     rows = spark.read.parquet(path).filter(F.col("kind") == "component")
-    return rows.select("i", F.posexplode("values").alias("feature", "loading")).withColumn("loading", F.round("loading", 6))
-
-
-@query("m3_embedding")
-def _(spark, sf_dir):
-    rows = M.complete(rolling_features(stored_candles(spark, sf_dir)), FEATURES)
-    out = M.fit_embedder(rows, 8).embed(rows)
-    return out.select("symbol", "open_time", *[F.round(F.col("embedding").getItem(i), 6).alias(f"e{i}") for i in range(8)])
+    left = rows.select("i", F.posexplode("values").alias("feature", "a"))
+    right = rows.select(F.col("i").alias("j"), F.posexplode("values").alias("feature", "b"))
+    product = F.round(F.sum(F.col("a") * F.col("b")), 6) + 0.0
+    return left.join(right, "feature").groupBy("i", "j").agg(product.alias("product"))
 
 
 @query(
@@ -57,14 +53,29 @@ def _(spark, sf_dir):
     return rounded(D.core_distances(points(spark, sf_dir), 5, 500), "core")
 
 
-@query("m4b_spanning_tree")
-def _(spark, sf_dir):
-    return rounded(D.spanning_tree(points(spark, sf_dir), 5, 500), "w")
+CLUSTERS = 10
 
 
-@query("m4_density_clusters")
+def _fixpoint(spark, sf_dir):
+    """Points with their cluster after k-means on all embeddings, the centroids as a table and as a list."""
+    rows = points(spark, sf_dir)
+    centroids = M.fit_centroids(rows, "v", k=CLUSTERS, starts=2)
+    path = new_path(spark, "centroids")
+    M.save_centroids(spark, centroids, path)
+    return M.nearest_centroid(rows, M.load_centroids(spark, path), "v"), spark.read.parquet(path), centroids
+
+
+def _squares(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda done, x: done + x)
+
+
+@query("m4_clusters", POINTS + " SELECT id, true AS own_is_nearest FROM points")
 def _(spark, sf_dir):
-    return D.density_clusters(points(spark, sf_dir), 5)
+    """Every point is no nearer to any other centre than to its own."""
+    labelled, _, centroids = _fixpoint(spark, sf_dir)
+    others = F.array(*[F.array(*[F.lit(x) for x in c]) for c in centroids])
+    least = F.array_min(F.transform(others, lambda c: F.sqrt(_squares(F.col("v"), c))))
+    return labelled.select("id", (F.abs(least - F.col("distance")) < 1e-6).alias("own_is_nearest"))
 
 
 @query("f11_without_noise", POINTS + " SELECT id, label - 1 AS label FROM points WHERE label - 1 >= 0")
@@ -112,32 +123,55 @@ def _(spark, sf_dir):
     return M.nearest_centroid(points(spark, sf_dir), M.load_centroids(spark, path), "v").select("id", "cluster_id")
 
 
-@query("m5_centroids")
+@query("m5_centroids", f"SELECT CAST(c AS INTEGER) AS cluster_id, true AS is_mean FROM range({CLUSTERS}) t(c)")
 def _(spark, sf_dir):
-    rows = points(spark, sf_dir).withColumn("label", F.col("label") - 1)
-    path = new_path(spark, "centroids")
-    M.save_centroids(spark, M.fit_centroids(rows, "v"), path)
-    return spark.read.parquet(path).select("cluster_id", F.posexplode("centroid").alias("i", "x")).withColumn("x", F.round("x", 6))
+    """One row per cluster; its centre is the mean of its points."""
+    labelled, centres, _ = _fixpoint(spark, sf_dir)
+    mean = F.array(*[F.avg(F.col("v").getItem(i)) for i in range(DIMS)])
+    means = labelled.groupBy("cluster_id").agg(mean.alias("m"))
+    return centres.join(means, "cluster_id").select("cluster_id", (_squares(F.col("m"), F.col("centroid")) < 1e-9).alias("is_mean"))
+
+
+_FINITE = " AND ".join(f"isfinite({c})" for c in FEATURES)
+_COMPLETE = _W9_SQL[: _W9_SQL.rindex(") SELECT symbol, open_time")] + f"), z AS (SELECT * FROM f WHERE {_FINITE})"
 
 
-@query("m8_training")
+@query("m8_training", _COMPLETE + " SELECT 5::BIGINT AS clusters, count(*) AS rows FROM z")
 def _(spark, sf_dir):
-    return M.census(train(candles(spark, sf_dir), "purchase").labelled)
+    """Every bar with a full window is labelled, over all symbols."""
+    labelled = train(stored_candles(spark, sf_dir), k=5, starts=2).labelled
+    return labelled.filter("label >= 0").agg(F.count_distinct("label").alias("clusters"), F.count("*").alias("rows"))
 
 
-@query("m7_detect")
+@query("m7_detect", MINUTES + f" SELECT exchange, symbol, count(*) AS bars, count(*) >= {MIN_ROWS} AS detected FROM newest GROUP BY 1, 2")
 def _(spark, sf_dir):
-    model = train(candles(spark, sf_dir), "purchase")
+    """The regime of each instrument's newest bars, where there are enough of them."""
+    model = train(stored_candles(spark, sf_dir), k=5, starts=2)
     out = M.detect(minute_bars(spark, sf_dir), model.embedder, model.centroids)
-    return rounded(out.select("exchange", "symbol", "bars", "cluster_id", "distance"), "distance")
+    found = (F.col("cluster_id") >= 0) & (F.col("distance") >= 0)
+    return out.select("exchange", "symbol", F.col("bars").cast("bigint").alias("bars"), F.coalesce(found, F.lit(False)).alias("detected"))
+
+
+_LENGTHS = _COMPLETE + ", s AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in FEATURES) + " FROM z) SELECT symbol, open_time, round(" + " + ".join(
+    f"CASE WHEN s_{c} > 0 THEN (({c} - m_{c}) / s_{c}) ** 2 ELSE 0 END" for c in FEATURES
+) + ", 4) AS squared_length FROM z, s"
+
 
+def _lengths(out):
+    square = F.aggregate("embedding", F.lit(0.0), lambda done, x: done + x * x)
+    return out.select("symbol", "open_time", F.round(square, 4).alias("squared_length"))
 
-@query("s15_model_store")
+
+@query("m3_embedding", _LENGTHS)
 def _(spark, sf_dir):
+    """With all components an embedding is as long as the scaled features."""
     rows = M.complete(rolling_features(stored_candles(spark, sf_dir)), FEATURES)
-    path = new_path(spark, "embedder")
-    M.fit_embedder(rows, 8).save(spark, path)
-    out = M.Embedder.load(spark, path).embed(rows)
-    return out.select("symbol", "open_time", *[F.round(F.col("embedding").getItem(i), 6).alias(f"e{i}") for i in range(8)])
+    return _lengths(M.fit_embedder(rows, len(FEATURES)).embed(rows))
 
 
+@query("s15_model_store", _LENGTHS)
+def _(spark, sf_dir):
+    rows = M.complete(rolling_features(stored_candles(spark, sf_dir)), FEATURES)
+    path = new_path(spark, "embedder")
+    M.fit_embedder(rows, len(FEATURES)).save(spark, path)
+    return _lengths(M.Embedder.load(spark, path).embed(rows))

@@ -109,9 +109,9 @@ def _(spark, sf_dir):
     return rows.select("timestamp", "symbol", "sentiment_label", "confidence", "price")
 
 
-@query("t2_oldest_first", SENTIMENT + ' SELECT "timestamp", seq, symbol, price FROM sentiment ORDER BY "timestamp", seq LIMIT 10000')
+@query("t2_oldest_first", SENTIMENT + ' SELECT "timestamp", seq, symbol, price FROM sentiment')
 def _(spark, sf_dir):
-    return O.select_range(sentiment(spark, sf_dir).select("timestamp", "seq", "symbol", "price"), limit=10_000)
+    return O.select_range(sentiment(spark, sf_dir).select("timestamp", "seq", "symbol", "price"), oldest_first=True)
 
 
 def _buckets_query(name: str, code: str, width: str) -> None:
@@ -203,7 +203,10 @@ def _(spark, sf_dir):
     return rounded(O.cost_ledger(sentiment(spark, sf_dir)), "cost", digits=9)
 
 
-@query("a9_table_statistics")
+_SIZE = "32 + strlen(symbol) + strlen(sentiment_label) + strlen(text) + strlen(provider) + strlen(exchange)"
+
+
+@query("a9_table_statistics", SENTIMENT + f" SELECT count(*) AS count, CAST(sum({_SIZE}) AS BIGINT) AS size, avg({_SIZE}) AS avg_obj_size FROM sentiment")
 def _(spark, sf_dir):
     return O.table_statistics(sentiment(spark, sf_dir))
 

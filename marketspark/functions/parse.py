@@ -49,7 +49,7 @@ def decode_candle(df: DataFrame, value: str = "value") -> DataFrame:
 
 
 def flatten_candle(df: DataFrame) -> DataFrame:
-    """Nested candle message ``msg`` to CANDLE columns plus ``is_closed``; bad numbers become null."""
+    """Nested candle message ``msg`` to CANDLE columns plus ``is_closed`` (and ``arrival``, where it is); bad numbers become null."""
 
     def inner(key: str, kind: str) -> Column:
         return F.col("msg.k").getItem(key).try_cast(kind)
@@ -68,6 +68,7 @@ def flatten_candle(df: DataFrame) -> DataFrame:
         inner("V", "double").alias("taker_base_volume"),
         inner("Q", "double").alias("taker_quote_volume"),
         inner("x", "boolean").alias("is_closed"),
+        *[c for c in ("arrival",) if c in df.columns],
     )
 
 

@@ -55,5 +55,7 @@ def is_sendable(message: Column) -> Column:
     return F.length(F.regexp_replace(message, r"^(?U)[\s\x1c-\x1f]+", "")) > 0
 
 
-def cut(message: Column) -> Column:
-    return F.substring(message, 1, MESSAGE_LIMIT)
+def parts(message: Column) -> Column:
+    """A message as an array of parts within the service's limit; nothing is lost. An empty message is one part."""
+    count = F.greatest(F.ceil(F.char_length(message) / MESSAGE_LIMIT), F.lit(1)).cast("int")
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substr(message, i * MESSAGE_LIMIT + 1, F.lit(MESSAGE_LIMIT)))

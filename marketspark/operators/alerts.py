@@ -42,25 +42,21 @@ def matched_rules(quotes: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def fallback_prices(rules: DataFrame, quotes: DataFrame, default: Sequence[str] = ("binance", "kraken", "bybit")) -> DataFrame:
-    """First price available along each rule key's exchanges: its own, then its fallbacks in order.
+    """First price available along each rule's exchanges: its own, then its fallbacks in order.
 
-    Keys without any price yield no row. ``quotes`` holds at most one price per (exchange, symbol).
+    One row per different (symbol, exchange, fallbacks) of the rules, with the ``fallback_exchanges`` in force;
+    those without any price yield no row. ``quotes`` holds at most one price per (exchange, symbol).
     """
     backups = F.coalesce(F.col("fallback_exchanges"), F.array(*[F.lit(e) for e in default]))
-    tries = (
-        rules.groupBy("symbol", "exchange")
-        .agg(F.first(backups, ignorenulls=True).alias("_backups"))
-        .select(
-            "symbol",
-            "exchange",
-            F.posexplode(F.array_distinct(F.concat(F.array("exchange"), F.col("_backups")))).alias("_pos", "_try"),
-        )
+    tries = rules.select("symbol", "exchange", backups.alias("fallback_exchanges")).distinct()
+    tries = tries.select(
+        "*", F.posexplode(F.array_distinct(F.concat(F.array("exchange"), F.col("fallback_exchanges")))).alias("_pos", "_try")
     )
     prices = quotes.select(F.col("exchange").alias("_try"), "symbol", "price")
     place = F.struct("_pos")
     return (
         tries.join(prices, ["symbol", "_try"])
-        .groupBy("symbol", "exchange")
+        .groupBy("symbol", "exchange", "fallback_exchanges")
         .agg(F.min_by("price", place).alias("price"), F.min_by("_try", place).alias("source"))
     )
 

@@ -32,6 +32,17 @@ def build_candles(ticks: DataFrame, keys: Sequence[str], seconds: int) -> DataFr
     )
 
 
+def roll_up(bars: DataFrame, widths: dict[str, int]) -> DataFrame:
+    """Bars (``symbol``, ``ts``, ``num_trades``) of several widths in seconds from the narrowest, in one pass.
+
+    Each bar is handed to every width, and partial sums shrink them before the one shuffle.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("interval"), F.lit(s).cast("bigint").alias("s")) for n, s in widths.items()]))
+    rows = bars.select("symbol", "ts", "num_trades", each.alias("_w"))
+    start = F.timestamp_seconds(F.expr("unix_seconds(ts) div _w.s * _w.s"))
+    return rows.groupBy(F.col("_w.interval").alias("interval"), "symbol", start.alias("ts")).agg(F.sum("num_trades").alias("num_trades"))
+
+
 # ---- filters -------------------------------------------------------------------------------
 
 
@@ -104,7 +115,7 @@ def scan_for_chart(
     symbol: str | None = None,
     start_ms: int | None = None,
     end_ms: int | None = None,
-    limit: int | None = 10_000,
+    limit: int | None = None,
     interval: str = "15m",
 ) -> DataFrame:
     """The chart's table scan: filters reach the files, then newest rows, typed."""
@@ -124,20 +135,16 @@ def last_bars(
     return out.withColumnRenamed("_newest", rank) if rank else out.drop("_newest")
 
 
-def training_rows(df: DataFrame, symbol: str, limit: int = 10_000) -> DataFrame:
-    """Newest bars of one instrument for model training, oldest first."""
+def training_rows(df: DataFrame, symbol: str | None = None, limit: int | None = None) -> DataFrame:
+    """Bars for model training, oldest first: of one instrument or of all, all bars or the newest ``limit``."""
     time = F.coalesce(*[F.col(c) for c in ("timestamp", "open_time") if c in df.columns])
-    chosen = (
-        df.filter(C.normal_symbol() == symbol.upper().replace("/", ""))
-        .withColumn("timestamp", F.timestamp_millis(time) if "timestamp" not in df.columns else time)
-        .dropna(subset=["timestamp"])
-    )
-    return (
-        chosen.select("timestamp", "open", "high", "low", "close", "volume")
-        .orderBy(F.desc("timestamp"))
-        .limit(limit)
-        .orderBy("timestamp")
-    )
+    chosen = df.filter(C.normal_symbol() == symbol.upper().replace("/", "")) if symbol else df
+    chosen = chosen.withColumn("timestamp", F.timestamp_millis(time) if "timestamp" not in df.columns else time).dropna(subset=["timestamp"])
+    rows = chosen.select("symbol", "timestamp", "open", "high", "low", "close", "volume")
+    if limit is not None:
+        rows = rows.orderBy(F.desc("timestamp"), F.desc("symbol")).limit(limit)
+    rows = rows.orderBy("timestamp", "symbol")
+    return rows.drop("symbol") if symbol else rows
 
 
 # ---- de-duplication ------------------------------------------------------------------------
@@ -147,10 +154,18 @@ def keep_one(df: DataFrame, keys: Sequence[str], arrival: Sequence[str], last: b
     """One row per key: the last (or first) to arrive.
 
     An aggregate rather than a ranking window, so copies of a hot key shrink to one row
-    per task before the shuffle.
+    per task before the shuffle. Where all other columns have a fixed width and the arrival
+    is one number, each column is picked by that number, which Spark does by hash; all picks
+    of a group choose the same row, as they compare the same numbers in the same order.
+    Otherwise whole rows are picked, which sorts.
     """
     rest = [c for c in df.columns if c not in keys]
     pick = F.max_by if last else F.min_by
+    kinds = dict(df.dtypes)
+    fixed = ("bigint", "int", "smallint", "tinyint", "double", "float", "boolean", "timestamp", "timestamp_ntz", "date")
+    if all(kinds[c] in fixed for c in rest) and len(arrival) == 1:
+        held = df.withColumn("_when", F.col(arrival[0]))
+        return held.groupBy(*keys).agg(*[pick(c, "_when").alias(c) for c in rest]).select(*df.columns)
     return (
         df.groupBy(*keys)
         .agg(pick(F.struct(*rest), F.struct(*arrival)).alias("_row"))

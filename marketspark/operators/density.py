@@ -1,26 +1,22 @@
-"""Hierarchical density clustering (mutual reachability, excess of mass) over blocks of points.
+"""Distance to the k-th neighbour over blocks of points.
 
-Points are dealt into blocks of bounded size by a hash of their id. Each pair of blocks is
-one group of at most two blocks: it yields only the k nearest distances per point, or a
-spanning tree of the two blocks; distances between points never leave the task. The
-spanning tree of all points is contained in the union of the pair trees, and is reduced from
-them in rounds of bounded groups. The last step reads the n-1 edges of that tree in order.
+Points are dealt into blocks of bounded size by a hash of their id. Each pair of blocks is one group of at most
+two blocks and yields only the k nearest distances per point; distances between points never leave the task.
+The work is quadratic in the number of points; no training job stands on it.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketspark.session import settle, ship_code
+from marketspark.session import ship_code
 
 BLOCK_ROWS = 2000
-REDUCE_WAYS = 8
 
 
 def _block_pairs(points: DataFrame, block_rows: int) -> tuple[DataFrame, int]:
@@ -67,186 +63,3 @@ def core_distances(points: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> D
     found = copies.groupBy("_a", "_b").applyInPandas(nearest, f"id {kinds['id']}, d array<double>")
     merged = F.array_sort(F.flatten(F.collect_list("d")))  # at most k values per block
     return found.groupBy("id").agg(F.try_element_at(merged, F.lit(k)).alias("core"))
-
-
-def _prim(x: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spanning tree of the mutual-reachability graph, one row of distances at a time.
-
-    Equal weights are ordered by the lower, then the higher end, so that the tree is
-    unique and does not depend on how the points were dealt into blocks.
-    """
-    n = len(x)
-    best, source = np.full(n, np.inf), np.full(n, n)
-    done = np.zeros(n, dtype=bool)
-    ends = np.zeros((n - 1, 2), dtype=int)
-    weights = np.zeros(n - 1)
-    at = 0
-    for e in range(n - 1):
-        done[at] = True
-        d = np.maximum(np.sqrt(((x - x[at]) ** 2).sum(axis=1)), np.maximum(core, core[at]))
-        closer = ~done & ((d < best) | ((d == best) & (at < source)))
-        best[closer], source[closer] = d[closer], at
-        open_ = np.where(done, np.inf, best)
-        ties = np.flatnonzero(open_ == open_.min())
-        low, high = np.minimum(ties, source[ties]), np.maximum(ties, source[ties])
-        at = int(ties[np.lexsort((high, low))[0]])
-        ends[e], weights[e] = (source[at], at), best[at]
-    return ends[:, 0], ends[:, 1], weights
-
-
-def _forest(a: Iterable, b: Iterable, order: np.ndarray) -> list[int]:
-    """Positions, in the given order, of the edges that join two trees."""
-    parent: dict = {}
-
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    kept = []
-    for i in order:
-        p, q = root(a[i]), root(b[i])
-        if p != q:
-            parent[p] = q
-            kept.append(int(i))
-    return kept
-
-
-def spanning_tree(points: DataFrame, k: int, block_rows: int = BLOCK_ROWS, ways: int = REDUCE_WAYS) -> DataFrame:
-    """Minimum spanning tree (``a``, ``b``, ``w``) under mutual reachability with k neighbours."""
-    points = settle(points.select("id", "v"))
-    cored = settle(points.join(core_distances(points, k, block_rows), "id"))
-    copies, blocks = _block_pairs(cored, block_rows)
-    id_type = dict(points.dtypes)["id"]
-    edge = f"a {id_type}, b {id_type}, w double, _group int"
-
-    def tree(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id")
-        ids = group["id"].to_numpy()
-        if len(ids) < 2:
-            return pd.DataFrame({"a": [], "b": [], "w": [], "_group": []})
-        p, q, w = _prim(np.stack(group["v"].to_numpy()).astype(float), group["core"].to_numpy(dtype=float))
-        number = int(group["_a"].iloc[0]) * blocks + int(group["_b"].iloc[0])
-        return pd.DataFrame({"a": np.minimum(ids[p], ids[q]), "b": np.maximum(ids[p], ids[q]), "w": w, "_group": number})
-
-    def reduce(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["w", "a", "b"]).reset_index(drop=True)
-        keep = _forest(group["a"].to_numpy(), group["b"].to_numpy(), np.arange(len(group)))
-        return group.iloc[keep][["a", "b", "w", "_group"]]
-
-    edges = copies.groupBy("_a", "_b").applyInPandas(tree, edge)
-    groups = blocks * blocks
-    while groups > 1:
-        groups = math.ceil(groups / ways)
-        edges = (
-            edges.withColumn("_group", F.floor(F.col("_group") / ways).cast("int"))
-            .groupBy("_group")
-            .applyInPandas(reduce, edge)
-        )
-    return edges.drop("_group")
-
-
-def select_clusters(a: np.ndarray, b: np.ndarray, w: np.ndarray, min_size: int) -> dict:
-    """Cluster of each point from the edges of a spanning tree: the excess-of-mass selection.
-
-    Edges are replayed in order of weight. A merge of two components that are both large
-    enough is a split of their union, seen from above; a smaller component drops out of
-    the larger one's cluster at that weight.
-    """
-    order = np.lexsort((b, a, w))
-    ids = np.unique(np.concatenate([a, b]))
-    place = {x: i for i, x in enumerate(ids.tolist())}
-    n = len(ids)
-    left, right, size = {}, {}, {i: 1 for i in range(n)}
-    top, parent = list(range(n)), list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    level = {}
-    node = n
-    for e in order:
-        p, q = root(place[a[e]]), root(place[b[e]])
-        left[node], right[node] = top[p], top[q]
-        size[node] = size[top[p]] + size[top[q]]
-        level[node] = 1 / w[e] if w[e] > 0 else math.inf
-        parent[p] = q
-        top[q] = node
-        node += 1
-
-    def leaves(start: int) -> list[int]:
-        out, stack = [], [start]
-        while stack:
-            x = stack.pop()
-            if x < n:
-                out.append(x)
-            else:
-                stack += [left[x], right[x]]
-        return out
-
-    # Walk down from the whole: clusters get numbers in order, 0 being everything.
-    birth, mass, mother, member = {0: 0.0}, {0: 0.0}, {}, {}
-    stack = [(node - 1, 0)]
-    while stack:
-        at, cluster = stack.pop()
-        if at < n:
-            member[at] = cluster
-            continue
-        lam, kids = level[at], (left[at], right[at])
-        gain = lam - birth[cluster] if lam > birth[cluster] else 0.0
-        large = [c for c in kids if size[c] >= min_size]
-        if len(large) == 2:
-            mass[cluster] += gain * size[at]
-            for c in kids:
-                new = len(birth)
-                birth[new], mass[new], mother[new] = lam, 0.0, cluster
-                stack.append((c, new))
-            continue
-        for c in kids:
-            if c in large:
-                stack.append((c, cluster))
-            else:
-                mass[cluster] += gain * size[c]
-                for x in leaves(c):
-                    member[x] = cluster
-    children: dict[int, list[int]] = {}
-    for c, m in mother.items():
-        children.setdefault(m, []).append(c)
-    chosen = set()
-    worth = dict(mass)
-    for c in sorted(mother, reverse=True):
-        below = sum(worth[x] for x in children.get(c, ()))
-        if children.get(c) and below > worth[c]:
-            worth[c] = below
-        else:
-            chosen.add(c)
-    # Only the topmost chosen clusters stay.
-    owner = {0: None}
-    for c in sorted(mother):
-        m = owner[mother[c]]
-        owner[c] = m if m is not None else (c if c in chosen else None)
-    return {ids[i]: owner[c] for i, c in member.items()}
-
-
-def density_clusters(points: DataFrame, min_cluster_size: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Label per point, -1 for noise; clusters are numbered by size, then smallest id.
-
-    Fewer points than ``min_cluster_size`` are all noise.
-    """
-    points = settle(points.select("id", "v"))
-    if points.limit(min_cluster_size).count() < max(2, min_cluster_size):
-        return points.select("id", F.lit(-1).alias("label"))
-    edges = spanning_tree(points, min_cluster_size, block_rows)
-
-    def label(edges: pd.DataFrame) -> pd.DataFrame:
-        owner = select_clusters(edges["a"].to_numpy(), edges["b"].to_numpy(), edges["w"].to_numpy(), min_cluster_size)
-        out = pd.DataFrame({"id": list(owner), "_cluster": [-1 if c is None else c for c in owner.values()]})
-        facts = out[out["_cluster"] >= 0].groupby("_cluster")["id"].agg(["size", "min"])
-        rank = {c: i for i, c in enumerate(facts.sort_values(["size", "min"], ascending=[False, True]).index)}
-        out["label"] = [rank.get(c, -1) for c in out["_cluster"]]
-        return out[["id", "label"]]
-
-    id_type = dict(points.dtypes)["id"]
-    return edges.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(label, f"id {id_type}, label int")

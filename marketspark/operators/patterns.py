@@ -111,20 +111,25 @@ def fit_embedder(df: DataFrame, dim: int = 16, columns: Sequence[str] = FEATURES
 # ---- centroids -----------------------------------------------------------------------------
 
 
-def fit_centroids(labelled: DataFrame, vector: str = "embedding", label: str = "label", starts: int = 10, seed: int = 42) -> list[list[float]] | None:
-    """K-means centroids of the rows that are not noise, best of several starts.
+#: Most clusters of a model: what is kept on the driver and sent to tasks is bounded by it.
+MAX_CLUSTERS = 1000
 
-    As many clusters as the labels have, but at least five rows for each; None (no centroids)
-    with fewer than 10 rows or 2 clusters.
+
+def fit_centroids(rows: DataFrame, vector: str = "embedding", k: int = 5, starts: int = 10, seed: int = 42) -> list[list[float]] | None:
+    """K-means centroids of all rows, best of several starts, run until nothing moves.
+
+    ``k`` clusters, but at least five rows for each; None (no centroids) with fewer than 10 rows or 2 clusters.
     """
-    valid = settle(labelled.filter(F.col(label) >= 0).select(vector, label))
-    n, found = valid.agg(F.count(F.lit(1)), F.count_distinct(label)).first()
-    k = min(found, n // 5)
+    if k > MAX_CLUSTERS:
+        raise ValueError(f"more than {MAX_CLUSTERS} clusters")
+    valid = settle(rows.filter(F.col(vector).isNotNull()).select(vector))
+    n = valid.count()
+    k = min(k, n // 5)
     if n < 10 or k < 2:
         return None
     points = valid.select(array_to_vector(vector).alias("x")).cache()
     try:
-        models = [KMeans(k=k, featuresCol="x", seed=seed + i).fit(points) for i in range(starts)]
+        models = [KMeans(k=k, featuresCol="x", seed=seed + i, maxIter=200, tol=0.0).fit(points) for i in range(starts)]
         best = min(models, key=lambda m: m.summary.trainingCost)
         return [c.tolist() for c in best.clusterCenters()]
     finally:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -29,8 +30,9 @@ def select_range(
     end: Column | None = None,
     provider: str | None = None,
     limit: int | None = None,
+    oldest_first: bool = False,
 ) -> DataFrame:
-    """Stored records of a closed time range, oldest first when limited."""
+    """Stored records of a closed time range; oldest first if asked or limited."""
     if symbol is not None:
         df = df.filter(F.col("symbol") == symbol)
     if start is not None:
@@ -39,10 +41,9 @@ def select_range(
         df = df.filter(F.col("timestamp") <= end)
     if provider:
         df = df.filter(F.col("provider") == provider)
-    if limit:
-        tie = [c for c in ("seq",) if c in df.columns]
-        df = df.orderBy("timestamp", *tie).limit(limit)
-    return df
+    if limit or oldest_first:
+        df = df.orderBy("timestamp", *[c for c in ("seq",) if c in df.columns])
+    return df.limit(limit) if limit else df
 
 
 def _label_counts(suffix: str = "") -> list[Column]:
@@ -172,8 +173,12 @@ def cost_ledger(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def table_statistics(df: DataFrame) -> DataFrame:
-    """Row count, total and mean size of the rows as JSON."""
-    size = F.octet_length(F.to_json(F.struct(*df.columns)))
+    """Row count, total and mean size of the rows: a string's bytes, and the width of every other value."""
+    widths = {"int": 4, "float": 4, "date": 4, "smallint": 2, "tinyint": 1, "boolean": 1}
+    text = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    nested = [F.octet_length(F.to_json(c)) for c, kind in df.dtypes if kind.startswith(("map", "array", "struct"))]
+    fixed = sum(widths.get(kind, 8) for _, kind in df.dtypes) - 8 * (len(text) + len(nested))
+    size = sum([*text, *[F.coalesce(n, F.lit(0)) for n in nested]], F.lit(fixed)).cast("bigint")
     return df.agg(
         F.count(F.lit(1)).alias("count"), F.sum(size).alias("size"), F.avg(size).alias("avg_obj_size")
     )
@@ -256,19 +261,46 @@ def anomalies(df: DataFrame, threshold: float = 3.0) -> DataFrame:
 Classifier = Callable[[Sequence[str]], Sequence[tuple[Sequence[str], Sequence[float]] | None]]
 
 
-def _classify(texts: list[str], classifier: Classifier) -> list:
-    """One answer per text; a failing batch is retried text by text so that only the bad text is lost."""
-    if not texts:
-        return []
-    try:
-        answers = list(classifier(texts))
-        if len(answers) == len(texts):
-            return answers
-    except Exception:
-        pass
+def _classify(texts: list[str], classifier: Classifier, failures=None, down_twice: bool = True) -> list:
+    """One answer per text. A failing batch is halved until only the bad texts are lost; each failure is counted.
+
+    A service that fails on a whole batch and on both its halves is taken to be down, and the batch is given up.
+    """
+    answers, failed = _ask(texts, classifier)
+    if failures is not None and failed:
+        failures.add(failed)
+    if answers is not None or not texts:
+        return answers or []
+    if len(texts) == 1:
+        return [None]
+    halves = [texts[: len(texts) // 2], texts[len(texts) // 2 :]]
+    if down_twice and len(texts) > 2:
+        tried = [_ask(half, classifier) for half in halves]
+        if failures is not None:
+            failures.add(sum(n for _, n in tried))
+        if all(found is None for found, _ in tried):
+            # Two single texts tell a dead service from a batch with bad texts in both halves.
+            probes = [_ask([half[0]], classifier)[0] for half in halves] + [_ask([half[-1]], classifier)[0] for half in halves]
+            if all(p is None for p in probes):
+                return [None] * len(texts)
+        return [x for half, (found, _) in zip(halves, tried) for x in (found if found is not None else _split(half, classifier, failures))]
+    return _split(texts, classifier, failures)
+
+
+def _split(texts: list[str], classifier: Classifier, failures) -> list:
     if len(texts) == 1:
         return [None]
-    return [_classify([text], classifier)[0] for text in texts]
+    middle = len(texts) // 2
+    return _classify(texts[:middle], classifier, failures, False) + _classify(texts[middle:], classifier, failures, False)
+
+
+def _ask(texts: list[str], classifier: Classifier) -> tuple[list | None, int]:
+    """The answers, or none and one failure."""
+    try:
+        answers = list(classifier(texts)) if texts else []
+    except Exception:  # whatever a user's service raises costs these texts, not the job
+        return None, 1
+    return (answers, 0) if len(answers) == len(texts) else (None, 1)
 
 
 def score_texts(
@@ -279,14 +311,16 @@ def score_texts(
     fallback: Callable[[], Classifier] | None = None,
     fallback_provider: str = "fallback",
     batch: int = 256,
+    failures: Accumulator | None = None,
 ) -> DataFrame:
-    """Append ``labels``, ``scores`` and the ``provider`` that answered, through a user's classifier.
+    """Append (or replace) ``labels``, ``scores`` and the ``provider`` that answered, through a user's classifier.
 
     ``make`` builds the classifier once per partition. Texts without an answer go to the
-    fallback, if there is one; if that fails too all three columns are null.
+    fallback, if there is one; if that fails too all three columns are null. ``failures`` counts failed calls.
     """
     ship_code(df.sparkSession)
-    columns = df.columns
+    added = ("labels", "scores", "provider")
+    columns = [c for c in df.columns if c not in added]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chain = [(provider, make())] + ([(fallback_provider, fallback())] if fallback else [])
@@ -297,15 +331,15 @@ def score_texts(
                 open_ = [i for i, a in enumerate(answers) if a is None]
                 for at in range(0, len(open_), batch):
                     block = open_[at : at + batch]
-                    for i, answer in zip(block, _classify([texts[i] for i in block], classifier)):
+                    for i, answer in zip(block, _classify([texts[i] for i in block], classifier, failures)):
                         if answer is not None and len(answer[0]) > 0:
                             answers[i] = (list(answer[0]), [float(s) for s in answer[1]], name)
             out = part[columns].copy()
-            for k, name in enumerate(("labels", "scores", "provider")):
+            for k, name in enumerate(added):
                 out[name] = pd.Series([a[k] if a else None for a in answers], index=part.index, dtype="object")
             yield out
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in columns)
     return df.mapInPandas(run, f"{fields}, labels array<string>, scores array<double>, provider string")
 
 

@@ -24,6 +24,7 @@ def build_session(app: str = "marketspark", master: str | None = None, **conf: s
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -62,22 +63,40 @@ def ship_code(spark: SparkSession) -> None:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and hand-over tables.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where neither that setting nor
-    a checkpoint folder exists (tests on one machine) is a new temporary folder made.
+    A cluster names it in ``spark.checkpoint.dir``; only on one machine (master ``local[...]``)
+    is a new temporary folder made where neither that setting nor a checkpoint folder exists.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return root or current.get()
+    if not root and not context.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     root = root or tempfile.mkdtemp(prefix="marketspark-")
     context.setCheckpointDir(root)
     return root
 
 
+_made: dict[str, list[str]] = {}
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that nothing has used before."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path under the shared folder that nothing has used before; ``clean`` removes what was written there."""
+    path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a file or folder in whatever store it lies; whether there was one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True))
+
+
+def clean(spark: SparkSession) -> int:
+    """Remove the hand-over tables of this application; to be called when its results have been read."""
+    return sum(remove(spark, path) for path in _made.pop(spark.sparkContext.applicationId, []))
 
 
 def settle(df: DataFrame) -> DataFrame:

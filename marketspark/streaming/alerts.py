@@ -17,6 +17,7 @@ from marketspark.operators.alerts import COOLDOWN_SECONDS, MIN_MOVE, RULE_KEY, c
 from marketspark.operators.joins import BROADCAST_ROWS
 from marketspark.operators.sentiment import Classifier, score_texts
 from marketspark.session import ship_code
+from marketspark.sources.tables import append_sentiment
 
 FIRED_DDL = "symbol string, exchange string, threshold double, condition string, ts timestamp, seq bigint, price double"
 
@@ -94,10 +95,9 @@ def sentiment_records(messages: DataFrame) -> DataFrame:
 
 
 def outbox(messages: DataFrame) -> DataFrame:
-    """Messages worth sending, cut to the service's limit."""
-    return messages.filter(X.is_sendable(F.col("message"))).select(
-        "symbol", "exchange", "condition", "threshold", "ts", "price", X.cut(F.col("message")).alias("message")
-    )
+    """Messages worth sending, long ones as numbered parts within the service's limit."""
+    kept = ["symbol", "exchange", "condition", "threshold", "ts", "price"]
+    return messages.filter(X.is_sendable(F.col("message"))).select(*kept, F.posexplode(X.parts(F.col("message"))).alias("part", "message"))
 
 
 def start_alert_cycle(
@@ -114,13 +114,14 @@ def start_alert_cycle(
 ) -> StreamingQuery:
     """Fire, enrich, store sentiment, and put messages in an outbox table for a sender.
 
-    Both writes of a batch go to the batch's own folder, so a repeated batch replaces itself.
+    Sentiment goes to the same table as ``append_sentiment`` writes, by day and load. Both writes of a batch bear
+    its number, so a repeated batch replaces itself.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         messages = messages_of(batch, patterns, make, "mistral", fallback).persist()
         try:
-            sentiment_records(messages).write.mode("overwrite").parquet(f"{sentiment_table}/batch={number}")
+            append_sentiment(sentiment_records(messages), sentiment_table, f"cycle-{number:09d}")
             outbox(messages).write.mode("overwrite").parquet(f"{outbox_table}/batch={number}")
         finally:
             messages.unpersist()

@@ -11,6 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from marketspark.functions.candles import live_result, with_derived
 from marketspark.functions.parse import closed_only, decode_candle, flatten_candle
 from marketspark.operators.candles import build_candles, keep_one, last_minutes
+from marketspark.operators.ordered import sort_key
+from marketspark.session import remove
 
 
 def read_messages(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -65,15 +67,18 @@ def without_repeats(candles: DataFrame, lateness: str = "1 hour") -> DataFrame:
 def start_ingest(messages: DataFrame, table: str, quarantine: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Append readable closed candles to ``table`` and unreadable messages to ``quarantine``.
 
-    Each batch writes into its own folder and replaces it when Spark repeats the batch,
-    so a restart neither loses nor doubles rows.
+    The table is laid out by symbol and day, so that reads prune, with a part per batch below; a batch that
+    Spark repeats replaces its parts, so a restart neither loses nor doubles rows.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
             good, bad = split_batch(batch)
-            good.write.mode("overwrite").parquet(f"{table}/batch={number}")
+            rows = good.withColumns({"open_date": F.timestamp_millis("open_time").cast("date"), "batch": F.lit(number)})
+            rows = rows.repartition("symbol", "open_date").sortWithinPartitions("symbol", "open_date", "open_time")
+            parts = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "open_date", "batch")
+            parts.parquet(table)
             bad.write.mode("overwrite").text(f"{quarantine}/batch={number}")
         finally:
             batch.unpersist()
@@ -105,6 +110,11 @@ def _previous(spark: SparkSession, view: str, number: int, like: DataFrame) -> D
     return spark.read.schema(like.schema).parquet(f"{view}/batch={number - 1}")
 
 
+def _forget(spark: SparkSession, view: str, number: int) -> None:
+    """Remove the copies before the previous one; that stays for readers that have begun."""
+    remove(spark, f"{view}/batch={number - 2}")
+
+
 def start_rolling_view(
     messages: DataFrame, view: str, checkpoint: str, now=F.current_timestamp, minutes: int = 60, **trigger
 ) -> StreamingQuery:
@@ -118,18 +128,28 @@ def start_rolling_view(
         fresh = live_result(split_batch(batch)[0])
         kept = last_minutes(_previous(batch.sparkSession, view, number, fresh).unionByName(fresh), now(), minutes)
         kept.write.mode("overwrite").parquet(f"{view}/batch={number}")
+        _forget(batch.sparkSession, view, number)
 
     return messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "30 seconds"})).start()
 
 
 def start_latest_view(messages: DataFrame, view: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Keep the newest frame per symbol: a batch with rows of a symbol replaces that symbol's frame."""
+    """Keep the newest frame per symbol: a batch with rows of a symbol replaces that symbol's frame.
+
+    Of copies of a candle in one batch the last to arrive stays: by ``offset`` where the messages have one, else
+    by their place in the batch.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        fresh = latest_frame(split_batch(batch)[0])
-        symbols = fresh.select("symbol").distinct()
-        kept = _previous(batch.sparkSession, view, number, fresh).join(symbols, "symbol", "left_anti")
-        kept.unionByName(fresh).write.mode("overwrite").parquet(f"{view}/batch={number}")
+        place = F.col("offset") if "offset" in batch.columns else F.monotonically_increasing_id()
+        fresh = latest_frame(split_batch(batch.withColumn("arrival", place))[0], ["arrival"]).drop("arrival").persist()
+        try:
+            symbols = fresh.select("symbol").distinct()
+            kept = _previous(batch.sparkSession, view, number, fresh).join(symbols, "symbol", "left_anti")
+            kept.unionByName(fresh).write.mode("overwrite").parquet(f"{view}/batch={number}")
+        finally:
+            fresh.unpersist()
+        _forget(batch.sparkSession, view, number)
 
     return messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "30 seconds"})).start()
 
@@ -139,6 +159,52 @@ def latest_frame(candles: DataFrame, arrival: Sequence[str] = ("ts",)) -> DataFr
     return keep_one(candles, ["symbol", "close_time"], arrival)
 
 
+def start_tick_candles(ticks: DataFrame, table: str, checkpoint: str, seconds: int = 3600, **trigger) -> StreamingQuery:
+    """Candles of a tick stream that lose no tick: late ones count, and open windows are in the table too.
+
+    Each batch adds one partial candle per symbol and window that it touches, by day and batch; a repeated batch
+    replaces its own. No state grows with the stream; ``read_tick_candles`` puts the parts together.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        when = sort_key(batch, ["ts", "seq"])
+        parts = (
+            batch.withColumn("_when", when)
+            .groupBy("symbol", F.window("ts", f"{seconds} seconds").alias("_w"))
+            .agg(
+                F.min_by("price", "_when").alias("open"),
+                F.max("price").alias("high"),
+                F.min("price").alias("low"),
+                F.max_by("price", "_when").alias("close"),
+                F.sum("volume").alias("volume"),
+                F.count(F.lit(1)).alias("num_trades"),
+                F.min("_when").alias("first_at"),
+                F.max("_when").alias("last_at"),
+            )
+            .withColumns({"ts": F.col("_w.start"), "day": F.col("_w.start").cast("date"), "batch": F.lit(number)})
+            .drop("_w")
+        )
+        parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(table)
+
+    return ticks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_tick_candles(spark: SparkSession, table: str) -> DataFrame:
+    """The candles of ``start_tick_candles`` as they stand."""
+    return (
+        spark.read.parquet(table)
+        .groupBy("symbol", "ts")
+        .agg(
+            F.min_by("open", "first_at").alias("open"),
+            F.max("high").alias("high"),
+            F.min("low").alias("low"),
+            F.max_by("close", "last_at").alias("close"),
+            F.sum("volume").alias("volume"),
+            F.sum("num_trades").alias("num_trades"),
+        )
+    )
+
+
 def candles_from_ticks(ticks: DataFrame, seconds: int = 3600, lateness: str = "10 minutes") -> DataFrame:
     """Tumbling candles of a tick stream; a window is emitted once the watermark passes it, later ticks are dropped."""
     return build_candles(ticks.withWatermark("ts", lateness), ["symbol"], seconds)

@@ -93,8 +93,8 @@ def test_latest_quotes_and_fallback(spark):
         [("BTC/USDT", "bitmex", 1.0, "above", ["binance", "kraken"]), ("BTC/USDT", "bitmex", 2.0, "below", None), ("BTC/USDT", "kraken", 1.0, "above", None), ("ETH/USDT", "okx", 1.0, "above", ["bitmex"])],
         RULE_DDL,
     )
-    got = {(r.exchange, r.symbol): (r.price, r.source) for r in A.fallback_prices(rules, latest).collect()}
-    assert got == {("bitmex", "BTC/USDT"): (3.0, "binance"), ("kraken", "BTC/USDT"): (65000.0, "kraken")}
+    got = sorted((r.exchange, r.symbol, len(r.fallback_exchanges), r.price, r.source) for r in A.fallback_prices(rules, latest).collect())
+    assert got == [("bitmex", "BTC/USDT", 2, 3.0, "binance"), ("bitmex", "BTC/USDT", 3, 3.0, "binance"), ("kraken", "BTC/USDT", 3, 65000.0, "kraken")]
 
 
 def test_price_expires(spark):
@@ -122,5 +122,5 @@ def test_texts(spark):
 
 def test_message_hygiene(spark):
     df = spark.createDataFrame([("",), ("  \n\t",), ("\u00a0\x1c",), (None,), ("x" * 5000,), ("ok",)], "m string")
-    rows = df.filter(X.is_sendable(F.col("m"))).select(X.cut(F.col("m")).alias("m")).collect()
-    assert sorted(len(r.m) for r in rows) == [2, 4096]
+    rows = df.filter(X.is_sendable(F.col("m"))).select(F.posexplode(X.parts(F.col("m"))).alias("part", "m")).collect()
+    assert sorted((r.part, len(r.m)) for r in rows) == [(0, 2), (0, 4096), (1, 904)]

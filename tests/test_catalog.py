@@ -7,12 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from marketspark.catalog import ORACLE, QUERIES
 from tools.check import canon
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry_point.queries(), entry_point.oracle_sql()
-# Fits and replays of many rounds take longest; test_patterns.py and test_alerts.py cover them.
-SLOW = {"m5_centroids", "m7_detect", "m8_training", "s15_model_store", "v4_custom_fold"}
 
 
 @pytest.fixture(scope="module")
@@ -25,8 +23,6 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    if name in SLOW:
-        pytest.skip("covered elsewhere")
     got = QUERIES[name](spark, SF).toPandas()
     if name in ORACLE:
         want = con.execute(ORACLE[name]).fetchdf()
@@ -42,3 +38,5 @@ def test_entry(spark):
 
 def test_oracles_belong_to_queries():
     assert set(ORACLE) <= set(QUERIES)
+    assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
+    assert QUERIES.items() <= entry_point.queries().items()

@@ -67,11 +67,13 @@ def test_centroids(spark, tmp_path):
     x = blobs()
     labels = [0] * 30 + [1] * 35 + [-1] * 6
     df = spark.createDataFrame([(row.tolist(), n) for row, n in zip(x, labels)], "embedding array<double>, label int")
-    centres = sorted(M.fit_centroids(df, starts=3))
+    centres = sorted(M.fit_centroids(df.filter("label >= 0"), k=2, starts=3))
     np.testing.assert_allclose(centres, [x[:30].mean(axis=0), x[30:65].mean(axis=0)], atol=1e-9)
     M.save_centroids(spark, centres, str(tmp_path / "c"))
     assert M.load_centroids(spark, str(tmp_path / "c")) == centres
-    assert M.fit_centroids(df.filter("label <= 0")) is None
+    assert M.fit_centroids(df, k=1) is None
+    with pytest.raises(ValueError):
+        M.fit_centroids(df, k=M.MAX_CLUSTERS + 1)
     assert M.fit_centroids(df.limit(9)) is None
     M.save_centroids(spark, None, str(tmp_path / "none"))
     assert M.load_centroids(spark, str(tmp_path / "none")) is None
@@ -84,7 +86,7 @@ def test_census(spark):
     assert sorted(r.label for r in M.cluster_labels(df).collect()) == [0, 1]
 
 
-# ---- density clustering --------------------------------------------------------------------
+# ---- neighbour distances --------------------------------------------------------------------
 
 
 def reachability(x, k):
@@ -93,94 +95,11 @@ def reachability(x, k):
     return np.maximum(d, np.maximum(core[:, None], core[None])), core
 
 
-def kruskal(x, k):
-    reach, _ = reachability(x, k)
-    n = len(x)
-    edges = sorted((reach[i, j], i, j) for i in range(n) for j in range(i + 1, n))
-    group = list(range(n))
-    tree = []
-    for w, i, j in edges:
-        if group[i] != group[j]:
-            tree.append((w, i, j))
-            old, new = group[j], group[i]
-            group = [new if g == old else g for g in group]
-    return tree
-
-
-def parts(points, edges):
-    """Connected parts of the points under the edges."""
-    left, out = set(points), []
-    while left:
-        seen, todo = set(), [min(left)]
-        while todo:
-            p = todo.pop()
-            if p not in seen:
-                seen.add(p)
-                todo += [b if a == p else a for _, a, b in edges if p in (a, b)]
-        out.append(seen)
-        left -= seen
-    return out
-
-
-def brute_force(x, size):
-    tree = kruskal(x, size)
-
-    def solve(points, edges, birth):
-        """Selection below and including this cluster, members counted from its birth."""
-        start, own = set(points), 0.0
-        points, edges = set(points), sorted(edges)
-        while edges:
-            w, a, b = edges.pop()
-            pieces = [p for p in parts(points, edges) if a in p or b in p]
-            big = [p for p in pieces if len(p) >= size]
-            if len(big) == 2:
-                own += (1 / w - birth) * len(points)
-                kids = [solve(p, [e for e in edges if e[1] in p], 1 / w) for p in big]
-                worth = sum(k[0] for k in kids)
-                chosen = [c for k in kids for c in k[1]]
-                return (worth, chosen, kids) if worth > own else (own, [start], kids)
-            own += (1 / w - birth) * (len(points) - sum(len(p) for p in big))
-            if not big:
-                break
-            points = big[0]
-            edges = [e for e in edges if e[1] in points]
-        return own, [start], []
-
-    _, _, kids = solve(range(len(x)), tree, 0.0)
-    clusters = [c for k in kids for c in k[1]]  # everything at once is no cluster
-    clusters.sort(key=lambda c: (-len(c), min(c)))
-    labels = np.full(len(x), -1)
-    for i, c in enumerate(clusters):
-        labels[list(c)] = i
-    return labels
-
-
 @pytest.mark.parametrize("block", [2000, 25])
 def test_core_distance_and_spanning_tree(spark, block):
     x = blobs()
     got = {r.id: r.core for r in D.core_distances(frame(spark, x), 4, block).collect()}
     np.testing.assert_allclose([got[i] for i in range(len(x))], reachability(x, 4)[1], atol=1e-12)
-    tree = sorted((r.w, r.a, r.b) for r in D.spanning_tree(frame(spark, x), 4, block, ways=2).collect())
-    want = sorted(kruskal(x, 4))
-    assert [t[1:] for t in tree] == [t[1:] for t in want]
-
-
-@pytest.mark.parametrize("seed,size,block", [(0, 5, 2000), (0, 5, 20), (1, 8, 2000), (2, 4, 30), (3, 3, 2000)])
-def test_density_clusters_by_definition(spark, seed, size, block):
-    x = blobs(seed=seed) if seed < 2 else np.random.default_rng(seed).normal(size=(70, 3)) * [1, 4, 9]
-    got = {r.id: r.label for r in D.density_clusters(frame(spark, x), size, block).collect()}
-    assert [got[i] for i in range(len(x))] == brute_force(x, size).tolist()
-
-
-def test_blobs_copies_and_few_points(spark):
-    x = blobs()
-    got = {r.id: r.label for r in D.density_clusters(frame(spark, x), 5).collect()}
-    # the larger blob is cluster 0
-    assert {got[i] for i in range(30)} == {1} and {got[i] for i in range(30, 65)} == {0}
-    assert {r.label for r in D.density_clusters(frame(spark, x[:4]), 5).collect()} == {-1}
-    copies = np.vstack([np.zeros((30, 2)), np.ones((20, 2)) * 5, [[50.0, 50.0]]])
-    got = [r.label for r in D.density_clusters(frame(spark, copies), 5).orderBy("id").collect()]
-    assert got == [0] * 30 + [1] * 20 + [-1]
 
 
 def test_training_and_detection(spark):
@@ -190,7 +109,8 @@ def test_training_and_detection(spark):
     close = 100 * np.exp(np.concatenate([calm, wild]).cumsum())
     bars = pd.DataFrame({"symbol": "BTC/USDT", "exchange": "binance", "open_time": np.arange(n) * 60_000, "open": close, "close": close, "high": close * 1.001, "low": close * 0.999, "volume": rng.integers(1, 9, n).astype(float)})
     df = spark.createDataFrame(bars)
-    model = train(df, "BTCUSDT", dim=4)
+    model = train(df, "BTCUSDT", dim=4, k=3, starts=2)
+    assert len(model.centroids) == 3 and train(df, dim=4, k=3, starts=1).labelled.count() == n - 30
     assert model.labelled.count() == n - 30
     out = M.detect(df, model.embedder, model.centroids).first()
     assert len(out.feature_vector) == len(FEATURES) and len(out.embedding) == 4

@@ -2,13 +2,14 @@
 
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from marketspark.operators import candles as O
 from marketspark.schemas import CANDLE_DDL, SENTIMENT_DDL
-from marketspark.session import checkpoint_root, new_path
+from marketspark.session import checkpoint_root, clean, new_path
 from marketspark.sources import paged, tables
 
 STEP = 900_000
@@ -20,9 +21,9 @@ def candle(symbol, i, close=1.0):
 
 
 def test_candle_pages(spark):
-    page = '[[1620000000000,"50000","50200","49900","50100","100",1620000060000,"5000000",100,"1000","500","0"],[1,"x","2","1","2","3",4,"5",6,"7","8","0"]]'
-    rows = tables.parse_candle_pages(spark.createDataFrame([("BTCUSDT", page)], "symbol string, value string")).collect()
-    assert tuple(rows[0]) == ("BTCUSDT", 1620000000000, 50000.0, 50200.0, 49900.0, 50100.0, 100.0, 1620000060000, 5000000.0, 100, 1000.0, 500.0)
+    page = '[[1704067200000,"12.5","13","12.25","12.75","640",1704067259999,"8100",31,"300","3800","0"],[1,"x","2","1","2","3",4,"5",6,"7","8","0"]]'
+    rows = tables.parse_candle_pages(spark.createDataFrame([("XYZEUR", page)], "symbol string, value string")).collect()
+    assert tuple(rows[0]) == ("XYZEUR", 1704067200000, 12.5, 13.0, 12.25, 12.75, 640.0, 1704067259999, 8100.0, 31, 300.0, 3800.0)
     assert rows[1].open is None and rows[1].high == 2.0
     assert rows[0].asDict().keys() == dict(x.strip().split(" ") for x in CANDLE_DDL.split(",")).keys()
 
@@ -106,8 +107,65 @@ def test_training_rows(spark):
     assert [r.close for r in O.training_rows(hole, "BTCUSDT", 2).collect()] == [17.0, 18.0]
 
 
-def test_missing_rules_error_is_not_hidden(spark, tmp_path):
+@pytest.mark.parametrize("text", ["[1, 2", '[{"symbol": "A", "threshold": "much", "condition": "above"}]', '[{"symbol": "A", "condition": "above"}]', '[{"threshold": 1, "condition": "above"}]'])
+def test_broken_rules_are_an_error(spark, tmp_path, text):
     bad = tmp_path / "bad.json"
-    bad.write_text("[1, 2")
+    bad.write_text(text)
     with pytest.raises(Exception):
-        spark.read.schema("a int").option("mode", "FAILFAST").option("multiLine", True).json(str(bad)).collect()
+        tables.read_rules(spark, str(bad)).collect()
+
+
+def test_a_load_inside_a_day_keeps_the_stored_part(spark, tmp_path):
+    path = str(tmp_path / "candles")
+    bars = spark.createDataFrame([candle(s, i, float(i)) for s in "AB" for i in range(150)], CANDLE_DDL)
+    tables.write_candles(bars.filter(F.col("open_time") <= 40 * STEP), path, whole=True)  # the first day ends at bar 95
+    for _ in range(2):
+        tables.write_candles(O.new_rows(bars, tables.read_candles(spark, path), 149 * STEP), path)
+        got = sorted((r.symbol, r.open_time, r.close) for r in tables.read_candles(spark, path).collect())
+        assert got == sorted((s, i * STEP, float(i)) for s in "AB" for i in range(150))
+    tables.write_candles(spark.createDataFrame([candle("A", 3, 777.0)], CANDLE_DDL), path)
+    out = tables.read_candles(spark, path)
+    assert out.count() == 300 and [r.symbol for r in out.filter("close = 777").collect()] == ["A"]
+    tables.write_candles(bars.limit(3), str(tmp_path / "fresh"))  # a load into nothing makes the table
+    assert tables.read_candles(spark, str(tmp_path / "fresh")).count() == 3
+
+
+def test_expired_days_are_removed(spark, tmp_path):
+    path = str(tmp_path / "s")
+    for day in (1, 2, 5):
+        row = (dt.datetime(2024, 1, day, 12), "A", "bullish", 0.5, "t", "p", 1.0, "e", None)
+        tables.append_sentiment(spark.createDataFrame([row], SENTIMENT_DDL), path, f"load-{day}")
+    assert tables.drop_expired(spark, path, dt.date(2024, 1, 6), 4) == 1
+    assert sorted(r.timestamp.day for r in spark.read.parquet(path).collect()) == [2, 5]
+    again = (dt.datetime(2024, 1, 5, 13), "A", "bearish", 0.5, "t", "p", 1.0, "e", None)
+    tables.append_sentiment(spark.createDataFrame([again], SENTIMENT_DDL), path, "load-5")  # a repeated load replaces itself
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_hand_over_tables_can_be_removed(spark):
+    path = new_path(spark, "mine")
+    spark.range(3).write.parquet(path)
+    assert os.path.isdir(path) and clean(spark) >= 1 and not os.path.exists(path)
+
+
+def test_clusters_must_name_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+        getConf = lambda self: {}
+
+        class _jsc:
+            sc = staticmethod(lambda: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})())
+
+    class Session:
+        conf = {}
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_root(Session())
+
+
+def test_one_row_per_key_needs_no_sort(spark):
+    rows = spark.createDataFrame([candle("A", i % 3, float(i)) for i in range(9)], CANDLE_DDL).withColumn("seq", F.col("close").cast("bigint"))
+    out = O.keep_one(rows, ["symbol", "open_time"], ["seq"])
+    assert sorted(r.close for r in out.collect()) == [6.0, 7.0, 8.0]
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()

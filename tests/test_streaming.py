@@ -16,8 +16,8 @@ START = dt.datetime(2024, 1, 1)
 
 
 def message(i=0, closed=True, **changes):
-    k = {"t": 1620000000000 + 60000 * i, "T": 1620000060000 + 60000 * i, "o": "50000", "c": "50100", "h": "50200", "l": "49900", "v": "1.5", "q": "75000", "n": 120, "V": "0.8", "Q": "40000", "x": closed}
-    body = {"e": "kline", "s": "BTCUSDT", "k": k | changes}
+    k = {"t": 1704067200000 + 60000 * i, "T": 1704067260000 + 60000 * i, "o": "800", "c": "804", "h": "812", "l": "796", "v": "2.25", "q": "1810", "n": 37, "V": "1.25", "Q": "1005", "x": closed}
+    body = {"e": "kline", "s": "ADAEUR", "k": k | changes}
     return json.dumps(body)
 
 
@@ -38,8 +38,8 @@ def test_ingest_restarts_and_sets_bad_messages_aside(spark, tmp_path):
     rows, bad = run()
     first = rows.orderBy("open_time").first()
     assert rows.count() == 2
-    assert (first.symbol, first.price_change, first.price_change_pct, first.high_low_spread, first.high_low_spread_pct, first.is_closed) == ("BTCUSDT", 100.0, 0.2, 300.0, 0.6012, True)
-    assert str(first.open_datetime) == "2021-05-03 00:00:00" and first.num_trades == 120 and first.ts is not None
+    assert (first.symbol, first.price_change, first.price_change_pct, first.high_low_spread, first.high_low_spread_pct, first.is_closed) == ("ADAEUR", 4.0, 0.5, 16.0, 2.0101, True)
+    assert str(first.open_datetime) == "2024-01-01 00:00:00" and first.num_trades == 37 and first.ts is not None
     assert rows.orderBy(F.desc("open_time")).first().price_change_pct == 0.0
     assert len(bad) == 3 and "not json" in bad
     drop(feed, "2.txt", [message(9)])
@@ -63,7 +63,7 @@ def test_repeats_are_dropped_across_batches(spark, tmp_path):
 
 def test_views(spark, tmp_path):
     feed, view, latest, s1, s2 = (tmp_path / n for n in ("feed", "view", "latest", "s1", "s2"))
-    now = lambda: F.lit("2021-05-03 01:30:00").cast("timestamp")
+    now = lambda: F.lit("2024-01-01 01:30:00").cast("timestamp")
 
     def run():
         SI.start_rolling_view(SI.read_messages(spark, str(feed)), str(view), str(s1), now, availableNow=True).awaitTermination()
@@ -80,7 +80,10 @@ def test_views(spark, tmp_path):
     drop(feed, "2.txt", [message(70, c="1"), message(70, c="2")])
     rolling, frame = run()
     assert rolling.count() == 5  # an earlier candle and both copies of the new one
-    assert frame.count() == 1  # the symbol's frame was replaced
+    assert frame.count() == 1 and frame.first().close == 2.0  # the symbol's frame was replaced, by the last copy
+    drop(feed, "3.txt", [message(80)])
+    run()
+    assert sorted(p.name for p in view.glob("batch=*")) == ["batch=1", "batch=2"]  # older copies are gone
 
 
 def quotes_in_time(n=400, seed=6):
@@ -119,6 +122,21 @@ def test_late_ticks_are_dropped(spark, tmp_path):
     assert add([2, 200]) == {0: (1.0, 59.0, 4), 1: (61.0, 75.0, 2)}  # minute 2 came too late
 
 
+def test_tick_candles_lose_nothing(spark, tmp_path):
+    feed, table, state = (str(tmp_path / n) for n in ("feed", "table", "state"))
+
+    def add(minutes):
+        rows = [("A", "x", START + dt.timedelta(minutes=m), m, float(m), 1.0) for m in minutes]
+        spark.createDataFrame(rows, QUOTE_DDL).coalesce(1).write.mode("append").parquet(feed)
+        stream = spark.readStream.schema(QUOTE_DDL).parquet(feed)
+        SI.start_tick_candles(stream, table, state).awaitTermination()
+        return {r.ts.hour: (r.open, r.high, r.low, r.close, r.volume, r.num_trades) for r in SI.read_tick_candles(spark, table).collect()}
+
+    assert add([1, 5, 61]) == {0: (1.0, 5.0, 1.0, 5.0, 2.0, 2), 1: (61.0, 61.0, 61.0, 61.0, 1.0, 1)}
+    assert add([200, 75]) == {0: (1.0, 5.0, 1.0, 5.0, 2.0, 2), 1: (61.0, 75.0, 61.0, 75.0, 2.0, 2), 3: (200.0, 200.0, 200.0, 200.0, 1.0, 1)}
+    assert add([0, 59])[0] == (0.0, 59.0, 0.0, 59.0, 4.0, 4)  # both came hours late
+
+
 def test_outbox_and_stored_sentiment(spark, tmp_path):
     rules = spark.createDataFrame([("BTC/USDT", "binance", 70000.0, "above", None)], RULE_DDL)
     feed, store, box, state = (str(tmp_path / n) for n in ("feed", "store", "box", "state"))
