@@ -14,6 +14,8 @@ from marketspark.session import ship_code
 
 #: Bits per symbol from which no learned language explains a text; prose takes 2 to 3, random letters over 5.
 FOREIGN_BITS = 5.0
+#: Two segments looked up within one bit find all fingerprints within three bits, at the cost of two.
+NEAR_BITS = 3
 #: Below so many characters one phrase decides, so short texts are not judged by their entropy.
 ENOUGH_CHARS = 200
 
@@ -35,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that repeat an id are one document and stay or go together; rows without an id stay.
     """
     ship_code(spark)
-    groups = simhash.near_duplicates(docs)
+    groups = simhash.near_duplicates(docs, distance=NEAR_BITS)
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
