@@ -79,7 +79,23 @@ def op6_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir)).withColumn("votes", F.array_join("votes", ","))
 
 
-@query
+@query(
+    sql=f"""    WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens FROM documents),
+    c AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens, count(*) AS docs FROM d GROUP BY source HAVING sum(n_tokens) > 0),
+    r AS (SELECT max(ln(tokens)) - min(ln(tokens)) AS spread FROM c),
+    b AS (SELECT 0 AS k, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high FROM r
+        UNION ALL SELECT k + 1, CASE WHEN exp((1 - (low + high) / 2) * spread) <= {MIX_REPEATS} THEN low ELSE (low + high) / 2 END,
+            CASE WHEN exp((1 - (low + high) / 2) * spread) <= {MIX_REPEATS} THEN (low + high) / 2 ELSE high END FROM b, r WHERE k < 40),
+    a AS (SELECT CASE WHEN exp(spread) <= {MIX_REPEATS} THEN 0.0 ELSE high END AS a FROM b, r WHERE k = 40),
+    t AS (SELECT max(pow(tokens, 1 - a)) * sum(pow(tokens, a)) AS spend, sum(pow(tokens, a)) AS z FROM c, a),
+    p AS (SELECT source, tokens, docs, CAST(ceil(sqrt(docs)) AS BIGINT) AS blocks, CAST(round(spend * (pow(tokens, a) / z)) AS BIGINT) AS target FROM c, a, t),
+    s AS (SELECT *, target // tokens AS epochs, target % tokens AS rest FROM p),
+    o AS (SELECT d.doc_id, d.source, n_tokens, epochs, rest, blocks, CAST('0x' || md5('b{MIX_SEED}:' || d.doc_id)[:12] AS BIGINT) % blocks AS block,
+        CAST('0x' || md5('d{MIX_SEED}:' || epochs || ':' || d.doc_id)[:12] AS BIGINT) AS doc_key FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+    k AS (SELECT *, CAST('0x' || md5('p{MIX_SEED}:' || epochs || ':' || coalesce(source, '') || ':' || block)[:12] AS BIGINT) AS block_key FROM o),
+    f AS (SELECT *, n_tokens > 0 AND coalesce(sum(n_tokens) OVER (PARTITION BY source ORDER BY block_key, block, doc_key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < rest AS more FROM k)
+    SELECT doc_id, source, CAST(unnest(range(0, epochs + CAST(more AS BIGINT))) AS INTEGER) AS copy, n_tokens FROM f"""
+)
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), repeats=MIX_REPEATS, seed=MIX_SEED).select("doc_id", "source", "copy", mixing.n_tokens().alias("n_tokens"))
 
