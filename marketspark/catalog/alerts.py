@@ -17,6 +17,9 @@ TEXT_SQL = f"""'*Price Alert!*' || chr(10) || 'Symbol: `' || symbol || '`' || ch
   'Current: `' || {_MONEY.format('price')} || '`' || chr(10) || 'Threshold: `' || {_MONEY.format('threshold')} || '` (' || condition || ')' || chr(10) ||
   'Time: ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ' UTC'"""
 
+#: The regime names as branches of an SQL CASE.
+REGIME_SQL = " ".join(f"WHEN {n} THEN '{name}'" for n, name in X.REGIMES.items())
+
 
 @query("j1_rules_with_quotes", LATEST + f" SELECT r.symbol, r.exchange, threshold, condition, price, {_CROSSED} AS crossed FROM latest l JOIN rules r ON l.exchange = r.exchange AND l.symbol = r.symbol")
 def _(spark, sf_dir):
@@ -75,18 +78,17 @@ def _(spark, sf_dir):
 
 @query(
     "p17_sentiment_suffix",
-    with_views("sentiment") + """ SELECT seq, text || CASE WHEN exchange = 'kraken' THEN '' ELSE chr(10) || chr(10) || ' *Sentiment (' || provider || '):* ' || sentiment_label || ' (' || printf('%.2f', round(price)) || ')' END AS message FROM sentiment""",
+    with_views("sentiment") + """ SELECT seq, text || CASE WHEN exchange = 'kraken' THEN '' ELSE chr(10) || chr(10) || ' *Sentiment (' || provider || '):* ' || sentiment_label || ' (' || printf('%.2f', floor(price * 100) / 100) || ')' END AS message FROM sentiment""",
 )
 def _(spark, sf_dir):
     label = F.when(F.col("exchange") != "kraken", F.col("sentiment_label"))
-    message = X.with_sentiment(F.col("text"), F.col("provider"), label, F.round("price"))
+    message = X.with_sentiment(F.col("text"), F.col("provider"), label, F.floor(F.col("price") * 100) / 100)
     return sentiment(spark, sf_dir).select("seq", message.alias("message"))
 
 
 @query(
     "p18_pattern_suffix",
-    """SELECT event_id, CASE WHEN c >= 0 THEN event_type || chr(10) || chr(10) || ' *Pattern:* ' || CASE c WHEN 0 THEN 'Breakout (bullish)' WHEN 1 THEN 'Breakdown (bearish)'
-    WHEN 2 THEN 'Range consolidation' WHEN 3 THEN 'Volatile spike' ELSE 'Pattern ' || c END || ' (cluster ' || c || ')' ELSE event_type END AS message
+    f"""SELECT event_id, CASE WHEN c >= 0 THEN event_type || chr(10) || chr(10) || ' *Pattern:* ' || CASE c {REGIME_SQL} ELSE 'Pattern ' || c END || ' (cluster ' || c || ')' ELSE event_type END AS message
   FROM (SELECT event_id, event_type, CASE WHEN user_id % 8 < 7 THEN user_id % 8 - 1 END AS c FROM events)""",
 )
 def _(spark, sf_dir):
@@ -97,8 +99,7 @@ def _(spark, sf_dir):
 
 @query(
     "j7_regime_names",
-    """SELECT event_id, CASE user_id % 6 WHEN 0 THEN 'Breakout (bullish)' WHEN 1 THEN 'Breakdown (bearish)' WHEN 2 THEN 'Range consolidation'
-  WHEN 3 THEN 'Volatile spike' ELSE 'Pattern ' || (user_id % 6) END AS regime FROM events""",
+    f"SELECT event_id, CASE user_id % 6 {REGIME_SQL} ELSE 'Pattern ' || (user_id % 6) END AS regime FROM events",
 )
 def _(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", X.regime_name(F.col("user_id") % 6).alias("regime"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketspark.catalog.base import query, rounded
@@ -26,8 +29,8 @@ def typed_times(bars):
     )
 
 
-def chart_table(spark, sf_dir):
-    return typed_times(candles(spark, sf_dir))
+def chart_table(spark, sf_dir, low_ms=None, high_ms=None):
+    return typed_times(candles(spark, sf_dir, low_ms, high_ms))
 
 
 def doubled(spark, sf_dir):
@@ -102,11 +105,15 @@ def _(spark, sf_dir):
 
 @query(
     "p6_ingest_time",
-    CANDLES + " SELECT symbol, open_time, true AS stamped FROM candles",
+    CANDLES + " SELECT symbol, open_time, true AS stamped, 1::BIGINT AS stamps FROM candles",
 )
 def _(spark, sf_dir):
+    """Every candle bears one stamp, taken between the start of the query's making and its end."""
+    before = F.lit(datetime.now(timezone.utc))
     stamped = candles(spark, sf_dir).withColumn("ingested", F.current_timestamp())
-    return stamped.select("symbol", "open_time", (F.col("ingested") > C.ms_to_timestamp("open_time")).alias("stamped"))
+    inside = (F.col("ingested") >= before) & (F.col("ingested") < before + F.expr("INTERVAL 1 DAY"))
+    stamps = F.size(F.collect_set("ingested").over(Window.partitionBy("symbol", "open_time"))).cast("bigint")
+    return stamped.select("symbol", "open_time", inside.alias("stamped"), stamps.alias("stamps"))
 
 
 @query(
@@ -193,7 +200,7 @@ def _(spark, sf_dir):
 
 @query("f2_open_range", CANDLES + f" SELECT symbol, open_time, close FROM candles WHERE open_time BETWEEN {START} AND {END}")
 def _(spark, sf_dir):
-    return O.in_open_range(candles(spark, sf_dir), START, END).select("symbol", "open_time", "close")
+    return O.in_open_range(candles(spark, sf_dir, START, END), START, END).select("symbol", "open_time", "close")
 
 
 @query(
@@ -203,7 +210,8 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     now = F.lit("2024-01-20 00:00:00").cast("timestamp")
-    return C.live_result(O.last_minutes(chart_table(spark, sf_dir), now, 540))
+    noon = 1_705_708_800_000  # the same time in milliseconds; a bar that closes in range opens up to an hour before
+    return C.live_result(O.last_minutes(chart_table(spark, sf_dir, noon - 540 * 60_000 - HOUR_MS, noon), now, 540))
 
 
 @query(
@@ -211,7 +219,7 @@ def _(spark, sf_dir):
     CANDLES + f" SELECT symbol, make_timestamp(open_time * 1000) AS open_datetime, close FROM candles WHERE open_time BETWEEN {START} AND {END}",
 )
 def _(spark, sf_dir):
-    return O.in_seconds_range(chart_table(spark, sf_dir), [START // 1000, END // 1000]).select(
+    return O.in_seconds_range(chart_table(spark, sf_dir, START, END), [START // 1000, END // 1000]).select(
         "symbol", "open_datetime", "close"
     )
 
@@ -235,7 +243,7 @@ def _(spark, sf_dir):
   FROM candles WHERE symbol = 'view' AND open_time BETWEEN {START} AND {END} ORDER BY open_time""",
 )
 def _(spark, sf_dir):
-    texts = chart_table(spark, sf_dir).withColumn("open_datetime", C.iso_ms(F.col("open_datetime")))
+    texts = chart_table(spark, sf_dir, START, END).withColumn("open_datetime", C.iso_ms(F.col("open_datetime")))
     return O.chart_rows(texts, "view", [START // 1000, END // 1000]).select(
         "symbol", "open_datetime", "close_datetime", "close"
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marketspark.catalog.alerts import LATEST, REPLAY_SQL, RULES
+from marketspark.catalog.alerts import LATEST, REGIME_SQL, REPLAY_SQL, RULES
 from marketspark.catalog.base import query, rounded
 from marketspark.catalog.candles import CANDLES, DERIVED_SQL, DOUBLED, doubled
 from marketspark.catalog.sentiment import SENTIMENT, gloomy_classifier
@@ -249,8 +249,10 @@ _CYCLE = REPLAY_SQL.format(move="100").replace("SELECT symbol, exchange, thresho
     "x6_alert_cycle",
     _CYCLE + """, g AS (SELECT exchange, symbol, count(*) % 5 - 1 AS c FROM quotes GROUP BY 1, 2)
   SELECT f.symbol, f.exchange, condition, ts, price,
-    CASE WHEN c >= 0 THEN ' *Pattern:* ' || CASE c WHEN 0 THEN 'Breakout (bullish)' WHEN 1 THEN 'Breakdown (bearish)' WHEN 2 THEN 'Range consolidation' ELSE 'Volatile spike' END || ' (cluster ' || c || ')' ELSE '' END AS pattern,
-    CASE condition WHEN 'above' THEN ' *Sentiment (mistral):* bullish (0.90)' ELSE ' *Sentiment (huggingface):* bearish (0.75)' END AS sentiment
+    concat_ws(chr(10), '*Price Alert!*', 'Symbol: `' || f.symbol || '`', 'Exchange: `' || f.exchange || '`', 'Current: `$' || format('{:,.2f}', price) || '`',
+      'Threshold: `$' || format('{:,.2f}', threshold) || '` (' || condition || ')', 'Time: ' || strftime(ts, '%Y-%m-%d %H:%M:%S UTC')) ||
+    CASE WHEN c >= 0 THEN chr(10) || chr(10) || ' *Pattern:* ' || CASE c """ + REGIME_SQL + """ END || ' (cluster ' || c || ')' ELSE '' END || chr(10) || chr(10) ||
+    CASE condition WHEN 'above' THEN ' *Sentiment (mistral):* bullish (0.90)' ELSE ' *Sentiment (huggingface):* bearish (0.75)' END AS message
   FROM f LEFT JOIN g ON f.exchange = g.exchange AND f.symbol = g.symbol""",
 )
 def _(spark, sf_dir):
@@ -262,8 +264,7 @@ def _(spark, sf_dir):
         "condition",
         "ts",
         "price",
-        F.regexp_extract(message, r" \*Pattern:\* .*", 0).alias("pattern"),
-        F.regexp_extract(message, r" \*Sentiment .*", 0).alias("sentiment"),
+        message,
     )
 
 

@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,13 +38,21 @@ def quotes_of(events: DataFrame) -> DataFrame:
     )
 
 
-def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes_of(table(spark, sf_dir, "events"))
+def quotes(spark: SparkSession, sf_dir: str, low_ms: int | None = None, high_ms: int | None = None) -> DataFrame:
+    """The tape; bounds in epoch milliseconds (low in, high out) are on the stored column, so they reach the files."""
+    events = table(spark, sf_dir, "events")
+    for bound, keep in ((low_ms, "__ge__"), (high_ms, "__lt__")):
+        if bound is not None:
+            at = datetime.fromtimestamp(bound / 1000, timezone.utc).replace(tzinfo=None)
+            events = events.filter(getattr(F.col("ts"), keep)(F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")))
+    return quotes_of(events)
 
 
-def candles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly candles in the CANDLE schema."""
-    return as_candle_rows(build_candles(quotes(spark, sf_dir), ["symbol"], 3600))
+def candles(spark: SparkSession, sf_dir: str, low_ms: int | None = None, high_ms: int | None = None) -> DataFrame:
+    """Hourly candles in the CANDLE schema; those that open from ``low_ms`` to ``high_ms`` need only those hours' quotes."""
+    low = None if low_ms is None else low_ms // HOUR_MS * HOUR_MS
+    high = None if high_ms is None else high_ms // HOUR_MS * HOUR_MS + HOUR_MS
+    return as_candle_rows(build_candles(quotes(spark, sf_dir, low, high), ["symbol"], 3600))
 
 
 def stored_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
