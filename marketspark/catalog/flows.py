@@ -220,9 +220,21 @@ def _(spark, sf_dir):
 
 @query("x5_stateful_alerts", REPLAY_SQL.format(move="100"))
 def _(spark, sf_dir):
-    path, state = new_path(spark, "fired"), new_path(spark, "state")
-    run(SI.start_append(SA.fired_alerts(quote_stream(spark, sf_dir), rules(spark, sf_dir)), path, state))
-    return spark.read.schema(SA.FIRED_DDL).parquet(path)
+    path, held, state = (new_path(spark, n) for n in ("fired", "last", "state"))
+    run(SA.start_alerts(quote_stream(spark, sf_dir), rules(spark, sf_dir), path, held, state))
+    return spark.read.schema(SA.FIRED_DDL).parquet(path).drop("batch")
+
+
+@query(
+    "x6_fallback",
+    REPLAY_SQL.format(move="100").replace("FROM quotes q JOIN rules r", "FROM (SELECT * REPLACE ('okx' AS exchange) FROM quotes WHERE exchange = 'kraken') q JOIN (SELECT * REPLACE ('okx' AS exchange) FROM rules WHERE exchange = 'binance') r"),
+)
+def _(spark, sf_dir):
+    """Rules of an exchange without quotes fire on the first fallback that has some."""
+    path, held, state = (new_path(spark, n) for n in ("fired", "last", "state"))
+    moved = rules(spark, sf_dir).filter("exchange = 'binance'").withColumns({"exchange": F.lit("okx"), "fallback_exchanges": F.array(F.lit("nowhere"), F.lit("kraken"), F.lit("binance"))})
+    run(SA.start_alerts(quote_stream(spark, sf_dir), moved, path, held, state, fallback=True))
+    return spark.read.schema(SA.FIRED_DDL).parquet(path).drop("batch")
 
 
 def _stand_in():
@@ -235,10 +247,10 @@ def _stand_in():
 
 
 def _alert_cycle(spark, sf_dir):
-    store, box, state = (new_path(spark, n) for n in ("sentiment", "outbox", "state"))
+    store, box, fired, held, state = (new_path(spark, n) for n in ("sentiment", "outbox", "fired", "last", "state"))
     # A regime per key: its number of quotes modulo 5, noise for 0.
     patterns = quotes(spark, sf_dir).groupBy("exchange", "symbol").agg((F.count(F.lit(1)) % 5 - 1).alias("cluster_id"))
-    run(SA.start_alert_cycle(quote_stream(spark, sf_dir), rules(spark, sf_dir), patterns, _stand_in, store, box, state, gloomy_classifier, availableNow=True))
+    run(SA.start_alert_cycle(quote_stream(spark, sf_dir), rules(spark, sf_dir), patterns, _stand_in, store, box, fired, held, state, gloomy_classifier, availableNow=True))
     return store, box
 
 

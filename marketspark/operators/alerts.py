@@ -109,11 +109,31 @@ def fire(
     return fired, last_at, last_price
 
 
+def with_source(rules: DataFrame, quotes: DataFrame, default: Sequence[str] = ("binance", "kraken", "bybit")) -> DataFrame:
+    """Rules with the exchange (``source``) whose quotes price them: their own, else the first fallback that has any.
+
+    Rules whose symbol has no quote on any of their exchanges keep their own exchange.
+    """
+    backups = F.coalesce(F.col("fallback_exchanges"), F.array(*[F.lit(e) for e in default]))
+    tries = rules.select("symbol", "exchange", backups.alias("_backups")).distinct()
+    tries = tries.select("*", F.posexplode(F.array_distinct(F.concat(F.array("exchange"), F.col("_backups")))).alias("_pos", "_try"))
+    quoted = quotes.select(F.col("exchange").alias("_try"), "symbol").distinct()
+    found = tries.join(quoted, ["symbol", "_try"]).groupBy("symbol", "exchange", "_backups").agg(F.min_by("_try", "_pos").alias("source"))
+    return rules.withColumn("_backups", backups).join(found, ["symbol", "exchange", "_backups"], "left").withColumn("source", F.coalesce("source", "exchange")).drop("_backups")
+
+
 def crossings(quotes: DataFrame, rules: DataFrame) -> DataFrame:
-    """Quotes that cross a rule: the only ones that can fire or change state."""
+    """Quotes that cross a rule: the only ones that can fire or change state.
+
+    Rules with a ``source`` (see ``with_source``) are priced by the quotes of that exchange.
+    """
+    if "source" in rules.columns:
+        own = rules.withColumnsRenamed({"exchange": "_exchange", "source": "exchange"})
+        matched = matched_rules(quotes, own).drop("exchange").withColumnRenamed("_exchange", "exchange")
+    else:
+        matched = matched_rules(quotes, rules)
     return (
-        matched_rules(quotes, rules)
-        .filter("crossed")
+        matched.filter("crossed")
         .select(*RULE_KEY, "ts", "seq", "price")
         .withColumn("_at", F.unix_micros("ts"))
     )
@@ -138,6 +158,7 @@ def replay(
     min_move: float = MIN_MOVE,
     part_seconds: int | None = None,
     part_rows: int = 500_000,
+    entry: DataFrame | None = None,
 ) -> DataFrame:
     """Every alert that would have fired over stored quotes, per rule.
 
@@ -146,6 +167,8 @@ def replay(
     and never held as a whole. A part whose guess differs from what the parts before it leave
     behind runs again. Parts settle from the earliest on, so the loop ends with the exact
     sequential result, after few rounds as long as parts are longer than the cooldown.
+    ``entry`` (the rule's key, ``at`` in microseconds, ``price``) is the last fire before the quotes, as the
+    rounds of a stream hand it on.
     """
     rows = settle(crossings(quotes, rules))
     cooldown = cooldown_seconds * 1_000_000
@@ -186,13 +209,17 @@ def replay(
         in_order = rows.repartition(*keys).sortWithinPartitions(*keys, "_at", "seq")
         return in_order.groupBy(*keys).applyInPandas(run, result)
 
-    unknown = {"_in_at": F.lit(None).cast("bigint"), "_in_price": F.lit(None).cast("double")}
-    done = settle(evaluate(rows.withColumns(unknown)))
+    if entry is None:
+        entry = rows.limit(0).select(*RULE_KEY, F.col("_at").alias("at"), "price")
+    before = settle(entry.select(*RULE_KEY, F.col("at").alias("_in_at"), F.col("price").alias("_in_price")))
+    done = settle(evaluate(join_small(rows, before, RULE_KEY, "left")))
+    known = before.select(*RULE_KEY, F.struct(F.col("_in_at").alias("at"), F.col("_in_price").alias("price")).alias("_known"))
     earlier = Window.partitionBy(*RULE_KEY).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     while width:
         # One end row per part: the right entry state is the last fire of any earlier part.
         left = F.when(F.col("at").isNotNull(), F.struct("at", "price"))
-        linked = done.filter("_end").select(*keys, "_in_at", "_in_price", F.last(left, ignorenulls=True).over(earlier).alias("_from"))
+        ends = done.filter("_end").select(*keys, "_in_at", "_in_price", F.last(left, ignorenulls=True).over(earlier).alias("_left"))
+        linked = ends.join(known, RULE_KEY, "left").withColumn("_from", F.coalesce("_left", "_known"))
         same = F.col("_from.at").eqNullSafe(F.col("_in_at")) & F.col("_from.price").eqNullSafe(F.col("_in_price"))
         wrong = settle(linked.filter(~same).select(*keys, F.col("_from.at").alias("_in_at"), F.col("_from.price").alias("_in_price")))
         if wrong.isEmpty():

@@ -2,62 +2,65 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from marketspark.functions import text as X
 from marketspark.functions.sentiment import as_record, top_confidence, top_label
-from marketspark.operators.alerts import COOLDOWN_SECONDS, MIN_MOVE, RULE_KEY, crosses, fire
-from marketspark.operators.joins import BROADCAST_ROWS
+from marketspark.operators.alerts import COOLDOWN_SECONDS, MIN_MOVE, RULE_KEY, replay, with_source
 from marketspark.operators.sentiment import Classifier, score_texts
-from marketspark.session import ship_code
+from marketspark.session import remove, settle, ship_code
 from marketspark.sources.tables import append_sentiment
 
 FIRED_DDL = "symbol string, exchange string, threshold double, condition string, ts timestamp, seq bigint, price double"
+STATE_DDL = "symbol string, exchange string, threshold double, condition string, at bigint, price double"
 
 
-def fired_alerts(
-    quotes: DataFrame, rules: DataFrame, cooldown_seconds: int = COOLDOWN_SECONDS, min_move: float = MIN_MOVE
-) -> DataFrame:
-    """Alerts of a quote stream: one row per fire.
+def start_alerts(
+    quotes: DataFrame,
+    rules: DataFrame,
+    table: str,
+    state: str,
+    checkpoint: str,
+    cooldown_seconds: int = COOLDOWN_SECONDS,
+    min_move: float = MIN_MOVE,
+    fallback: bool = False,
+    then: Callable[[DataFrame, int], None] | None = None,
+    **trigger,
+) -> StreamingQuery:
+    """Alerts of a quote stream: one row per fire, in ``table`` by batch.
 
-    Quotes that cross no rule are dropped before the shuffle, so a rule's group holds only
-    the crossings of one micro-batch. Rows of a batch are put in time order; the stream is
-    expected to be ordered across batches, as a topic partition is.
+    Every batch is replayed by the batch operator from the last fires that the batch before it left in ``state``,
+    so a rule's crossings are cut into parts and never held together, however many a batch brings. A repeated
+    batch starts from the same state and replaces its own output. The stream is expected to be in time order
+    across batches, as a topic partition is. With ``fallback`` a rule whose exchange has no quote of its symbol in
+    a batch is priced by the first of its fallback exchanges that has. ``then`` gets each batch's fires.
     """
     ship_code(quotes.sparkSession)
-    if rules.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        rules = F.broadcast(rules)
-    crossed = (
-        quotes.join(rules, ["exchange", "symbol"])
-        .filter(crosses(F.col("price"), F.col("threshold"), F.col("condition")))
-        .select(*RULE_KEY, F.unix_micros("ts").alias("_at"), "seq", "price")
-    )
-    cooldown = cooldown_seconds * 1_000_000
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(["_at", "seq"])
-        last_at, last_price = state.get if state.exists else (None, None)
-        at, price = rows["_at"].to_numpy(), rows["price"].to_numpy()
-        fired, last_at, last_price = fire(at, price, last_at, last_price, cooldown, min_move)
-        if fired:
-            state.update((last_at, last_price))
-            out = rows.iloc[np.array(fired)][["_at", "seq", "price"]]
-            for name, value in zip(reversed(RULE_KEY), reversed(key)):
-                out.insert(0, name, value)
-            yield out
-
-    schema = "symbol string, exchange string, threshold double, condition string, _at bigint, seq bigint, price double"
-    fires = crossed.groupBy(*RULE_KEY).applyInPandasWithState(
-        run, schema, "at bigint, price double", "append", GroupStateTimeout.NoTimeout
-    )
-    return fires.withColumn("ts", F.timestamp_micros("_at")).drop("_at")
+    held = settle(rules)
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        entry = spark.read.schema(STATE_DDL).parquet(f"{state}/batch={number - 1}") if number else spark.createDataFrame([], STATE_DDL)
+        batch = batch.persist()
+        try:
+            priced = with_source(held, batch) if fallback else held
+            fires = settle(replay(batch, priced, cooldown_seconds, min_move, entry=entry))
+        finally:
+            batch.unpersist()
+        when = F.struct("ts", "seq")
+        left = fires.groupBy(*RULE_KEY).agg(F.unix_micros(F.max("ts")).alias("at"), F.max_by("price", when).alias("price"))
+        kept = entry.join(left.select(*RULE_KEY), RULE_KEY, "left_anti").unionByName(left)
+        fires.write.mode("overwrite").parquet(f"{table}/batch={number}")
+        if then:
+            then(fires, number)
+        kept.write.mode("overwrite").parquet(f"{state}/batch={number}")
+        remove(spark, f"{state}/batch={number - 2}")
+
+    return quotes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def with_regimes(fired: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -103,36 +106,34 @@ def outbox(messages: DataFrame) -> DataFrame:
 def start_alert_cycle(
     quotes: DataFrame,
     rules: DataFrame,
-    patterns: DataFrame | None,
+    patterns: DataFrame | Callable[[DataFrame], DataFrame] | None,
     make: Callable[[], Classifier],
     sentiment_table: str,
     outbox_table: str,
+    fired_table: str,
+    state: str,
     checkpoint: str,
     fallback: Callable[[], Classifier] | None = None,
     min_move: float = MIN_MOVE,
+    other_exchanges: bool = True,
     **trigger,
 ) -> StreamingQuery:
     """Fire, enrich, store sentiment, and put messages in an outbox table for a sender.
 
-    Sentiment goes to the same table as ``append_sentiment`` writes, by day and load. Both writes of a batch bear
+    ``patterns`` is a table of regimes, stored once, or a function of a batch's fires that detects them anew.
+    Sentiment goes to the same table as ``append_sentiment`` writes, by day and load. All writes of a batch bear
     its number, so a repeated batch replaces itself.
     """
+    regimes = settle(patterns) if isinstance(patterns, DataFrame) else patterns
 
-    def write(batch: DataFrame, number: int) -> None:
-        messages = messages_of(batch, patterns, make, "mistral", fallback).persist()
+    def send(fires: DataFrame, number: int) -> None:
+        found = settle(regimes(fires)) if callable(regimes) else regimes
+        messages = messages_of(fires, found, make, "mistral", fallback).persist()
         try:
             append_sentiment(sentiment_records(messages), sentiment_table, f"cycle-{number:09d}")
             outbox(messages).write.mode("overwrite").parquet(f"{outbox_table}/batch={number}")
         finally:
             messages.unpersist()
 
-    fires = fired_alerts(quotes, rules, min_move=min_move)
-    return (
-        fires.writeStream.foreachBatch(write)
-        .outputMode("append")
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"processingTime": "60 seconds"}))
-        .start()
-    )
-
-
+    every = trigger or {"processingTime": "60 seconds"}
+    return start_alerts(quotes, rules, fired_table, state, checkpoint, min_move=min_move, fallback=other_exchanges, then=send, **every)

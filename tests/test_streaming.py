@@ -97,11 +97,11 @@ def quotes_in_time(n=400, seed=6):
 def test_alert_stream_equals_replay(spark, tmp_path):
     rules = spark.createDataFrame([("BTC/USDT", "binance", 70100.0, "above", None), ("BTC/USDT", "kraken", 70900.0, "below", None), ("BTC/USDT", "kraken", 70050.0, "above", None)], RULE_DDL)
     tape = quotes_in_time()
-    feed, table, state = (str(tmp_path / n) for n in ("feed", "table", "state"))
-    for part in (tape[:150], tape[150:160], tape[160:]):  # three runs, state carried in the checkpoint
+    feed, table, held, state = (str(tmp_path / n) for n in ("feed", "table", "held", "state"))
+    for part in (tape[:150], tape[150:160], tape[160:]):  # three runs, the last fires handed on
         spark.createDataFrame(part, QUOTE_DDL).coalesce(1).write.mode("append").parquet(feed)
         stream = spark.readStream.schema(QUOTE_DDL).parquet(feed)
-        SI.start_append(SA.fired_alerts(stream, rules), table, state).awaitTermination()
+        SA.start_alerts(stream, rules, table, held, state).awaitTermination()
     got = sorted(tuple(r) for r in spark.read.parquet(table).select(*A.RULE_KEY, "seq").collect())
     want = sorted(tuple(r) for r in A.replay(spark.createDataFrame(tape, QUOTE_DDL), rules).select(*A.RULE_KEY, "seq").collect())
     assert got == want and len(want) > 5
@@ -139,12 +139,12 @@ def test_tick_candles_lose_nothing(spark, tmp_path):
 
 def test_outbox_and_stored_sentiment(spark, tmp_path):
     rules = spark.createDataFrame([("BTC/USDT", "binance", 70000.0, "above", None)], RULE_DDL)
-    feed, store, box, state = (str(tmp_path / n) for n in ("feed", "store", "box", "state"))
+    feed, store, box, fired, held, state = (str(tmp_path / n) for n in ("feed", "store", "box", "fired", "held", "state"))
     spark.createDataFrame([("BTC/USDT", "binance", START, 1, 75000.0, 1.0)], QUOTE_DDL).write.parquet(feed)
     patterns = spark.createDataFrame([("binance", "BTC/USDT", 3), ("kraken", "BTC/USDT", 1)], "exchange string, symbol string, cluster_id int")
     stream = spark.readStream.schema(QUOTE_DDL).parquet(feed)
     make = lambda: lambda texts: [(["bearish", "bullish"], [0.2, 0.8])] * len(texts)
-    SA.start_alert_cycle(stream, rules, patterns, make, store, box, state, availableNow=True).awaitTermination()
+    SA.start_alert_cycle(stream, rules, patterns, make, store, box, fired, held, state, availableNow=True).awaitTermination()
     message = spark.read.parquet(box).first().message
     assert "$75,000.00" in message and "*Pattern:* Volatile spike (cluster 3)" in message
     assert message.endswith("*Sentiment (mistral):* bullish (0.80)")
