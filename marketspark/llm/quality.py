@@ -156,13 +156,13 @@ def fit_linear(rows: np.ndarray, buckets: np.ndarray, values: np.ndarray, target
     return weight, float(bias)
 
 
-def classify(docs: DataFrame, sample_rows: int = 20_000, seed: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, sample_rows: int = 20_000, sample_words: int = 6_000_000, seed: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: doc_id, votes, weak_good, score, keep.
 
     Every text is voted on by LABELLERS; EM over the vote patterns of all texts (at most 3**labellers rows reach
     the driver) gives their accuracies and each text's probability of being good (``weak_good``). These
-    probabilities train a logistic scorer over hashed words and word shapes, on at most ``sample_rows`` texts
-    (the bound; those with the smallest hash of text and seed). ``score`` is its probability, ``keep`` whether it
+    probabilities train a logistic scorer over hashed words and word shapes, on the texts with the smallest hash
+    of text and seed: at most ``sample_rows``, and so many that ``sample_words`` are expected in them (the bounds). ``score`` is its probability, ``keep`` whether it
     is at least one half. Null and empty texts have no features: their score is 0 and they are not kept. An
     empty table gives an empty result.
     """
@@ -177,15 +177,19 @@ def classify(docs: DataFrame, sample_rows: int = 20_000, seed: int = 3, id_col:
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            key, n = np.unique(pattern(voted(batch)[2]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["pattern", "n"])
+            words, _, vote = voted(batch)
+            key, at, n = np.unique(pattern(vote), return_inverse=True, return_counts=True)
+            size = np.bincount(at, weights=np.diff(words.first), minlength=len(key)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(size)], ["pattern", "n", "words"])
 
-    seen = rows.mapInArrow(tally, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toArrow()
+    seen = rows.mapInArrow(tally, "pattern long, n long, words long").groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).toArrow()
     keys, count = seen.column("pattern").to_numpy(), seen.column("n").to_numpy()
     vote = (keys[:, None] // 3 ** np.arange(len(LABELLERS)) % 3 - 1).astype(np.int8)
     weak = fit_weak(vote, count.astype(float))
 
     total = int(count.sum())
+    size = int(np.sum(seen.column("words").to_numpy()))
+    sample_rows = max(1, min(sample_rows, sample_words * total // max(size, 1)))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "text"), 11) / F.lit(float(1 << 53))
     drawn = rows.filter(F.col("text").isNotNull() & (draw < min(1.0, 2.0 * sample_rows / max(total, 1)))).withColumn("draw", draw)
 
