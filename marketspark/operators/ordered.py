@@ -138,9 +138,10 @@ def ema(
     """Exponential moving averages, seeded with the first value, as a chunked prefix scan.
 
     ``outputs`` maps a new column to (value column, span, full): with ``full`` the first
-    span-1 values are null. Values must not be null. The recurrence is linear, so a chunk's contribution to later
-    chunks fades by a known factor: each chunk emits its end value to the few chunks that
-    can still feel it, and no series-wide ordering step is needed.
+    span-1 values are null. A null value is an error: no average that skips it would be the recurrence's. The
+    recurrence is linear, so a chunk's contribution to later chunks fades by a known factor: each chunk emits its
+    end value to the few chunks that can still feel it (a weight of 1e-18 or more, beyond which a double does not
+    change), and no series-wide ordering step is needed.
     """
     keys = list(keys)
     if any(span < 1 for _, span, _ in outputs.values()):
@@ -151,7 +152,8 @@ def ema(
 
     def weighted(name: str) -> Column:
         value, span, _ = outputs[name]
-        return F.when(F.col(index) == 0, F.col(value)).otherwise(F.lit(2 / (span + 1)) * F.col(value))
+        known = F.coalesce(F.col(value), F.raise_error(F.lit(f"ema: {value} is null")).cast("double"))
+        return F.when(F.col(index) == 0, known).otherwise(F.lit(2 / (span + 1)) * known)
 
     if decay:
         ends = rows.groupBy(*keys, "_chunk").agg(

@@ -49,6 +49,16 @@ def volatility_series(df: DataFrame, symbols: Sequence[str] | None = None, perio
     return atr(rows, period).select("symbol", "close_datetime", "atr").orderBy("close_datetime", "symbol")
 
 
+def unusable_live(messages: DataFrame) -> DataFrame:
+    """(seq, pos, status) of everything that ``live_series`` cannot show: whole payloads (no pos) and single rows."""
+    decoded = decode_live(messages)
+    whole = decoded.filter(F.col("records").isNull()).select("seq", F.lit(None).cast("int").alias("pos"), "status")
+    rows = explode_live(decoded)
+    bad_time = parse_time(F.col("close_datetime")).isNull()
+    status = F.when(bad_time, "row without a readable close time").when(F.coalesce(F.length("symbol"), F.lit(0)) == 0, "row without a symbol")
+    return whole.unionByName(rows.select("seq", "pos", status.alias("status")).filter("status IS NOT NULL"))
+
+
 def live_series(messages: DataFrame, zone: str = "Europe/Berlin") -> DataFrame:
     """Live line: decode payloads, drop unreadable times, let the last row of a close time win.
 

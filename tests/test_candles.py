@@ -141,3 +141,6 @@ def test_live_payload(spark):
     }
     live = series.live_series(df).collect()
     assert [(r.symbol, r.close, str(r.close_datetime)) for r in live] == [("BTC", 2.5, "2024-01-01 11:00:00")]
+    bad = {(r.seq, r.pos): r.status for r in series.unusable_live(df).collect()}
+    assert bad.pop((1, 2)) == "row without a readable close time"
+    assert {seq for seq, _ in bad} == set(range(2, 8)) and all(bad.values())

@@ -101,3 +101,9 @@ def test_latest_before_equals_merge_asof(spark, seconds):
 def test_margin_must_fit(spark):
     with pytest.raises(ValueError):
         R.with_margin(spark.range(3).withColumn("row_index", F.col("id")), 2, back=3)
+
+
+def test_ema_refuses_nulls(spark):
+    rows = spark.createDataFrame([("a", i, None if i == 3 else float(i)) for i in range(6)], "k string, row_index bigint, v double")
+    with pytest.raises(Exception, match="v is null"):
+        R.ema(rows, ["k"], {"e": ("v", 3, False)}).collect()
