@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marketspark.session import new_path, ship_code
 
@@ -139,6 +142,39 @@ def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Stands for a null id where rows are put in order: after all others.
+LAST_ID = (1 << 63) - 1
+
+
+def range_parts(df: DataFrame, count: int, key: str, tie: Column | None = None, like: DataFrame | None = None, per_part: int = 20) -> DataFrame:
+    """``df`` dealt over at most ``count`` partitions by ranges of a long ``key`` (nulls last), with their number in ``part``.
+
+    Unlike Spark's own range partitioning the bounds are a function of the rows alone (quantiles of the keys with
+    the smallest hashes, about ``per_part`` a partition), so that every reading of the plan, a repeated stage and
+    a later run deal alike. Rows of one key stay together unless ``tie`` (a long) tells them apart. ``like`` has the
+    keys to take the bounds from, where it is cheaper to read than ``df``.
+    """
+    made = {"_k": F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID)), "_t": F.lit(0).cast("long") if tie is None else tie}
+    keyed, shown = df.withColumns(made), (df if like is None else like).withColumns(made)
+    rows = shown.count()
+    draw = F.shiftrightunsigned(F.xxhash64("_k", "_t"), 11) / F.lit(float(1 << 53))
+    drawn = shown.filter(draw < min(1.0, per_part * count / max(rows, 1))).select("_k", "_t").toArrow()
+    keys = sorted(zip(drawn.column("_k").to_pylist(), drawn.column("_t").to_pylist(), strict=True))
+    bounds = sorted({keys[len(keys) * i // count] for i in range(1, count)}) if keys else []
+    high = np.array([k for k, _ in bounds], dtype=np.int64)
+
+    def place(k: pd.Series, t: pd.Series) -> pd.Series:
+        """How many bounds are at or below (k, t)."""
+        wanted = k.to_numpy()
+        left, right = np.searchsorted(high, wanted, "left"), np.searchsorted(high, wanted, "right")
+        for i in np.flatnonzero(left < right):
+            left[i] = bisect.bisect_right(bounds, (int(wanted[i]), int(t.iloc[i])))
+        return pd.Series(left.astype(np.int32))
+
+    part = F.pandas_udf(place, "int")("_k", "_t")
+    return keyed.withColumn("part", part).drop("_k", "_t").repartitionById(count, F.col("part"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketspark.llm.common import CHUNK_BYTES, Rolling, Words, chunks
+from marketspark.llm.common import CHUNK_BYTES, Rolling, Words, chunks, range_parts
 
 #: Hashes lie in [0, 2**63), so that Spark's longs order them.
 SPACE = float(1 << 63)
@@ -123,19 +123,23 @@ def with_next(docs: DataFrame, k: int = 128, width: int = 5, id_col: str = "doc_
     first (a lone row follows itself). The edit replaces the last floor(n / 2) code points by as many first ones
     of the next text. Null texts are empty. An empty table gives an empty result.
 
-    Texts are range-partitioned by id once. Inside a partition the next row is at hand; the last row of each
-    partition takes the first row of the next partition with rows, in a join of one row per partition.
+    Texts are dealt by ranges of the id once. Inside a part the next row is at hand; the last row of each part
+    takes the first row of the next part with rows, in a join of one row per part. Where a row belongs is a
+    function of the table alone, so both readings of the parts agree even if one is computed again.
     """
     spark = docs.sparkSession
     count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    keys = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
-    ranged = rows.repartitionByRange(count, *keys).sortWithinPartitions(*keys)
+    rows = range_parts(rows, count, "doc_id", F.xxhash64("text"))
+    ranged = rows.sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
         texts: list[str] = []
-        for batch in chunks(batches, limit=CHUNK_BYTES // 2):
+        part = None
+        for batch in _one_part(chunks(batches, limit=CHUNK_BYTES // 2)):
+            if batch.column("part")[0].as_py() != part:
+                part, ids, texts = batch.column("part")[0].as_py(), [], []
             ids += batch.column("doc_id").to_pylist()
             texts += batch.column("text").to_pylist()
             if len(ids) > 1:
@@ -144,11 +148,12 @@ def with_next(docs: DataFrame, k: int = 128, width: int = 5, id_col: str = "doc_
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
-        for batch in batches:
-            if batch.num_rows:
-                if last is None:
-                    yield _edge(True, batch.slice(0, 1))
-                last = batch.slice(batch.num_rows - 1)
+        for batch in _one_part(batches):
+            if last is None or last.column("part")[0].as_py() != batch.column("part")[0].as_py():
+                if last is not None:
+                    yield _edge(False, last)
+                yield _edge(True, batch.slice(0, 1))
+            last = batch.slice(batch.num_rows - 1)
         if last is not None:
             yield _edge(False, last)
 
@@ -157,7 +162,7 @@ def with_next(docs: DataFrame, k: int = 128, width: int = 5, id_col: str = "doc_
             for row in batch.to_pylist():
                 yield _pairs([row["doc_id"], None], [row["text"], row["next_text"]], k, width)
 
-    ends = ranged.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(edges, "part int, head boolean, doc_id long, text string")
+    ends = ranged.mapInArrow(edges, "part int, head boolean, doc_id long, text string")
     heads = ends.filter("head")
     order = Window.orderBy("part")  # one row per partition
     after = heads.select("part", F.coalesce(F.lead("part").over(order), F.first("part").over(order)).alias("after"))
@@ -167,5 +172,13 @@ def with_next(docs: DataFrame, k: int = 128, width: int = 5, id_col: str = "doc_
     return ranged.mapInArrow(inner, _PAIRS).unionAll(joined.mapInArrow(joints, _PAIRS))
 
 
+def _one_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut where the part changes; no empty ones."""
+    for batch in batches:
+        part = batch.column("part").to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        yield from (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+
 def _edge(head: bool, row: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([row.column("part"), pa.array([head]), row.column("doc_id"), row.column("text")], ["part", "head", "doc_id", "text"])

@@ -13,7 +13,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketspark.llm.common import stored
+from marketspark.llm.common import range_parts, stored
 
 #: Payloads below so many bytes are never revisits.
 LEAST_REVISIT = 100
@@ -124,14 +124,17 @@ def write(pages: DataFrame, root: str, roll: int = 64 << 20, shards: int | None
     none = F.lit(None).cast("string")
     both = revisits(rows).select("page_id", F.lit(0).alias("kind"), none.alias("url"), F.col("digest").alias("body"), "refers_to")
     both = both.unionAll(rows.select("page_id", F.lit(1).alias("kind"), "url", F.col("html").alias("body"), F.lit(None).cast("long").alias("refers_to")))
-    keys = [F.col("page_id").asc_nulls_last()]
-    ranged = both.repartitionByRange(count, *keys).sortWithinPartitions(*keys, "kind", F.xxhash64("body"), "body", "url")
+    dealt = range_parts(both, count, "page_id", like=rows).withColumnRenamed("part", "shard")
+    ranged = dealt.sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "kind", F.xxhash64("body"), "body", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, known, page = None, {}, None
         for batch in batches:
             for row in batch.to_pylist():
-                roller = roller or _Roller(root, row["shard"], roll, date)
+                if roller and roller.shard != row["shard"] and (done := roller.close()):
+                    yield pa.RecordBatch.from_pylist([done], _MANIFEST_ARROW)
+                if roller is None or roller.shard != row["shard"]:
+                    roller = _Roller(root, row["shard"], roll, date)
                 if row["page_id"] != page:
                     known, page = {}, row["page_id"]
                 if row["kind"] == 0:
@@ -144,7 +147,7 @@ def write(pages: DataFrame, root: str, roll: int = 64 << 20, shards: int | None
         if roller and (done := roller.close()):
             yield pa.RecordBatch.from_pylist([done], _MANIFEST_ARROW)
 
-    manifest = stored(ranged.select(F.spark_partition_id().alias("shard"), "page_id", "kind", "url", "body", "refers_to").mapInArrow(run, _MANIFEST), "warc-manifest")
+    manifest = stored(ranged.select("shard", "page_id", "kind", "url", "body", "refers_to").mapInArrow(run, _MANIFEST), "warc-manifest")
 
     def commit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = _place(root)

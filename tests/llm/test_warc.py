@@ -6,7 +6,10 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from marketspark.llm import warc
+from marketspark.llm.common import range_parts
 from marketspark.session import new_path
 
 
@@ -47,6 +50,19 @@ def test_written_alike_each_time(spark):
     assert a == b
 
 
+def test_ranges_depend_on_the_rows_alone(spark):
+    rows = [(i // 3, i) for i in range(900)] + [(None, i) for i in range(50)] + [(7, i) for i in range(300)]
+    frames = [spark.createDataFrame(rows, "k long, t long").repartition(n) for n in (1, 5)]
+    a, b = (sorted(((r.part, r.k, r.t) for r in range_parts(f, 8, "k", F.col("t")).collect()), key=repr) for f in frames)
+    assert a == b and len({p for p, *_ in a}) > 4 and len(a) == len(rows)
+    keys = {}
+    for part, k, t in a:
+        keys.setdefault(part, []).append((1 << 63 if k is None else k, t))
+    assert all(max(keys[p]) <= min(keys[q]) for p, q in zip(sorted(keys), sorted(keys)[1:]))
+    whole = range_parts(frames[1], 8, "k").select("k", "part").distinct().collect()
+    assert len({r.k for r in whole}) == len(whole)  # without a tie rows of one key stay together
+
+
 def test_damage_is_found():
     good = warc.record(1, "u", b"x" * 150, hashlib.sha256(b"x" * 150).hexdigest(), None, "2024-01-01T00:00:00Z")
     assert warc.parse(good)["payload_bytes"] == 150
