@@ -146,7 +146,7 @@ def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
 LAST_ID = (1 << 63) - 1
 
 
-def range_parts(df: DataFrame, count: int, key: str, tie: Column | None = None, like: DataFrame | None = None, per_part: int = 20) -> DataFrame:
+def range_parts(df: DataFrame, count: int, key: str, tie: Column | None = None, like: DataFrame | None = None, per_part: int = 50) -> DataFrame:
     """``df`` dealt over at most ``count`` partitions by ranges of a long ``key`` (nulls last), with their number in ``part``.
 
     Unlike Spark's own range partitioning the bounds are a function of the rows alone (quantiles of the keys with
@@ -159,8 +159,9 @@ def range_parts(df: DataFrame, count: int, key: str, tie: Column | None = None,
     rows = shown.count()
     draw = F.shiftrightunsigned(F.xxhash64("_k", "_t"), 11) / F.lit(float(1 << 53))
     drawn = shown.filter(draw < min(1.0, per_part * count / max(rows, 1))).select("_k", "_t").toArrow()
-    keys = sorted(zip(drawn.column("_k").to_pylist(), drawn.column("_t").to_pylist(), strict=True))
-    bounds = sorted({keys[len(keys) * i // count] for i in range(1, count)}) if keys else []
+    k, t = drawn.column("_k").to_numpy(), drawn.column("_t").to_numpy()
+    pick = np.lexsort((t, k))[len(k) * np.arange(1, count) // count] if len(k) else np.zeros(0, dtype=np.int64)
+    bounds = sorted({*zip(k[pick].tolist(), t[pick].tolist(), strict=True)})
     high = np.array([k for k, _ in bounds], dtype=np.int64)
 
     def place(k: pd.Series, t: pd.Series) -> pd.Series:
