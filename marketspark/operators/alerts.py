@@ -210,16 +210,17 @@ def replay(
         return in_order.groupBy(*keys).applyInPandas(run, result)
 
     if entry is None:
-        entry = rows.limit(0).select(*RULE_KEY, F.col("_at").alias("at"), "price")
-    before = settle(entry.select(*RULE_KEY, F.col("at").alias("_in_at"), F.col("price").alias("_in_price")))
-    done = settle(evaluate(join_small(rows, before, RULE_KEY, "left")))
-    known = before.select(*RULE_KEY, F.struct(F.col("_in_at").alias("at"), F.col("_in_price").alias("price")).alias("_known"))
+        done = settle(evaluate(rows.withColumns({"_in_at": F.lit(None).cast("bigint"), "_in_price": F.lit(None).cast("double")})))
+    else:
+        before = settle(entry.select(*RULE_KEY, F.col("at").alias("_in_at"), F.col("price").alias("_in_price")))
+        done = settle(evaluate(join_small(rows, before, RULE_KEY, "left")))
+        known = before.select(*RULE_KEY, F.struct(F.col("_in_at").alias("at"), F.col("_in_price").alias("price")).alias("_known"))
     earlier = Window.partitionBy(*RULE_KEY).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     while width:
         # One end row per part: the right entry state is the last fire of any earlier part.
         left = F.when(F.col("at").isNotNull(), F.struct("at", "price"))
         ends = done.filter("_end").select(*keys, "_in_at", "_in_price", F.last(left, ignorenulls=True).over(earlier).alias("_left"))
-        linked = ends.join(known, RULE_KEY, "left").withColumn("_from", F.coalesce("_left", "_known"))
+        linked = ends.withColumn("_from", F.col("_left")) if entry is None else ends.join(known, RULE_KEY, "left").withColumn("_from", F.coalesce("_left", "_known"))
         same = F.col("_from.at").eqNullSafe(F.col("_in_at")) & F.col("_from.price").eqNullSafe(F.col("_in_price"))
         wrong = settle(linked.filter(~same).select(*keys, F.col("_from.at").alias("_in_at"), F.col("_from.price").alias("_in_price")))
         if wrong.isEmpty():

@@ -44,7 +44,7 @@ def start_alerts(
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        entry = spark.read.schema(STATE_DDL).parquet(f"{state}/batch={number - 1}") if number else spark.createDataFrame([], STATE_DDL)
+        entry = spark.read.schema(STATE_DDL).parquet(f"{state}/batch={number - 1}") if number else None
         batch = batch.persist()
         try:
             priced = with_source(held, batch) if fallback else held
@@ -53,7 +53,7 @@ def start_alerts(
             batch.unpersist()
         when = F.struct("ts", "seq")
         left = fires.groupBy(*RULE_KEY).agg(F.unix_micros(F.max("ts")).alias("at"), F.max_by("price", when).alias("price"))
-        kept = entry.join(left.select(*RULE_KEY), RULE_KEY, "left_anti").unionByName(left)
+        kept = entry.join(left.select(*RULE_KEY), RULE_KEY, "left_anti").unionByName(left) if number else left
         fires.write.mode("overwrite").parquet(f"{table}/batch={number}")
         if then:
             then(fires, number)

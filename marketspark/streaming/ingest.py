@@ -67,8 +67,9 @@ def without_repeats(candles: DataFrame, lateness: str = "1 hour") -> DataFrame:
 def start_ingest(messages: DataFrame, table: str, quarantine: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Append readable closed candles to ``table`` and unreadable messages to ``quarantine``.
 
-    The table is laid out by symbol and day, so that reads prune, with a part per batch below; a batch that
-    Spark repeats replaces its parts, so a restart neither loses nor doubles rows.
+    The table is laid out by day, with a part per batch below and files sorted by symbol and time, so that reads
+    prune days and skip symbols while a batch adds few files; a batch that Spark repeats replaces its parts, so a
+    restart neither loses nor doubles rows.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -76,8 +77,8 @@ def start_ingest(messages: DataFrame, table: str, quarantine: str, checkpoint: s
         try:
             good, bad = split_batch(batch)
             rows = good.withColumns({"open_date": F.timestamp_millis("open_time").cast("date"), "batch": F.lit(number)})
-            rows = rows.repartition("symbol", "open_date").sortWithinPartitions("symbol", "open_date", "open_time")
-            parts = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "open_date", "batch")
+            rows = rows.repartitionByRange("open_date", "symbol").sortWithinPartitions("open_date", "symbol", "open_time")
+            parts = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("open_date", "batch")
             parts.parquet(table)
             bad.write.mode("overwrite").text(f"{quarantine}/batch={number}")
         finally:
