@@ -14,8 +14,10 @@ from marketspark.llm.common import Words, chunks
 
 #: Sampled coordinates per key.
 SAMPLES = 3
-#: Measured chance that one coordinate of the embeddings agrees at the edit threshold, over all starts of a passage.
+#: Measured chance that one coordinate of the embeddings agrees at the edit threshold, over all starts of a passage of up to PIECE words.
 AGREES = 0.55
+#: Longer items are searched by pieces of at most so many words, as walks of long sequences drift apart.
+PIECE = 40
 #: Items of one class differ in length by less than this factor.
 LADDER = 1.15
 #: Embedding steps per word of the class; a step moves on by half a word on average.
@@ -38,23 +40,29 @@ class Matcher:
         self.items = [(k, w) for k, w in enumerate(own) if len(w) >= least_words]
         self.edits = [int((1 - similarity) * len(w) + 1e-9) for w in own]
         self.words = own
+        # Of a passage within the item's edit rate, some piece has no higher rate.
+        self.pieces = []
+        for k, w in self.items:
+            cuts = np.linspace(0, len(w), -(-len(w) // PIECE) + 1).astype(int).tolist()
+            self.pieces += [(k, a, w[a:b], int((1 - similarity) * (b - a) + 1e-9)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         self.vocabulary = np.unique(np.concatenate([w for _, w in self.items] or [np.zeros(0, np.uint64)]))
         self.flags = np.zeros(1 << 20, dtype=bool)
         self.flags[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
         random = np.random.default_rng(seed)
         self.rounds = [(np.uint64(int(random.integers(1, 1 << 63)) * 2 + 1), np.sort(random.random(SAMPLES))) for _ in range(repetitions(recall))]
         classes: dict[int, list[int]] = {}
-        for k, w in self.items:
-            classes.setdefault(int(math.log(len(w), LADDER)), []).append(k)
+        for n, (_, _, w, _) in enumerate(self.pieces):
+            classes.setdefault(int(math.log(len(w), LADDER)), []).append(n)
         self.classes = []
         for members in classes.values():
-            low = min(len(own[k]) for k in members)
-            miss = max(self.edits[k] for k in members)
+            parts = [self.pieces[n][2] for n in members]
+            low = min(len(w) for w in parts)
+            miss = max(self.pieces[n][3] for n in members)
             steps = max(SAMPLES, int(low * STEPS))
-            size = max(len(own[k]) for k in members) + steps
+            size = max(len(w) for w in parts) + steps
             padded = np.zeros(len(members) * size, dtype=np.uint64)
-            for n, k in enumerate(members):
-                padded[n * size : n * size + len(own[k])] = own[k]
+            for n, w in enumerate(parts):
+                padded[n * size : n * size + len(w)] = w
             begin = np.arange(len(members)) * size
             tables = []
             for factor, places in self.rounds:
@@ -122,23 +130,28 @@ class Matcher:
                 count = right - left
                 if count.any():
                     source = np.repeat(np.arange(len(maybe)), count)
-                    item = members[left[source] + np.arange(len(source)) - np.repeat(np.cumsum(count) - count, count)]
-                    near.append(np.stack([item, begin[maybe[source]]], axis=1))
+                    piece = members[left[source] + np.arange(len(source)) - np.repeat(np.cumsum(count) - count, count)]
+                    near.append(np.stack([piece, begin[maybe[source]]], axis=1))
         yield from self._verify(np.unique(np.concatenate(near), axis=0), hashes, words.first, text)
 
     def _verify(self, near: np.ndarray, hashes: np.ndarray, first: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        done: tuple[int, int, int] = (-1, -1, -1)
-        regions: list[list[int]] = []
-        for item, at in near.tolist():
-            own, edits = int(text[at]), self.edits[item]
-            a = max(int(first[own]), at - edits - 4)
-            b = min(int(first[own + 1]), at + len(self.words[item]) + edits + 4)
-            if done[:2] == (item, own) and a <= done[2]:
-                regions[-1][3] = max(regions[-1][3], b)
-            else:
-                regions.append([own, item, a, b])
-            done = item, own, regions[-1][3]
+        spots = []
+        for piece, at in near.tolist():
+            _, _, wanted, edits = self.pieces[piece]
+            own = int(text[at])
+            spots.append((piece, own, max(int(first[own]), at - edits - 4), min(int(first[own + 1]), at + len(wanted) + edits + 4)))
+        around = []
+        for piece, own, a, b in joined(spots):
+            item, offset, wanted, edits = self.pieces[piece]
+            size = len(self.words[item])
+            if len(wanted) < size:
+                if nearest(wanted.tolist(), hashes[a:b].tolist())[0] > edits:
+                    continue
+                a = max(int(first[own]), a - offset - self.edits[item])
+                b = min(int(first[own + 1]), b + size - offset - len(wanted) + self.edits[item])
+            around.append((item, own, a, b))
+        regions = [(own, item, a, b) for item, own, a, b in joined(sorted(around))]
         for own, item, a, b in regions:
             wanted, body = self.words[item].tolist(), hashes[a:b].tolist()
             edits, end = nearest(wanted, body)
@@ -150,6 +163,17 @@ class Matcher:
             yield own, item, a, b, edits
 
 
+def joined(regions: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Sorted (item or piece, text, from, to) with those that overlap made one."""
+    out: list[tuple[int, int, int, int]] = []
+    for k, own, a, b in regions:
+        if out and out[-1][:2] == (k, own) and a <= out[-1][3]:
+            out[-1] = k, own, out[-1][2], max(out[-1][3], b)
+        else:
+            out.append((k, own, a, b))
+    return out
+
+
 def nearest(wanted: list[int], body: list[int], anchored: bool = False) -> tuple[int, int]:
     """Least edits between ``wanted`` and a run of ``body``, and the run's (first best) end.
 
@@ -194,7 +218,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
     edits of the item; the best passage of each item in each row is given. Every start in every text whose next
     words are mostly known to the benchmark (no such passage fails that) is embedded by CGK random walks, which
     bring edit distance to Hamming distance; sampled coordinates are looked up among the items' in as many
-    tables as the recall needs, and hits are verified exactly. Items of fewer than ``least_words`` words, null
+    tables as the recall needs, and hits are verified exactly. Items of over PIECE words are looked up by pieces,
+    of which one keeps the item's rate of edits, and verified whole. Items of fewer than ``least_words`` words, null
     items and null or empty texts match nothing; repeated rows and items are reported each.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -61,6 +61,24 @@ def test_recall_and_exact_answers(share):
         assert true <= e <= len(items[i][1].split()) * 0.2
 
 
+@pytest.mark.parametrize("size", [100, 300, 1000])
+@pytest.mark.parametrize("deletions", [False, True])
+def test_recall_of_long_items(size, deletions):
+    rng = random.Random(size)
+    vocabulary = [f"w{int(rng.paretovariate(0.3))}" for _ in range(3000)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(size))) for i in range(20)]
+    matcher = decontaminate.Matcher(items, 0.8, 0.98, 5)
+    texts = []
+    for _, text in items:
+        own = text.split()
+        gone = set(rng.sample(range(size), size // 5))
+        body = [w for i, w in enumerate(own) if i not in gone] if deletions else edited(rng, own, vocabulary, size // 5)
+        texts.append(" ".join([*(rng.choice(vocabulary) for _ in range(30)), *body, *(rng.choice(vocabulary) for _ in range(30))]))
+    found = {(t, i): e for t, i, _, _, e in matcher.match(pa.array(texts))}
+    assert sum((k, k) in found for k in range(20)) >= 19
+    assert all(e <= size // 5 for e in found.values())
+
+
 def test_passages_and_clean_documents(spark):
     item = "Which of these is the only planet that has rings made of ice and dust around it"
     docs = spark.createDataFrame([(1, f"intro words here {item.upper()} and more"), (2, "which of these things is different"), (3, None)], "doc_id long, text string")
