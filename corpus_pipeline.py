@@ -8,12 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketspark.llm import decontaminate, langid, mixing, secrets, simhash
+from marketspark.llm import decontaminate, langid, minhash, mixing, secrets, simhash
 from marketspark.llm.common import documents, stored
 from marketspark.session import ship_code
 
 #: Bits per symbol from which no learned language explains a text; prose takes 2 to 3, random letters over 5.
 FOREIGN_BITS = 5.0
+#: Words a shingle, and the share of common shingles from which two documents are near copies.
+SHINGLE, LIKE = 5, 0.8
 #: Two segments looked up within one bit find all fingerprints within three bits, at the cost of two.
 NEAR_BITS = 3
 #: Below so many characters one phrase decides, so short texts are not judged by their entropy.
@@ -32,14 +34,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays, that with the smallest id.
+    """Of each group of linked fingerprints the smallest id stays, unless it is LIKE a smaller id that stays or went.
 
+    Fingerprints take the large groups of copies; what they leave is compared by its shingles themselves.
     Rows that repeat an id are one document and stay or go together; rows without an id stay.
     """
     ship_code(spark)
-    groups = simhash.near_duplicates(docs, distance=NEAR_BITS)
+    groups = simhash.near_duplicates(docs, distance=NEAR_BITS, width=SHINGLE)
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    left = stored(docs.join(gone, "doc_id", "left_anti").select(*docs.columns), "copies-gone")
+    return left.join(minhash.later_copies(left, LIKE, SHINGLE), "doc_id", "left_anti").select(*docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
