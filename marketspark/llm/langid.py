@@ -121,11 +121,29 @@ def automaton(sym: np.ndarray, width: int) -> np.ndarray:
     return table.ravel()
 
 
+def dealt(texts: list[str], room: int, passage: int) -> list[str]:
+    """Passages of all texts, ``room`` symbols together: equal shares, what short texts leave going to longer ones.
+
+    Each passage lies in its own stretch of its text, further on from text to text: at the start of it in the first, at the end in the last.
+    """
+    share = [0] * len(texts)
+    for done, i in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
+        share[i] = min(len(texts[i]), room // (len(texts) - done))
+        room -= share[i]
+    out = []
+    for i, (text, size) in enumerate(zip(texts, share, strict=True)):
+        count = max(1, -(-size // passage))
+        size //= count
+        stretch = len(text) / count
+        out += [text[a : a + size] for a in (int(j * stretch + (i + 0.5) / len(texts) * (stretch - size)) for j in range(count)) if size]
+    return out
+
+
 def fit(docs: DataFrame, rows: int = 300, symbols_each: int = 40_000, passage: int = 400, languages: int = 64, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """Automata of a bounded sample of the labelled rows of ``docs``.
 
-    The bound: of each language the ``rows`` rows with the smallest hash of their id, and of those, passages of
-    ``passage`` symbols dealt evenly over the whole texts up to ``symbols_each`` symbols. Rows without text or
+    The bound: of each language the ``rows`` rows with the smallest hash of their id, and of each of those,
+    passages of at most ``passage`` symbols dealt evenly over the whole texts, ``symbols_each`` symbols together. Rows without text or
     language teach nothing. More than ``languages`` languages are an error: each costs one table.
     """
     labelled = docs.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
@@ -139,15 +157,8 @@ def fit(docs: DataFrame, rows: int = 300, symbols_each: int = 40_000, passage: i
     sample = labelled.filter(draw < share).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows)
 
     def passages(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("n")
-        share = max(1, symbols_each // (passage * len(group)))
-        out = []
-        for text in group["text"]:
-            clean = "".join(c if c.isalpha() else " " for c in text.lower())
-            clean = " ".join(clean.split()) + " "
-            starts = np.unique(np.linspace(0, max(0, len(clean) - passage), share).astype(int))
-            out += [clean[a : a + passage] for a in starts]
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "passages": [out]})
+        texts = [" ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " " for text in group.sort_values("n")["text"]]
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "passages": [dealt(texts, symbols_each, passage)]})
 
     taught = sample.groupBy("lang").applyInPandas(passages, "lang string, passages array<string>").collect()
     texts = {row["lang"]: [str(p) for p in row["passages"]] for row in sorted(taught)}
@@ -161,12 +172,9 @@ def fit(docs: DataFrame, rows: int = 300, symbols_each: int = 40_000, passage: i
     model = Model(letters, list(texts), [], [])
     known = {c: i + 1 for i, c in enumerate(letters)}
     for own in texts.values():
-        seq, room = [], symbols_each
+        seq = []
         for p in own:
-            seq += [0 if c == " " else known.get(c, len(letters) + 1) for c in p[:room]] + [model.width - 1]
-            room -= len(p)
-            if room <= 0:
-                break
+            seq += [0 if c == " " else known.get(c, len(letters) + 1) for c in p] + [model.width - 1]
         model.tables.append(automaton(np.array(seq, dtype=np.int64), model.width))
         model.sizes.append(max(2, len(seq)))
     return model

@@ -48,3 +48,22 @@ def test_held_out_accuracy(spark):
     assert found.filter("held_out").count() > 150
     assert found.filter("held_out AND lang_pred <> lang").count() == 0
     assert found.filter("score < 0 OR score > 1").count() == 0
+
+
+def test_all_sampled_rows_teach_from_everywhere():
+    texts = [f"{'kopf ' * 100}{chr(97 + i % 26) * 3}{i // 26 * 'x'} " + "rumpf " * 100 for i in range(300)]
+    taught = langid.dealt(texts, 40_000, 400)
+    assert len(taught) == 300 and 39_000 < sum(map(len, taught)) <= 40_000
+    assert sum("kopf" not in p for p in taught) > 100
+    assert sum(map(len, langid.dealt([*["ab "] * 200, "c" * 100_000], 40_000, 400))) > 39_000
+
+
+def test_bodies_behind_a_shared_header_are_told_apart(spark):
+    rng = random.Random(4)
+    words = {lang: ["".join(rng.choice(chars) for _ in range(5)) for _ in range(200)] for lang, chars in (("p", "abcdef"), ("q", "ghijkl"))}
+    header = "all rights reserved by the owners of this page " * 12
+    rows = [(i, header + " ".join(rng.choices(words[lang], k=150)), lang) for i in range(240) for lang in words]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    bodies = spark.createDataFrame([(" ".join(rng.choices(words[lang], k=50)), lang) for lang in words for _ in range(20)], "text string, lang string")
+    told = langid.predict(bodies, model).collect()
+    assert all(r.lang_pred == r.lang and r.cross_entropy < 6 for r in told)
