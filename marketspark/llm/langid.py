@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 
 from marketspark.llm.common import chunks
 
-#: Symbols: 0 is any run of non-letters, then the letters known from training, last any other letter.
+#: Symbols: 0 is any run of non-letters, then the most frequent letters of training, then any other letter.
 ALPHABET = 62
+#: Where training has more letters, the others are spelled: 16 first digits, 16 further ones, and the mark of a letter beyond the basic plane.
+DIGITS = 33
 #: Symbols that are parsed in one go; a new phrase begins at each multiple.
 SEGMENT = 256
 FAILED = np.int32(1 << 30)
@@ -36,10 +39,11 @@ class Model:
     langs: list[str]
     tables: list[np.ndarray]
     sizes: list[int]
+    digits: int = 0
 
     @property
     def width(self) -> int:
-        return len(self.letters) + 3
+        return len(self.letters) + 3 + self.digits
 
     def lookup(self) -> np.ndarray:
         """Symbol of each code point of the basic plane, letters folded to lower case."""
@@ -53,8 +57,18 @@ class Model:
         return out
 
 
-def symbols(texts: pa.Array, lookup: np.ndarray, other: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of all texts in a row, where each text begins, and how many letters it has; a gap behind a letter is one symbol."""
+def spelled(point: int, other: int) -> list[int]:
+    """The symbols of a letter that has none of its own: a first digit and three more, or a mark and six digits."""
+    long = point > 0xFFFF
+    rest = [other + 17 + (point >> shift & 15) for shift in range(20 if long else 8, -1, -4)]
+    return [other + 33 if long else other + 1 + (point >> 12), *rest]
+
+
+def symbols(texts: pa.Array, lookup: np.ndarray, other: int, digits: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of all texts in a row, where each text begins, and how many letters it has; a gap behind a letter is one symbol.
+
+    With ``digits``, letters without a symbol of their own are spelled.
+    """
     plain = [t or "" for t in texts.to_pylist()]
     points = np.frombuffer("".join(plain).encode("utf-32-le", "replace"), dtype=np.uint32)
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in plain], dtype=np.int64)]).astype(np.int64)
@@ -68,7 +82,25 @@ def symbols(texts: pa.Array, lookup: np.ndarray, other: int) -> tuple[np.ndarray
     gap[heads] = False
     at = np.concatenate([[0], np.cumsum(keep | gap)])
     letters = np.concatenate([[0], np.cumsum(keep)])
-    return sym[keep | gap], at[offsets], letters[offsets[1:]] - letters[offsets[:-1]]
+    first, count = at[offsets], letters[offsets[1:]] - letters[offsets[:-1]]
+    wanted = keep | gap
+    sym = sym[wanted]
+    if digits and (sym == other).any():
+        points = points[wanted]
+        strange = np.flatnonzero(sym == other)
+        codes, which = np.unique(points[strange], return_inverse=True)
+        low = [chr(c).lower() for c in codes.tolist()]
+        made = [spelled(ord(x) if len(x) == 1 else c, other) for x, c in zip(low, codes.tolist(), strict=True)]
+        size = np.ones(len(sym), dtype=np.int64)
+        size[strange] = np.array([len(m) for m in made])[which]
+        begin = np.concatenate([[0], np.cumsum(size)])
+        out = np.repeat(sym, size)
+        table = np.array([m + [0] * (7 - len(m)) for m in made], dtype=np.uint8)
+        for k in range(7):
+            has = size[strange] > k
+            out[begin[strange[has]] + k] = table[which[has], k]
+        sym, first = out, begin[first]
+    return sym, first, count
 
 
 def automaton(sym: np.ndarray, width: int) -> np.ndarray:
@@ -144,17 +176,17 @@ def fit(docs: DataFrame, rows: int = 300, symbols_each: int = 40_000, passage: i
 
     The bound: of each language the ``rows`` rows with the smallest hash of their id, and of each of those,
     passages of at most ``passage`` symbols dealt evenly over the whole texts, ``symbols_each`` symbols together. Rows without text or
-    language teach nothing. More than ``languages`` languages are an error: each costs one table.
+    language teach nothing. Beyond ``languages`` languages all share the symbols of so many, as tables take memory.
+    Letters beyond the ALPHABET most frequent ones are spelled, and count as the symbols that takes.
     """
     labelled = docs.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(languages + 1).collect()}
-    if len(counts) > languages:
-        raise ValueError(f"more than {languages} languages")
+    counts = [(r.lang, r.n) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()]
+    symbols_each = min(symbols_each, languages * symbols_each // max(1, len(counts)))
     # The smallest hashes lie below this share of all with near certainty; what is above never leaves its task.
-    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, 3.0 * rows / n))) for lang, n in counts.items()], F.lit(0.0))
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, 3.0 * rows / n)) for lang, n in counts], "lang string, share double")
     draw = F.shiftrightunsigned(F.xxhash64("k"), 11) / F.lit(float(1 << 53))
     order = Window.partitionBy("lang").orderBy(draw, "k", F.xxhash64("text"))
-    sample = labelled.filter(draw < share).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows)
+    sample = labelled.join(F.broadcast(shares), "lang").filter(draw < F.col("share")).drop("share").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows)
 
     def passages(group: pd.DataFrame) -> pd.DataFrame:
         texts = [" ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " " for text in group.sort_values("n")["text"]]
@@ -169,12 +201,14 @@ def fit(docs: DataFrame, rows: int = 300, symbols_each: int = 40_000, passage: i
                 count[c] = count.get(c, 0) + 1
     count.pop(" ", None)
     letters = "".join(sorted(sorted(count, key=lambda c: (-count[c], c))[:ALPHABET]))
-    model = Model(letters, list(texts), [], [])
-    known = {c: i + 1 for i, c in enumerate(letters)}
+    model = Model(letters, list(texts), [], [], DIGITS if len(count) > ALPHABET else 0)
+    known = {" ": [0]} | {c: [i + 1] for i, c in enumerate(letters)}
+    known |= {c: spelled(ord(c), len(letters) + 1) for c in count if c not in known}
     for own in texts.values():
         seq = []
+        longer = sum(len(known[c]) for p in own for c in p) / max(1, sum(map(len, own)))
         for p in own:
-            seq += [0 if c == " " else known.get(c, len(letters) + 1) for c in p] + [model.width - 1]
+            seq += [x for c in p[: math.ceil(len(p) / max(1.0, longer))] for x in known[c]] + [model.width - 1]
         model.tables.append(automaton(np.array(seq, dtype=np.int64), model.width))
         model.sizes.append(max(2, len(seq)))
     return model
@@ -221,7 +255,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         model = shared.value
         lookup, bits, names = model.lookup(), np.log2(np.array(model.sizes or [2])), np.array([*model.langs, "und"], dtype=object)
         for batch in chunks(batches, "__text"):
-            sym, first, letters = symbols(batch.column("__text"), lookup, len(model.letters) + 1)
+            sym, first, letters = symbols(batch.column("__text"), lookup, len(model.letters) + 1, model.digits)
             size = np.maximum(np.diff(first), 1)
             cost = phrases(sym, first, model) * bits / size[:, None] if model.langs else np.full((len(size), 1), np.inf)
             best = np.argmin(cost, axis=1)

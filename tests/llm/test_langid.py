@@ -67,3 +67,19 @@ def test_bodies_behind_a_shared_header_are_told_apart(spark):
     bodies = spark.createDataFrame([(" ".join(rng.choices(words[lang], k=50)), lang) for lang in words for _ in range(20)], "text string, lang string")
     told = langid.predict(bodies, model).collect()
     assert all(r.lang_pred == r.lang and r.cross_entropy < 6 for r in told)
+
+
+def test_many_scripts_and_languages(spark):
+    rng = random.Random(6)
+    scripts = {"en": (97, 26, 900), "ru": (0x430, 32, 900), "el": (0x3B1, 17, 900), "zh": (0x4E00, 900, 30), "ja": (0x7000, 900, 30), "ko": (0xAC00, 900, 30), "ext": (0x20000, 900, 30)}
+    scripts |= {f"l{i:02}": (97, 26, 3) for i in range(65)}
+    words = {lang: ["".join(chr(at + rng.randrange(n)) for _ in range(3)) for _ in range(150)] for lang, (at, n, _) in scripts.items()}
+    rows = [(i, " ".join(rng.choices(words[lang], k=120)), lang) for lang, (_, _, n) in scripts.items() for i in range(n)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model.langs) == set(scripts) and model.digits
+    new = [(" ".join(rng.choices(words[lang], k=60)), lang) for lang in scripts for _ in range(2)]
+    thai = [("".join(chr(0xE01 + rng.randrange(40)) for _ in range(300)), "none") for _ in range(3)]
+    told = langid.predict(spark.createDataFrame(new + thai, "text string, lang string"), model).collect()
+    assert all(r.lang_pred == r.lang and r.cross_entropy < 5 for r in told if r.lang in ("en", "ru", "el", "zh", "ja", "ko", "ext"))
+    assert sum(r.lang_pred == r.lang for r in told) >= len(new) - 5
+    assert all(r.cross_entropy > 5 for r in told if r.lang == "none")
