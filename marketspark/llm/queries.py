@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketspark.llm import decontaminate, hmm, langid, mixing, quality, secrets, simhash, sketches, substrings, warc
+from marketspark.llm import bpe, decontaminate, hmm, langid, mixing, periods, phrases, quality, secrets, simhash, sketches, substrings, warc
 from marketspark.llm.common import documents
 from marketspark.session import new_path, ship_code
 
@@ -126,3 +126,65 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(documents(spark, sf_dir))
+
+
+@query
+def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = bpe.load(public_tokenizers.path("byte_bpe_50k.json"))
+    made = bpe.decode(bpe.encode(documents(spark, sf_dir), vocabulary), vocabulary)
+    return made.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query(
+    sql="""
+    WITH p AS (SELECT doc_id, coalesce(lang, 'und') AS lang, row_number() OVER () AS d, regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]') AS ps FROM documents WHERE text IS NOT NULL),
+    q AS (SELECT lang, regexp_extract_all(unnest(ps), '[^\\x20\\x09]+') AS ws FROM p),
+    o AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM q),
+    g AS (SELECT lang, ws[i:i + m - 1] AS ws, m FROM o, (VALUES (1), (2), (3)) v(m) WHERE i + m - 1 <= len(ws)),
+    c AS (SELECT lang, m, ws, array_to_string(ws, ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL),
+    n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM c WHERE m = 1 GROUP BY lang),
+    k AS (SELECT lang, m, ws, phrase, f AS a, unnest(range(1, m)) AS k FROM c WHERE m > 1 AND f >= 10),
+    s AS (SELECT k.*, l.f AS l, r.f AS r, CAST((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS BIGINT) AS score FROM k
+        JOIN c l ON l.lang = k.lang AND l.phrase = array_to_string(k.ws[1:k.k], ' ') JOIN c r ON r.lang = k.lang AND r.phrase = array_to_string(k.ws[k.k + 1:k.m], ' ')),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    x AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND b.m = 2 AND c.m = 3 AND c.f >= 10 AND 100 * c.f >= 50 * b.a AND c.ws[1:2] = b.ws)
+        AND NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND b.m = 2 AND c.m = 3 AND c.f >= 10 AND 100 * c.f >= 50 * b.a AND c.ws[2:3] = b.ws)),
+    t AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM x)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM t JOIN n USING (lang) WHERE rank <= 2000"""
+)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir), order=3, least=10, contained_percent=50, top=2000)
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): the words of every tenth document by the hash of its id repeat with a period from some word on."""
+    words = F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).cast("long").alias("g"))
+    rows = rows.withColumn("words", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.size("words").cast("long"))
+    rows = rows.withColumn("a", F.expr("if(n > 0, g % n, 0)")).withColumn("p", F.expr("1 + floor((n - a) / (3 + g % 8))"))
+    repeated = F.expr("array_join(transform(words, (w, i) -> if(i < a, w, words[cast(a + (i - a) % p AS int)])), ' ')")
+    return rows.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.find_runs(planted_periods(documents(spark, sf_dir)), least=24, times=3)
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "strongest.start",
+        "strongest.length",
+        "strongest.period",
+        F.expr("(1000 * strongest.length) div strongest.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
