@@ -52,12 +52,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """The words `[^\\x20\\x09-\\x0D]+` of some texts as byte ranges.
 
-    ``start`` and ``end`` are positions in ``data``; words ``first[i]:first[i + 1]`` are those of text i.
+    ``start`` and ``end`` are positions in ``data``; words ``first[i]:first[i + 1]`` are those of text i. Other
+    bytes than blanks can be given as what separates words, as a table of 256 flags.
     """
 
-    def __init__(self, column: pa.Array) -> None:
+    def __init__(self, column: pa.Array, separator: np.ndarray = SEPARATOR) -> None:
         self.data, offsets = text_bytes(column)
-        inside = ~SEPARATOR[self.data]
+        inside = ~separator[self.data]
         begin = inside.copy()
         begin[1:] &= ~inside[:-1]
         heads = offsets[:-1][offsets[:-1] < offsets[1:]]

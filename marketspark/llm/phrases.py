@@ -9,11 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketspark.llm.common import CHUNK_BYTES, chunks, fold, stored, text_bytes
+from marketspark.llm.common import CHUNK_BYTES, Words, chunks, fold, mix, stored
 from marketspark.session import ship_code
 
 #: Bytes that end a piece, and bytes between the words of a piece.
 BREAKS, SPACES = [*b".,;:!?", *range(0x0A, 0x0E)], [0x20, 0x09]
+#: Pairs of words are told apart by so many bits where rare ones are left out (16 MB, whatever the table); two pairs
+#: of one number are both kept if they occur often enough together, which costs rows in the shuffle and nothing else.
+PAIR_BITS = 27
 #: Score of a cut that joins its parts perfectly (a = l = r).
 UNIT = 1_000_000
 #: floor(UNIT a² / (l r)) of long columns, by whole decimals of 38 digits.
@@ -29,34 +32,60 @@ def _class(members: list[int]) -> np.ndarray:
 _BREAK, _SPACE = _class(BREAKS), _class(SPACES)
 
 
-def windows(texts: pa.Array, order: int) -> tuple[pa.Array, list[np.ndarray], np.ndarray]:
-    """(distinct words, lead columns, text numbers): a window starts at every word of every piece.
+def windows(texts: pa.Array, order: int, frequent: np.ndarray | None = None) -> tuple[pa.Array, list[np.ndarray], np.ndarray, np.ndarray]:
+    """(distinct words, lead columns, text numbers, pair numbers): a window starts at every word of every piece.
 
-    Column k holds the number of the word k places on, or -1 beyond the end of the piece.
+    Column k holds the number of the word k places on, or -1 beyond the end of the piece. Where ``frequent`` marks the
+    numbers of pairs that may occur often enough, windows also end between two words of another pair. The pair
+    numbers are those of neighbours within pieces, by a hash of their bytes.
     """
-    data, offsets = text_bytes(texts)
-    data = fold(data)
-    inside = ~(_BREAK | _SPACE)[data]
-    begin = inside.copy()
-    begin[1:] &= ~inside[:-1]
-    heads = offsets[:-1][offsets[:-1] < offsets[1:]]
-    begin[heads] = inside[heads]
-    start = np.flatnonzero(begin)
-    if not len(start):
-        return pa.array([], pa.large_string()), [np.zeros(0, dtype=np.int64)] * order, start
-    where = np.append(np.cumsum(inside)[start] - 1, inside.sum())
-    words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(where.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[inside])))
-    coded = words.dictionary_encode()
+    words = Words(texts, _BREAK | _SPACE)
+    if not len(words.start):
+        return pa.array([], pa.large_string()), [words.start] * order, words.start, words.start
+    data = fold(words.data)
+    size = words.end - words.start
+    where = np.append(0, np.cumsum(size))
+    spelled = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(where.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[~(_BREAK | _SPACE)[data]])))
+    coded = spelled.dictionary_encode()
     code = coded.indices.to_numpy().astype(np.int64)
-    text = np.searchsorted(offsets, start, side="right") - 1
-    piece = np.cumsum(_BREAK[data])[start]  # a text's own pieces are told apart by this, texts by their number
-    columns = [code]
+    text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+    piece = np.cumsum(_BREAK[data])[words.start]  # pieces of one text are told apart by this
+    goes_on = (piece[1:] == piece[:-1]) & (text[1:] == text[:-1])
+    hashes = words.hashes(lower=True)
+    pair = (mix(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+    pairs = pair[goes_on]
+    if frequent is not None:
+        goes_on &= (frequent[pair >> 6] >> (pair & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+    columns, open_ = [code], np.ones(len(code), dtype=bool)
     for k in range(1, order):
+        if k < len(code):
+            open_[:-k] &= goes_on[k - 1 :]
+        open_[-k:] = False
         lead = np.full(len(code), -1, dtype=np.int64)
-        same = (piece[k:] == piece[:-k]) & (text[k:] == text[:-k])
-        lead[:-k][same] = code[k:][same]
+        at = np.flatnonzero(open_)
+        lead[at] = code[at + k]
         columns.append(lead)
-    return coded.dictionary, columns, text
+    return coded.dictionary, columns, text, pairs
+
+
+def frequent_pairs(docs: DataFrame, least: int, text_col: str = "text") -> np.ndarray:
+    """A bit for each of 2**PAIR_BITS numbers of neighbouring words: whether pairs of this number occur ``least`` times in all.
+
+    The bits are found in the shuffle and packed by 64, so the driver gets 2**(PAIR_BITS - 6) rows at most.
+    """
+    ship_code(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            *_, pairs = windows(batch.column("text"), 1)
+            pair, count = np.unique(pairs, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int32)), pa.array(count.astype(np.int32))], ["pair", "n"])
+
+    counted = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "pair int, n int").groupBy("pair").agg(F.sum("n").alias("n"))
+    bits = counted.filter(F.col("n") >= least).groupBy(F.expr("pair div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, pair % 64))").alias("bits")).toArrow()
+    out = np.zeros(1 << (PAIR_BITS - 6), dtype=np.uint64)
+    out[bits.column("word").to_numpy()] = bits.column("bits").to_numpy().view(np.uint64)
+    return out
 
 
 def _counted(lang: np.ndarray, columns: list[np.ndarray], n_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,15 +97,20 @@ def _counted(lang: np.ndarray, columns: list[np.ndarray], n_words: int) -> tuple
     return first, count
 
 
-def window_counts(docs: DataFrame, order: int, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(lang, w1 … w<order>, n): padded windows counted within 4 MB of text; the padding is the empty word."""
+def window_counts(docs: DataFrame, order: int, least: int, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """(lang, w1 … w<order>, n): padded windows counted within 4 MB of text; the padding is the empty word.
+
+    Windows end before a pair of words that cannot occur ``least`` times: no phrase that does contains it, so counts of
+    ``least`` and more are whole, and most windows that differ from all others need not be shuffled.
+    """
     ship_code(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_pairs(docs, least, text_col))
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text"))
     names = ["lang", *[f"w{k + 1}" for k in range(order)], "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, limit=CHUNK_BYTES):
-            words, columns, text = windows(batch.column("text"), order)
+            words, columns, text, _ = windows(batch.column("text"), order, shared.value)
             if not len(text):
                 continue
             lang = batch.column("lang").dictionary_encode()
@@ -97,7 +131,7 @@ def phrase_counts(docs: DataFrame, order: int = 3, least: int = 10, lang_col: st
     ever shorter prefixes; prefixes that reach into the padding are no phrases.
     """
     columns = [f"w{k + 1}" for k in range(order)]
-    counted = window_counts(docs, order, lang_col, text_col)
+    counted = window_counts(docs, order, least, lang_col, text_col)
     view = counted.sparkSession.sql(
         f"SELECT lang, {', '.join(columns)}, {order} - bit_count(grouping_id()) AS size, sum(n) AS f "
         f"FROM {{counted}} GROUP BY lang, ROLLUP({', '.join(columns)}) HAVING f >= {int(least)} OR size = 0",
@@ -118,8 +152,8 @@ def collocations(docs: DataFrame, order: int = 3, least: int = 10, contained_per
     descending, then the phrase by its bytes.
 
     Null texts are empty, null languages are "und"; repeated rows count each time; other columns are not read; an
-    empty table, or one without candidates, gives an empty result. Windows are counted before the shuffle and
-    only phrases frequent enough are kept for the joins (a part of a candidate occurs as often as it does), which
+    empty table, or one without candidates, gives an empty result. A first pass over the texts finds pairs of words
+    that may be frequent (by hash, exact in what it leaves out). Windows are counted before the shuffle and only phrases frequent enough are kept for the joins (a part of a candidate occurs as often as it does), which
     are plain shuffles that Spark can split. Each language's order is cut to ``top`` rows in every task first.
     """
     if order < 2:
