@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketspark.llm.common import CHUNK_BYTES, Words, chunks, fold, mix, stored
-from marketspark.session import ship_code
+from marketspark.llm.common import CHUNK_BYTES, Words, chunks, fold, stored
+from marketspark.operators.joins import join_small
+from marketspark.session import settle, ship_code
 
 #: Bytes that end a piece, and bytes between the words of a piece.
 BREAKS, SPACES = [*b".,;:!?", *range(0x0A, 0x0E)], [0x20, 0x09]
-#: Pairs of words are told apart by so many bits where rare ones are left out (16 MB, whatever the table); two pairs
-#: of one number are both kept if they occur often enough together, which costs rows in the shuffle and nothing else.
-PAIR_BITS = 27
 #: Score of a cut that joins its parts perfectly (a = l = r).
 UNIT = 1_000_000
 #: floor(UNIT a² / (l r)) of long columns, by whole decimals of 38 digits.
@@ -32,60 +31,32 @@ def _class(members: list[int]) -> np.ndarray:
 _BREAK, _SPACE = _class(BREAKS), _class(SPACES)
 
 
-def windows(texts: pa.Array, order: int, frequent: np.ndarray | None = None) -> tuple[pa.Array, list[np.ndarray], np.ndarray, np.ndarray]:
-    """(distinct words, lead columns, text numbers, pair numbers): a window starts at every word of every piece.
+def windows(texts: pa.Array, order: int) -> tuple[pa.Array, list[np.ndarray], np.ndarray]:
+    """(distinct words, lead columns, text numbers): a window starts at every word of every piece.
 
-    Column k holds the number of the word k places on, or -1 beyond the end of the piece. Where ``frequent`` marks the
-    numbers of pairs that may occur often enough, windows also end between two words of another pair. The pair
-    numbers are those of neighbours within pieces, by a hash of their bytes.
+    Column k holds the number of the word k places on, or -1 beyond the end of the piece.
     """
     words = Words(texts, _BREAK | _SPACE)
-    if not len(words.start):
-        return pa.array([], pa.large_string()), [words.start] * order, words.start, words.start
     data = fold(words.data)
-    size = words.end - words.start
-    where = np.append(0, np.cumsum(size))
-    spelled = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(where.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[~(_BREAK | _SPACE)[data]])))
+    where = np.append(0, np.cumsum(words.end - words.start))
+    spelled = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words.start), [None, pa.py_buffer(where.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[~(_BREAK | _SPACE)[data]]))])
     coded = spelled.dictionary_encode()
     code = coded.indices.to_numpy().astype(np.int64)
     text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
     piece = np.cumsum(_BREAK[data])[words.start]  # pieces of one text are told apart by this
-    goes_on = (piece[1:] == piece[:-1]) & (text[1:] == text[:-1])
-    hashes = words.hashes(lower=True)
-    pair = (mix(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-    pairs = pair[goes_on]
-    if frequent is not None:
-        goes_on &= (frequent[pair >> 6] >> (pair & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-    columns, open_ = [code], np.ones(len(code), dtype=bool)
+    columns = [code]
     for k in range(1, order):
-        if k < len(code):
-            open_[:-k] &= goes_on[k - 1 :]
-        open_[-k:] = False
         lead = np.full(len(code), -1, dtype=np.int64)
-        at = np.flatnonzero(open_)
-        lead[at] = code[at + k]
+        same = (piece[k:] == piece[:-k]) & (text[k:] == text[:-k])
+        lead[:-k][same] = code[k:][same]
         columns.append(lead)
-    return coded.dictionary, columns, text, pairs
+    return coded.dictionary, columns, text
 
 
-def frequent_pairs(docs: DataFrame, least: int, text_col: str = "text") -> np.ndarray:
-    """A bit for each of 2**PAIR_BITS numbers of neighbouring words: whether pairs of this number occur ``least`` times in all.
-
-    The bits are found in the shuffle and packed by 64, so the driver gets 2**(PAIR_BITS - 6) rows at most.
-    """
-    ship_code(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            *_, pairs = windows(batch.column("text"), 1)
-            pair, count = np.unique(pairs, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int32)), pa.array(count.astype(np.int32))], ["pair", "n"])
-
-    counted = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "pair int, n int").groupBy("pair").agg(F.sum("n").alias("n"))
-    bits = counted.filter(F.col("n") >= least).groupBy(F.expr("pair div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, pair % 64))").alias("bits")).toArrow()
-    out = np.zeros(1 << (PAIR_BITS - 6), dtype=np.uint64)
-    out[bits.column("word").to_numpy()] = bits.column("bits").to_numpy().view(np.uint64)
-    return out
+def word_keys(words: pa.Array, seed: int) -> np.ndarray:
+    """A 64-bit key of each word; 0 is kept for the padding."""
+    keys = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words.to_pylist()), dtype=np.uint64, count=len(words))
+    return np.maximum(keys, 1).view(np.int64)
 
 
 def _counted(lang: np.ndarray, columns: list[np.ndarray], n_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,52 +64,76 @@ def _counted(lang: np.ndarray, columns: list[np.ndarray], n_words: int) -> tuple
     kind = lang
     for column in columns:
         kind = np.unique(kind * (n_words + 1) + column + 1, return_inverse=True)[1]
-    _, first, count = np.unique(kind, return_index=True, return_inverse=False, return_counts=True)
+    _, first, count = np.unique(kind, return_index=True, return_counts=True)
     return first, count
 
 
-def window_counts(docs: DataFrame, order: int, least: int, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(lang, w1 … w<order>, n): padded windows counted within 4 MB of text; the padding is the empty word.
-
-    Windows end before a pair of words that cannot occur ``least`` times: no phrase that does contains it, so counts of
-    ``least`` and more are whole, and most windows that differ from all others need not be shuffled.
-    """
+def window_counts(docs: DataFrame, order: int, seed: int, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """(lang, w1 … w<order>, n): padded windows of word keys, counted within 4 MB of text; the padding is 0."""
     ship_code(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_pairs(docs, least, text_col))
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text"))
-    names = ["lang", *[f"w{k + 1}" for k in range(order)], "n"]
+    names = [f"w{k + 1}" for k in range(order)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, limit=CHUNK_BYTES):
-            words, columns, text, _ = windows(batch.column("text"), order, shared.value)
-            if not len(text):
-                continue
+            words, columns, text = windows(batch.column("text"), order)
             lang = batch.column("lang").dictionary_encode()
             first, count = _counted(lang.indices.to_numpy().astype(np.int64)[text], columns, len(words))
-            padded = pa.concat_arrays([words.cast(pa.string()), pa.array([""])])
-            arrays = [padded.take(pa.array(np.where(c[first] < 0, len(words), c[first]))) for c in columns]
+            keys = np.append(word_keys(words, seed), 0)  # -1, the padding, takes the last
+            arrays = [keys[c[first]] for c in columns]
             langs = lang.dictionary.cast(pa.string()).take(pa.array(lang.indices.to_numpy()[text[first]]))
             for at in range(0, len(first), 1 << 16):
-                yield pa.RecordBatch.from_arrays([x[at : at + (1 << 16)] for x in (langs, *arrays, pa.array(count.astype(np.int64)))], names)
+                to = slice(at, at + (1 << 16))
+                yield pa.RecordBatch.from_arrays([langs[to], *[pa.array(x[to]) for x in arrays], pa.array(count[to].astype(np.int64))], ["lang", *names, "n"])
+
+    return rows.mapInArrow(run, "lang string, " + ", ".join(f"{x} long" for x in names) + ", n long")
+
+
+def keyed_words(docs: DataFrame, seeds: Iterable[int] = range(5), text_col: str = "text") -> tuple[int, DataFrame]:
+    """(seed, (key, word)): all distinct words with keys of which no two are equal.
+
+    Keys of 64 bits clash about once in 10^19 pairs of words; the words are compared, and if two share a key the
+    next seed is taken, so keys stand for words exactly.
+    """
+    ship_code(docs.sparkSession)
+    texts = docs.select(F.col(f"`{text_col}`").alias("text"))
+    for seed in seeds:
+
+        def run(batches: Iterator[pa.RecordBatch], seed: int = seed) -> Iterator[pa.RecordBatch]:
+            for batch in chunks(batches):
+                words, _, _ = windows(batch.column("text"), 1)
+                keys = pa.array(word_keys(words, seed))
+                for at in range(0, len(words), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([keys[at : at + (1 << 16)], words[at : at + (1 << 16)].cast(pa.binary()).cast(pa.string())], ["key", "word"])
 
-    return rows.mapInArrow(run, ", ".join(f"{x} string" for x in names[:-1]) + ", n long")
+        found = stored(texts.mapInArrow(run, "key long, word string").distinct(), "phrase-words")
+        if found.groupBy("key").count().filter("count > 1").isEmpty():
+            return seed, found
+    raise RuntimeError("words share keys under every seed")
 
 
 def phrase_counts(docs: DataFrame, order: int = 3, least: int = 10, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, size, phrase, f): how often each phrase of up to ``order`` words occurs, from ``least`` times on; size 0 counts all words.
 
     Every occurrence of a phrase begins one longest window, so ROLLUP over the window's columns sums them by
-    ever shorter prefixes; prefixes that reach into the padding are no phrases.
+    ever shorter prefixes; prefixes that reach into the padding are no phrases. Windows are shuffled as keys of
+    words; the words come back for the phrases that are left, where the dictionary of frequent words is small by
+    broadcast, otherwise by shuffles.
     """
     columns = [f"w{k + 1}" for k in range(order)]
-    counted = window_counts(docs, order, least, lang_col, text_col)
-    view = counted.sparkSession.sql(
+    seed, dictionary = keyed_words(docs, text_col=text_col)
+    counted = window_counts(docs, order, seed, lang_col, text_col)
+    summed = counted.sparkSession.sql(
         f"SELECT lang, {', '.join(columns)}, {order} - bit_count(grouping_id()) AS size, sum(n) AS f "
         f"FROM {{counted}} GROUP BY lang, ROLLUP({', '.join(columns)}) HAVING f >= {int(least)} OR size = 0",
         counted=counted,
     )
-    last = F.element_at(F.array(F.lit("x"), *columns), F.col("size") + 1)
-    return view.filter(last != "").select("lang", "size", F.concat_ws(" ", *columns).alias("phrase"), "f")
+    last = F.element_at(F.array(F.lit(1).cast("long"), *columns), F.col("size") + 1)
+    summed = stored(summed.filter(last != 0), "phrase-keys")
+    frequent = settle(dictionary.join(summed.filter("size = 1").select(F.col("w1").alias("key")).distinct(), "key"))
+    for c in columns:
+        summed = join_small(summed, frequent.select(F.col("key").alias(c), F.col("word").alias(f"word_{c}")), [c], "left")
+    return summed.select("lang", "size", F.concat_ws(" ", *[f"word_{c}" for c in columns]).alias("phrase"), "f")
 
 
 def collocations(docs: DataFrame, order: int = 3, least: int = 10, contained_percent: int = 50, top: int = 2000, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -152,8 +147,7 @@ def collocations(docs: DataFrame, order: int = 3, least: int = 10, contained_per
     descending, then the phrase by its bytes.
 
     Null texts are empty, null languages are "und"; repeated rows count each time; other columns are not read; an
-    empty table, or one without candidates, gives an empty result. A first pass over the texts finds pairs of words
-    that may be frequent (by hash, exact in what it leaves out). Windows are counted before the shuffle and only phrases frequent enough are kept for the joins (a part of a candidate occurs as often as it does), which
+    empty table, or one without candidates, gives an empty result. Windows are counted before the shuffle and only phrases frequent enough are kept for the joins (a part of a candidate occurs as often as it does), which
     are plain shuffles that Spark can split. Each language's order is cut to ``top`` rows in every task first.
     """
     if order < 2:

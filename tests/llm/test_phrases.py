@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from marketspark.llm import phrases
@@ -80,3 +81,16 @@ def test_long_text(spark):
     docs = spark.createDataFrame([("en", text)], "lang string, text string")
     counts = {r.phrase: r.f for r in phrases.phrase_counts(docs, 3, 10).filter("size > 0").collect()}
     assert counts["one two three"] == 700_000 and counts["three one"] == 699_999 and len(counts) == 9
+
+
+def test_words_that_share_a_key(spark, monkeypatch):
+    """The next seed is taken where two words have one key; with none left it is an error."""
+    import pytest
+
+    rows = spark.createDataFrame([("en", "a b a b c")], "lang string, text string")
+    seed, words = phrases.keyed_words(rows)
+    assert seed == 0 and words.count() == 3
+    clashing = lambda words, seed: np.full(len(words), 7, dtype=np.int64)
+    monkeypatch.setattr(phrases, "word_keys", clashing)
+    with pytest.raises(RuntimeError):
+        phrases.keyed_words(rows, seeds=[0, 1])
