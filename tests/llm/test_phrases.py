@@ -4,7 +4,6 @@ import random
 import re
 from collections import Counter
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from marketspark.llm import phrases
@@ -83,14 +82,12 @@ def test_long_text(spark):
     assert counts["one two three"] == 700_000 and counts["three one"] == 699_999 and len(counts) == 9
 
 
-def test_words_that_share_a_key(spark, monkeypatch):
-    """The next seed is taken where two words have one key; with none left it is an error."""
-    import pytest
-
-    rows = spark.createDataFrame([("en", "a b a b c")], "lang string, text string")
-    seed, words = phrases.keyed_words(rows)
-    assert seed == 0 and words.count() == 3
-    clashing = lambda words, seed: np.full(len(words), 7, dtype=np.int64)
-    monkeypatch.setattr(phrases, "word_keys", clashing)
-    with pytest.raises(RuntimeError):
-        phrases.keyed_words(rows, seeds=[0, 1])
+def test_hot_heads(spark, monkeypatch):
+    """Windows of hot pairs of words are dealt by their third word; counts stay the same."""
+    monkeypatch.setattr(phrases, "HOT_SHARE", 0.05)
+    rows = [("en", f"buy now item{i % 40} or buy now item{i % 3} x{i}") for i in range(400)] + texts(5, 50)
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    assert phrases.window_counts(docs, 3).filter("salt > 0").select("w1", "w2").distinct().count() >= 1
+    for order in (2, 3, 4):
+        got = sorted(tuple(r) for r in phrases.collocations(docs, order, 10).collect())
+        assert got == plain(rows, order, 10, 50, 2000)
