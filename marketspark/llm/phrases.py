@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,31 +32,32 @@ def _class(members: list[int]) -> np.ndarray:
 _BREAK, _SPACE = _class(BREAKS), _class(SPACES)
 
 
-def windows(texts: pa.Array, order: int) -> tuple[pa.Array, list[np.ndarray], np.ndarray, list[np.ndarray]]:
-    """(distinct words in order, lead columns, text numbers, lead hashes): a window starts at every word of every piece.
+def windows(texts: pa.Array, order: int) -> tuple[pa.Array, list[np.ndarray], np.ndarray]:
+    """(distinct words, lead columns, text numbers): a window starts at every word of every piece.
 
-    Column k holds the number of the word k places on, or -1 beyond the end of the piece, and a hash of that word or 0.
+    Column k holds the number of the word k places on, or -1 beyond the end of the piece.
     """
     words = Words(texts, _BREAK | _SPACE)
     data = fold(words.data)
     where = np.append(0, np.cumsum(words.end - words.start))
-    spelled = pa.LargeStringArray.from_buffers(len(words.start), pa.py_buffer(where.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[~(_BREAK | _SPACE)[data]])))
+    spelled = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words.start), [None, pa.py_buffer(where.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[~(_BREAK | _SPACE)[data]]))])
     coded = spelled.dictionary_encode()
-    by_name = pc.sort_indices(coded.dictionary).to_numpy().astype(np.int64)
-    place = np.empty_like(by_name)
-    place[by_name] = np.arange(len(by_name))
-    code = place[coded.indices.to_numpy()]
+    code = coded.indices.to_numpy().astype(np.int64)
     text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
     piece = np.cumsum(_BREAK[data])[words.start]  # pieces of one text are told apart by this
-    columns, hashes = [code], [words.hashes(lower=True)]
+    columns = [code]
     for k in range(1, order):
-        lead, far = np.full(len(code), -1, dtype=np.int64), np.zeros(len(code), dtype=np.uint64)
+        lead = np.full(len(code), -1, dtype=np.int64)
         same = (piece[k:] == piece[:-k]) & (text[k:] == text[:-k])
         lead[:-k][same] = code[k:][same]
-        far[:-k][same] = hashes[0][k:][same]
         columns.append(lead)
-        hashes.append(far)
-    return coded.dictionary.take(pa.array(by_name)), columns, text, hashes
+    return coded.dictionary, columns, text
+
+
+def word_keys(words: pa.Array, seed: int) -> np.ndarray:
+    """A 64-bit key of each word, and 0 at the end for the padding (which has number -1)."""
+    keys = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words.to_pylist()), dtype=np.uint64, count=len(words))
+    return np.append(np.maximum(keys, 1), np.uint64(0))
 
 
 def _counted(lang: np.ndarray, columns: list[np.ndarray], n_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,75 +69,88 @@ def _counted(lang: np.ndarray, columns: list[np.ndarray], n_words: int) -> tuple
     return first, count
 
 
-def _heads(hashes: list[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of the words by which windows are dealt (two, or one of two), and the hash of the word after them."""
-    if order == 2:
-        return hashes[0], hashes[1]
-    return mix(hashes[0] * np.uint64(0x9E3779B97F4A7C15) + hashes[1]), hashes[2]
+def _head(columns: list[np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of the words by which windows are dealt (two, or one of two), and the key of the word after them."""
+    if len(columns) == 2:
+        return keys[columns[0]], keys[columns[1]]
+    return mix(keys[columns[0]] * np.uint64(0x9E3779B97F4A7C15) + keys[columns[1]]), keys[columns[2]]
 
 
-def hot_heads(docs: DataFrame, order: int, text_col: str = "text") -> np.ndarray:
-    """Hashes of the heads of at least HOT_SHARE of all different windows: 1 / HOT_SHARE of them at most.
+def survey(docs: DataFrame, order: int, seeds: Iterable[int] = range(5), text_col: str = "text") -> tuple[int, DataFrame, np.ndarray]:
+    """(seed, (key, word), hot heads): all distinct words with keys of which no two are equal, and the hot heads of windows.
 
-    Blocks of text report the heads that have half that share in them. What is missed or clashes is only dealt
-    otherwise; no count depends on it.
+    Keys of 64 bits clash about once in 10^19 pairs of words; the words are compared, and if two share a key the
+    next seed is taken, so keys stand for words exactly. A head is hot with HOT_SHARE of all different windows, so
+    there are 1 / HOT_SHARE at most; blocks of text report those with half that share in them. Heads that are
+    missed or clash are only dealt otherwise; no count depends on it.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            words, columns, _, hashes = windows(batch.column("text"), order)
-            first, _ = _counted(np.zeros(len(columns[0]), dtype=np.int64), columns, len(words))
-            head, count = np.unique(_heads(hashes, order)[0][first], return_counts=True)
-            many = count >= HOT_SHARE / 2 * len(first)
-            keys = pa.array([None, *head[many].view(np.int64).tolist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([keys, pa.array([len(first), *count[many].tolist()], pa.int64())], ["head", "n"])
-
-    summed = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "head long, n long").groupBy("head").agg(F.sum("n").alias("n"))
-    summed = settle(summed)
-    total = summed.filter("head IS NULL").first()
-    hot = summed.filter(F.col("head").isNotNull() & (F.col("n") >= (HOT_SHARE * total.n if total else 1))).toArrow().column("head")
-    return np.sort(hot.to_numpy().view(np.uint64)) if len(hot) else np.zeros(0, dtype=np.uint64)
-
-
-def window_counts(docs: DataFrame, order: int, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(lang, w1 … w<order>, salt, n): padded windows counted within 4 MB of text; the padding is the empty word.
+    ship_code(docs.sparkSession)
+    texts = docs.select(F.col(f"`{text_col}`").alias("text"))
+    for seed in seeds:
+
+        def run(batches: Iterator[pa.RecordBatch], seed: int = seed) -> Iterator[pa.RecordBatch]:
+            for batch in chunks(batches):
+                words, columns, _ = windows(batch.column("text"), order)
+                keys = word_keys(words, seed)
+                first, _ = _counted(np.zeros(len(columns[0]), dtype=np.int64), columns, len(words))
+                head, count = np.unique(_head([c[first] for c in columns], keys)[0], return_counts=True)
+                many = count >= HOT_SHARE / 2 * len(first)
+                heads = pa.array([None, *head[many].view(np.int64).tolist()], pa.int64())
+                yield pa.RecordBatch.from_arrays([heads, pa.nulls(len(heads), pa.string()), pa.array([len(first), *count[many].tolist()], pa.int64())], ["key", "word", "n"])
+                for at in range(0, len(words), 1 << 16):
+                    to = slice(at, min(len(words), at + (1 << 16)))
+                    spelled = words[to].cast(pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[to].view(np.int64)), spelled, pa.nulls(len(spelled), pa.int64())], ["key", "word", "n"])
+
+        found = stored(texts.mapInArrow(run, "key long, word string, n long").groupBy("key", "word").agg(F.sum("n").alias("n")), "phrase-words")
+        words, heads = found.filter("word IS NOT NULL").select("key", "word"), found.filter("word IS NULL")
+        if words.groupBy("key").count().filter("count > 1").isEmpty():
+            total = heads.filter("key IS NULL").agg(F.sum("n")).first()[0] or 0
+            hot = heads.filter(F.col("key").isNotNull() & (F.col("n") >= HOT_SHARE * total)).toArrow().column("key").to_numpy()
+            return seed, words, np.sort(hot.view(np.uint64)) if len(hot) else np.zeros(0, dtype=np.uint64)
+    raise RuntimeError("words share keys under every seed")
+
+
+def window_counts(docs: DataFrame, order: int, seed: int, hot: np.ndarray, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """(lang, w1 … w<order>, salt, n): padded windows of word keys, counted within 4 MB of text; the padding is 0.
 
     ``salt`` is 0, or a number that follows from the word after the head where the head is hot, so that equal
     windows always have the same.
     """
     ship_code(docs.sparkSession)
-    hot = hot_heads(docs, order, text_col)
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text"))
-    names = ["lang", *[f"w{k + 1}" for k in range(order)], "salt", "n"]
+    names = [f"w{k + 1}" for k in range(order)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, limit=CHUNK_BYTES):
-            words, columns, text, hashes = windows(batch.column("text"), order)
+            words, columns, text = windows(batch.column("text"), order)
+            keys = word_keys(words, seed)
             lang = batch.column("lang").dictionary_encode()
             first, count = _counted(lang.indices.to_numpy().astype(np.int64)[text], columns, len(words))
-            head, after = (x[first] for x in _heads(hashes, order))
+            columns = [c[first] for c in columns]
+            head, after = _head(columns, keys)
             salt = np.where(np.isin(head, hot), after % np.uint64(SALTS) + np.uint64(1), np.uint64(0))
-            padded = pa.concat_arrays([words.cast(pa.string()), pa.array([""])])
-            arrays = [padded.take(pa.array(np.where(c[first] < 0, len(words), c[first]))) for c in columns]
             langs = lang.dictionary.cast(pa.string()).take(pa.array(lang.indices.to_numpy()[text[first]]))
+            arrays = [langs, *[pa.array(keys[c].view(np.int64)) for c in columns], pa.array(salt.astype(np.int32)), pa.array(count.astype(np.int64))]
             for at in range(0, len(first), 1 << 16):
-                to = slice(at, at + (1 << 16))
-                yield pa.RecordBatch.from_arrays([x[to] for x in (langs, *arrays, pa.array(salt.astype(np.int32)), pa.array(count.astype(np.int64)))], names)
+                yield pa.RecordBatch.from_arrays([x[at : at + (1 << 16)] for x in arrays], ["lang", *names, "salt", "n"])
 
-    return rows.mapInArrow(run, ", ".join(f"{x} string" for x in names[:-2]) + ", salt int, n long")
+    return rows.mapInArrow(run, "lang string, " + ", ".join(f"{x} long" for x in names) + ", salt int, n long")
 
 
 def phrase_counts(docs: DataFrame, order: int = 3, least: int = 10, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, size, phrase, f): how often each phrase of up to ``order`` words occurs, from ``least`` times on; size 0 counts all words.
 
-    Windows are dealt once, by their first two words (hot ones also by the third). There the windows of a rare
-    phrase are cut to their longest prefix that occurs ``least`` times, as no longer one is asked for. Every
-    occurrence of a phrase begins one longest window, so ROLLUP over the windows left sums them by ever shorter
-    prefixes; prefixes that reach into the padding are no phrases.
+    Windows, as keys of words, are dealt once by their first two words (hot ones also by the third). There the
+    windows of a rare phrase are cut to their longest prefix that occurs ``least`` times, as no longer one is asked
+    for. Every occurrence of a phrase begins one longest window, so ROLLUP over the windows left sums them by
+    ever shorter prefixes; prefixes that reach into the padding are no phrases. The words come back for the phrases
+    that are left, where the dictionary of frequent words proves small by broadcast, otherwise by shuffles.
     """
     columns = [f"w{k + 1}" for k in range(order)]
     dealt = min(2, order - 1)
-    placed = window_counts(docs, order, lang_col, text_col).repartition("lang", *columns[:dealt], "salt")
+    seed, dictionary, hot = survey(docs, order, text_col=text_col)
+    placed = window_counts(docs, order, seed, hot, lang_col, text_col).repartition("lang", *columns[:dealt], "salt")
     counted = placed.groupBy("lang", *columns, "salt").agg(F.sum("n").alias("n"))
     kept = F.lit(1) + F.when(F.col("n") >= least, 1).otherwise(0)
     for k in range(dealt, order):
@@ -145,14 +159,18 @@ def phrase_counts(docs: DataFrame, order: int = 3, least: int = 10, lang_col: st
             counted = counted.withColumn(f"total{k}", F.sum("n").over(same))
             kept = kept + F.when((F.col(f"total{k}") >= least) | (F.lit(k == dealt) & (F.col("salt") > 0)), 1).otherwise(0)
     counted = counted.withColumn("kept", kept)
-    cut = counted.select("lang", *[F.when(F.col("kept") > k, F.col(c)).otherwise("").alias(c) for k, c in enumerate(columns)], "n")
+    cut = counted.select("lang", *[F.when(F.col("kept") > k, F.col(c)).otherwise(0).alias(c) for k, c in enumerate(columns)], "n")
     summed = cut.sparkSession.sql(
         f"SELECT lang, {', '.join(columns)}, {order} - bit_count(grouping_id()) AS size, sum(n) AS f "
         f"FROM {{cut}} GROUP BY lang, ROLLUP({', '.join(columns)}) HAVING f >= {int(least)} OR size = 0",
         cut=cut,
     )
-    last = F.element_at(F.array(F.lit("x"), *columns), F.col("size") + 1)
-    return summed.filter(last != "").select("lang", "size", F.concat_ws(" ", *columns).alias("phrase"), "f")
+    last = F.element_at(F.array(F.lit(1).cast("long"), *columns), F.col("size") + 1)
+    summed = stored(summed.filter(last != 0), "phrase-keys")
+    frequent = settle(dictionary.join(summed.filter("size = 1").select(F.col("w1").alias("key")).distinct(), "key"))
+    for c in columns:
+        summed = join_small(summed, frequent.select(F.col("key").alias(c), F.col("word").alias(f"word_{c}")), [c], "left")
+    return summed.select("lang", "size", F.concat_ws(" ", *[f"word_{c}" for c in columns]).alias("phrase"), "f")
 
 
 def collocations(docs: DataFrame, order: int = 3, least: int = 10, contained_percent: int = 50, top: int = 2000, lang_col: str = "lang", text_col: str = "text") -> DataFrame:

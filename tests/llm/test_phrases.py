@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from marketspark.llm import phrases
@@ -87,7 +89,18 @@ def test_hot_heads(spark, monkeypatch):
     monkeypatch.setattr(phrases, "HOT_SHARE", 0.05)
     rows = [("en", f"buy now item{i % 40} or buy now item{i % 3} x{i}") for i in range(400)] + texts(5, 50)
     docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
-    assert phrases.window_counts(docs, 3).filter("salt > 0").select("w1", "w2").distinct().count() >= 1
+    seed, _, hot = phrases.survey(docs, 3)
+    assert phrases.window_counts(docs, 3, seed, hot).filter("salt > 0").select("w1", "w2").distinct().count() >= 1
     for order in (2, 3, 4):
         got = sorted(tuple(r) for r in phrases.collocations(docs, order, 10).collect())
         assert got == plain(rows, order, 10, 50, 2000)
+
+
+def test_words_that_share_a_key(spark, monkeypatch):
+    """The next seed is taken where two words have one key; with none left it is an error."""
+    rows = spark.createDataFrame([("en", "a b a b c")], "lang string, text string")
+    seed, words, hot = phrases.survey(rows, 3)
+    assert seed == 0 and sorted(r.word for r in words.collect()) == ["a", "b", "c"] and len(hot) > 0
+    monkeypatch.setattr(phrases, "word_keys", lambda words, seed: np.full(len(words) + 1, 7 if seed else 8, dtype=np.uint64))
+    with pytest.raises(RuntimeError):
+        phrases.survey(rows, 3, seeds=[0, 1])
