@@ -11,6 +11,8 @@ from marketspark.catalog.base import query, rounded
 from marketspark.functions import candles as C
 from marketspark.functions import parse
 from marketspark.operators import candles as O
+from marketspark.session import new_path
+from marketspark.sources.tables import read_candles, write_candles
 from marketspark.views import HOUR_MS, candles, quotes, rules, stored_candles, table, with_views
 
 CANDLES = with_views("candles")
@@ -194,8 +196,10 @@ def _(spark, sf_dir):
 
 @query("f1_symbol", CANDLES + " SELECT symbol, open_time, close FROM candles WHERE symbol = 'CLICK' OR symbol = 'click'")
 def _(spark, sf_dir):
-    upper = candles(spark, sf_dir).withColumn("symbol", F.upper("symbol"))
-    return O.for_symbol(upper, "click").select(F.lower("symbol").alias("symbol"), "open_time", "close")
+    """From a table that holds symbols as exchanges write them: the equality prunes the symbol's partitions."""
+    path = new_path(spark, "candles")
+    write_candles(candles(spark, sf_dir).withColumn("symbol", F.upper("symbol")), path, whole=True)
+    return O.for_symbol(read_candles(spark, path), "click").select(F.lower("symbol").alias("symbol"), "open_time", "close")
 
 
 @query("f2_open_range", CANDLES + f" SELECT symbol, open_time, close FROM candles WHERE open_time BETWEEN {START} AND {END}")
@@ -441,12 +445,12 @@ def _(spark, sf_dir):
     return O.new_rows(bars, stored, END).select("symbol", "open_time", "close")
 
 
-@query("u1_union", CANDLES + " SELECT symbol, open_time, close FROM candles WHERE symbol IN ('click','view')")
+@query("u1_union", CANDLES + " SELECT symbol, open_time, close FROM candles")
 def _(spark, sf_dir):
+    """The candles of one symbol and those of all others, with their columns in another order."""
     bars = candles(spark, sf_dir).select("symbol", "open_time", "close")
-    return O.for_symbol(bars.withColumn("symbol", F.upper("symbol")), "click").unionByName(
-        O.for_symbol(bars.withColumn("symbol", F.upper("symbol")), "view")
-    ).withColumn("symbol", F.lower("symbol"))
+    one = bars.filter(F.col("symbol") == "click")
+    return one.unionByName(bars.filter(F.col("symbol") != "click").select("close", "symbol", "open_time"))
 
 
 @query("u2_price_keys", with_views("rules") + " SELECT DISTINCT exchange, symbol FROM rules")

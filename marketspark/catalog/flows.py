@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from marketspark.catalog.alerts import LATEST, REGIME_SQL, REPLAY_SQL, RULES
 from marketspark.catalog.base import query, rounded
 from marketspark.catalog.candles import CANDLES, DERIVED_SQL, DOUBLED, doubled
+from marketspark.catalog.indicators import ATR_SQL, EMAS_SQL, NUMBERED
 from marketspark.catalog.sentiment import SENTIMENT, gloomy_classifier
 from marketspark.functions import parse
 from marketspark.operators import alerts as A
 from marketspark.operators.candles import PRICES, new_rows
 from marketspark.sources import paged, tables
-from marketspark.session import new_path
+from marketspark.session import new_path, settle
 from marketspark.streaming import alerts as SA
+from marketspark.streaming import compaction as SC
+from marketspark.streaming import indicators as SN
 from marketspark.streaming import ingest as SI
 from marketspark.views import HOUR_MS, candles, quotes, quotes_of, rules, sentiment, stored_candles, table, with_views
 
@@ -49,9 +54,12 @@ def _(spark, sf_dir):
     return tidy(paged.read_paged(spark, "marketspark.sources.paged:from_table", symbols, low, high, "15m", 1, store=store))
 
 
-def messages(spark, sf_dir, copies=False):
-    """Candle messages as text; every fifth hour is not finished yet, and one in nine is broken."""
-    bars = doubled(spark, sf_dir) if copies else candles(spark, sf_dir)
+def messages(spark, sf_dir, copy=None):
+    """Candle messages as text; every fifth hour is not finished yet, and one in nine is broken.
+
+    ``copy`` takes those of the first or the second copies only (see ``doubled``).
+    """
+    bars = candles(spark, sf_dir) if copy is None else doubled(spark, sf_dir).filter(F.col("seq") == copy)
     hour = F.expr(f"open_time div {HOUR_MS}")
     closed = hour % 5 != 0
     pairs = {"t": "open_time", "T": "close_time", "o": "open", "c": "close", "h": "high", "l": "low", "v": "volume", "q": "quote_volume", "n": "num_trades", "V": "taker_base_volume", "Q": "taker_quote_volume"}
@@ -137,6 +145,15 @@ def _(spark, sf_dir):
     return tables.retained(sentiment(spark, sf_dir), now, 14 * 86_400).select("timestamp", "seq", "symbol")
 
 
+@query("s14_expired", SENTIMENT + ' SELECT "timestamp", symbol, price FROM sentiment WHERE CAST("timestamp" AS DATE) >= DATE \'2024-01-31\' - 14')
+def _(spark, sf_dir):
+    """The table's old days are removed, then it is read as a whole."""
+    path = new_path(spark, "sentiment")
+    tables.append_sentiment(sentiment(spark, sf_dir).drop("seq"), path)
+    tables.drop_expired(spark, path, date(2024, 1, 31), 14)
+    return spark.read.parquet(path).select("timestamp", "symbol", "price")
+
+
 @query("s16_table_copy", _WHOLE)
 def _(spark, sf_dir):
     source, target = new_path(spark, "source"), new_path(spark, "copy")
@@ -148,9 +165,9 @@ def _(spark, sf_dir):
 # ---- streams -------------------------------------------------------------------------------
 
 
-def message_stream(spark, sf_dir, copies=False):
+def message_stream(spark, sf_dir):
     path = new_path(spark, "messages")
-    messages(spark, sf_dir, copies).write.text(path)
+    messages(spark, sf_dir).write.text(path)
     return SI.read_messages(spark, path)
 
 
@@ -194,6 +211,20 @@ def _(spark, sf_dir):
     return _derived(spark.read.parquet(path))
 
 
+@query("s7_compacted", CANDLES + f" SELECT {_DERIVED} FROM candles WHERE {_KEPT}")
+def _(spark, sf_dir):
+    """Four loads, packed after the second and the third; the last lies beside the packed days."""
+    feed, path, packed, aside, state = (new_path(spark, n) for n in ("messages", "ingest", "packed", "aside", "state"))
+    text = messages(spark, sf_dir)
+    for turn in range(4):
+        text.filter(F.pmod(F.xxhash64("value"), F.lit(4)) == turn).write.mode("append").text(feed)
+        run(SI.start_ingest(SI.read_messages(spark, feed), path, aside, state))
+        if turn in (1, 2):
+            SC.compact(spark, path, packed, least_parts=1)
+    SC.forget_packed(spark, path, packed)
+    return _derived(SC.read_ingested(spark, path, packed))
+
+
 @query("x2_quarantine", CANDLES + f" SELECT 'broken ' || symbol AS value, count(*) AS messages FROM candles WHERE (open_time // {HOUR_MS}) % 9 = 0 GROUP BY symbol")
 def _(spark, sf_dir):
     path, aside, state = (new_path(spark, n) for n in ("ingest", "aside", "state"))
@@ -210,10 +241,13 @@ def _(spark, sf_dir):
     return rows.filter(F.col("batch") == rows.agg(F.max("batch")).scalar()).drop("batch")
 
 
-@query("x4_latest_frame", CANDLES + f" SELECT symbol, close_time, close FROM candles WHERE {_KEPT}")
+@query("x4_latest_frame", DOUBLED + f" SELECT symbol, close_time, arg_max(close, seq) AS close FROM doubled WHERE {_KEPT} GROUP BY symbol, close_time")
 def _(spark, sf_dir):
-    view, state = new_path(spark, "view"), new_path(spark, "state")
-    run(SI.start_latest_view(message_stream(spark, sf_dir), view, state, availableNow=True))
+    """Second copies lie in a later file of the same batch."""
+    feed, view, state = (new_path(spark, n) for n in ("messages", "view", "state"))
+    for copy in (1, 2):
+        messages(spark, sf_dir, copy).write.mode("append").text(feed)
+    run(SI.start_latest_view(SI.read_messages(spark, feed, arrival=True), view, state, availableNow=True))
     rows = spark.read.parquet(view)
     return rows.filter(F.col("batch") == rows.agg(F.max("batch")).scalar()).select("symbol", "close_time", "close")
 
@@ -225,6 +259,40 @@ def _(spark, sf_dir):
     return spark.read.schema(SA.FIRED_DDL).parquet(path).drop("batch")
 
 
+@query("x5_out_of_order", REPLAY_SQL.format(move="100"))
+def _(spark, sf_dir):
+    """Each load holds a span of the tape and quotes that belong up to a day earlier or later."""
+    feed, fired, late, state, checkpoint = (new_path(spark, n) for n in ("feed", "fired", "late", "state", "checkpoint"))
+    tape = quotes(spark, sf_dir)
+    low, high = tape.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    moved = F.unix_micros("ts") + (F.pmod(F.xxhash64("seq"), F.lit(86_400)) - 43_200) * 1_000_000
+    load = F.greatest(F.lit(0), F.least(F.lit(3), F.floor((moved - low) * 4 / max(high - low, 1))))
+    rows = settle(tape.withColumn("_load", load))
+    for turn in range(4):
+        rows.filter(F.col("_load") == turn).drop("_load").write.mode("append").parquet(feed)
+        stream = spark.readStream.schema(tape.schema).parquet(feed)
+        run(SA.start_event_time_alerts(stream, rules(spark, sf_dir), fired, late, state, checkpoint, lateness_seconds=2 * 86_400))
+    SA.finish_alerts(spark, fired, late, state)
+    return spark.read.schema(SA.FIRED_DDL).parquet(fired).drop("batch")
+
+
+@query(
+    "v4_stream_ema",
+    EMAS_SQL + ATR_SQL.removeprefix(NUMBERED) + """ SELECT symbol, open_time, ema_9, ema_21, ema_50, ema_200, round(atr, 6) AS atr
+  FROM emas JOIN (SELECT symbol, open_time, atr FROM a) USING (symbol, open_time)""",
+)
+def _(spark, sf_dir):
+    """The candles come in three loads; averages are carried from one to the next."""
+    feed, out, late, state, checkpoint = (new_path(spark, n) for n in ("feed", "averages", "late", "state", "checkpoint"))
+    bars = stored_candles(spark, sf_dir)
+    low, high = bars.agg(F.min("open_time"), F.max("open_time")).first()
+    for turn in range(3):
+        bars.filter(F.expr(f"(open_time - {low}) * 3 div ({high} - {low} + 1)") == turn).write.mode("append").parquet(feed)
+        run(SN.start_indicators(spark.readStream.schema(bars.schema).parquet(feed), out, late, state, checkpoint))
+    names = ["ema_9", "ema_21", "ema_50", "ema_200", "atr"]
+    return rounded(spark.read.parquet(out).select("symbol", "open_time", *names), *names)
+
+
 @query(
     "x6_fallback",
     REPLAY_SQL.format(move="100").replace("FROM quotes q JOIN rules r", "FROM (SELECT * REPLACE ('okx' AS exchange) FROM quotes WHERE exchange = 'kraken') q JOIN (SELECT * REPLACE ('okx' AS exchange) FROM rules WHERE exchange = 'binance') r"),
@@ -292,12 +360,14 @@ def _(spark, sf_dir):
     )
 
 
-@query("x7_no_repeats", CANDLES + f" SELECT symbol, open_time FROM candles WHERE {_KEPT}")
+@query("x7_no_repeats", CANDLES + f" SELECT symbol, open_time, close FROM candles WHERE {_KEPT}")
 def _(spark, sf_dir):
-    path, state = new_path(spark, "append"), new_path(spark, "state")
-    rows = SI.without_repeats(SI.candles_from(message_stream(spark, sf_dir, copies=True)), "10 minutes")
-    run(SI.start_append(rows.select("symbol", "open_time"), path, state))
-    return spark.read.parquet(path)
+    """Second copies, with another close, come in a later load, up to a month after the first."""
+    feed, path, state = (new_path(spark, n) for n in ("messages", "unique", "state"))
+    for copy in (1, 2):
+        messages(spark, sf_dir, copy).write.mode("append").text(feed)
+        run(SI.start_unique_ingest(SI.read_messages(spark, feed, arrival=True), path, state))
+    return spark.read.parquet(path).select("symbol", "open_time", "close")
 
 
 @query(

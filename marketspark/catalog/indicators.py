@@ -12,39 +12,39 @@ from marketspark.operators import indicators as I
 from marketspark.plans import series
 from marketspark.views import quotes, stored_candles, with_views
 
-_NUMBERED = CANDLES + """, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time) AS i,
+NUMBERED = CANDLES + """, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time) AS i,
   lag(close) OVER (PARTITION BY symbol ORDER BY open_time) AS prev_close FROM candles)"""
-_EMAS_SQL = _NUMBERED + """, e AS (
+EMAS_SQL = NUMBERED + """, e AS (
   SELECT symbol, i, open_time, close_time, close, close AS e9, close AS e21, close AS e50, close AS e200 FROM n WHERE i = 1
   UNION ALL SELECT n.symbol, n.i, n.open_time, n.close_time, n.close, e9 + (n.close - e9) * 2 / 10, e21 + (n.close - e21) * 2 / 22,
     e50 + (n.close - e50) * 2 / 51, e200 + (n.close - e200) * 2 / 201 FROM e JOIN n ON n.symbol = e.symbol AND n.i = e.i + 1),
   emas AS (SELECT symbol, open_time, close_time, close, CASE WHEN i >= 9 THEN round(e9, 6) END AS ema_9, CASE WHEN i >= 21 THEN round(e21, 6) END AS ema_21,
     CASE WHEN i >= 50 THEN round(e50, 6) END AS ema_50, CASE WHEN i >= 200 THEN round(e200, 6) END AS ema_200 FROM e)"""
 _TRUE_RANGE = "greatest(high - low, coalesce(abs(high - prev_close), 0), coalesce(abs(low - prev_close), 0))"
-_ATR_SQL = _NUMBERED + f""", t AS (SELECT symbol, i, open_time, close_time, {_TRUE_RANGE} AS tr FROM n),
+ATR_SQL = NUMBERED + f""", t AS (SELECT symbol, i, open_time, close_time, {_TRUE_RANGE} AS tr FROM n),
   a AS (SELECT symbol, i, open_time, close_time, tr AS atr FROM t WHERE i = 1
   UNION ALL SELECT t.symbol, t.i, t.open_time, t.close_time, atr + (tr - atr) * 2 / 15 FROM a JOIN t ON t.symbol = a.symbol AND t.i = a.i + 1)"""
 
 
-@query("w1_ema", _EMAS_SQL + " SELECT symbol, open_time, ema_9, ema_21, ema_50, ema_200 FROM emas")
+@query("w1_ema", EMAS_SQL + " SELECT symbol, open_time, ema_9, ema_21, ema_50, ema_200 FROM emas")
 def _(spark, sf_dir):
     out = I.close_emas(stored_candles(spark, sf_dir)).select("symbol", "open_time", "ema_9", "ema_21", "ema_50", "ema_200")
     return rounded(out, "ema_9", "ema_21", "ema_50", "ema_200")
 
 
-@query("w2_true_range", _NUMBERED + f" SELECT symbol, open_time, round({_TRUE_RANGE}, 6) AS true_range FROM n")
+@query("w2_true_range", NUMBERED + f" SELECT symbol, open_time, round({_TRUE_RANGE}, 6) AS true_range FROM n")
 def _(spark, sf_dir):
     return rounded(I.true_range(stored_candles(spark, sf_dir)).select("symbol", "open_time", "true_range"), "true_range")
 
 
-@query("w3_atr", _ATR_SQL + " SELECT symbol, open_time, round(atr, 6) AS atr FROM a")
+@query("w3_atr", ATR_SQL + " SELECT symbol, open_time, round(atr, 6) AS atr FROM a")
 def _(spark, sf_dir):
     return rounded(I.atr(stored_candles(spark, sf_dir)).select("symbol", "open_time", "atr"), "atr")
 
 
 @query(
     "w4_sma",
-    _NUMBERED
+    NUMBERED
     + " SELECT symbol, open_time, "
     + ", ".join(
         f"CASE WHEN i >= {k} THEN round(avg(close) OVER (PARTITION BY symbol ORDER BY i ROWS {k - 1} PRECEDING), 6) END AS sma_{k}"
@@ -60,12 +60,12 @@ def _(spark, sf_dir):
     return rounded(out.select("symbol", "open_time", *[f"sma_{k}" for k in sizes]), *[f"sma_{k}" for k in sizes])
 
 
-@query("w6_simple_return", _NUMBERED + " SELECT symbol, open_time, round(coalesce(close / prev_close - 1, 0), 6) AS ret FROM n")
+@query("w6_simple_return", NUMBERED + " SELECT symbol, open_time, round(coalesce(close / prev_close - 1, 0), 6) AS ret FROM n")
 def _(spark, sf_dir):
     return rounded(I.simple_returns(stored_candles(spark, sf_dir)).select("symbol", "open_time", "ret"), "ret")
 
 
-@query("w11_log_return", _NUMBERED + " SELECT symbol, open_time, round(ln(close) - ln(prev_close), 6) AS log_return FROM n")
+@query("w11_log_return", NUMBERED + " SELECT symbol, open_time, round(ln(close) - ln(prev_close), 6) AS log_return FROM n")
 def _(spark, sf_dir):
     return rounded(I.log_returns(stored_candles(spark, sf_dir)).select("symbol", "open_time", "log_return"), "log_return")
 
@@ -103,7 +103,7 @@ _FINISH = f"""SELECT *, sk * (n - 2) / sqrt(n * (n - 1)) AS skew_close, skr * (n
     CASE WHEN n < 15 THEN 50 ELSE 100 - 100 / (1 + coalesce(gain, 0) / coalesce(loss, 1)) END AS rsi,
     CASE WHEN n < 26 THEN 0 ELSE {_ema_list(12)} - {_ema_list(26)} END AS macd"""
 _W9_SQL = (
-    _NUMBERED
+    NUMBERED
     + ", m AS (SELECT symbol, open_time, i - 1 AS i, high, low, close, volume, ln(close) - ln(prev_close) AS ret, close - prev_close AS delta FROM n), g AS ("
     + _features_sql("m", "symbol", "30", "30")
     + f"), f AS ({_FINISH} FROM g WHERE i >= 30) SELECT symbol, open_time, {_NAMES} FROM f"
@@ -146,7 +146,7 @@ def _(spark, sf_dir):
 
 @query(
     "c1_line_series",
-    _EMAS_SQL + " SELECT symbol, make_timestamp(close_time * 1000) AS close_datetime, close, ema_9, ema_21, ema_50, ema_200 FROM emas",
+    EMAS_SQL + " SELECT symbol, make_timestamp(close_time * 1000) AS close_datetime, close, ema_9, ema_21, ema_50, ema_200 FROM emas",
 )
 def _(spark, sf_dir):
     return rounded(series.line_series(typed_times(stored_candles(spark, sf_dir))), "ema_9", "ema_21", "ema_50", "ema_200")
@@ -166,7 +166,7 @@ def _(spark, sf_dir):
     return rounded(series.volume_series(typed_times(stored_candles(spark, sf_dir))), "mean_volume")
 
 
-@query("c4_volatility_series", _ATR_SQL + " SELECT symbol, make_timestamp(close_time * 1000) AS close_datetime, round(atr, 6) AS atr FROM a")
+@query("c4_volatility_series", ATR_SQL + " SELECT symbol, make_timestamp(close_time * 1000) AS close_datetime, round(atr, 6) AS atr FROM a")
 def _(spark, sf_dir):
     symbols = ["click", "error", "purchase", "signup", "view", "absent"]
     return rounded(series.volatility_series(typed_times(stored_candles(spark, sf_dir)), symbols), "atr")

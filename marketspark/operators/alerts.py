@@ -170,7 +170,19 @@ def replay(
     ``entry`` (the rule's key, ``at`` in microseconds, ``price``) is the last fire before the quotes, as the
     rounds of a stream hand it on.
     """
-    rows = settle(crossings(quotes, rules))
+    return replay_crossings(crossings(quotes, rules), cooldown_seconds, min_move, part_seconds, part_rows, entry)
+
+
+def replay_crossings(
+    crossed: DataFrame,
+    cooldown_seconds: int = COOLDOWN_SECONDS,
+    min_move: float = MIN_MOVE,
+    part_seconds: int | None = None,
+    part_rows: int = 500_000,
+    entry: DataFrame | None = None,
+) -> DataFrame:
+    """``replay`` of quotes that are known to cross their rules, as ``crossings`` gives them."""
+    rows = settle(crossed)
     cooldown = cooldown_seconds * 1_000_000
     width = part_seconds * 1_000_000 if part_seconds is not None else _part_width(rows, part_rows, cooldown)
     part = F.expr(f"_at div {width}L") if width else F.lit(0).cast("bigint")

@@ -291,5 +291,7 @@ def new_rows(incoming: DataFrame, stored: DataFrame, now_ms: int, lookback_ms: i
 
     known = newest_open_time(stored)
     floor = F.coalesce(F.col("last_open_time"), F.lit(now_ms - lookback_ms))
-    fresh = join_small(incoming, known, ["symbol"], "left").filter(F.col("open_time") > floor)
-    return fresh.drop("last_open_time").dropDuplicates(["symbol", "open_time"])
+    fresh = join_small(incoming, known, ["symbol"], "left").filter(F.col("open_time") > floor).drop("last_open_time")
+    # The last copy stays: by arrival where it is known, then by the copies' own values, so that repeats agree.
+    rest = sorted((c for c in fresh.columns if c not in ("symbol", "open_time")), key=lambda c: (c != "seq", c != "close_time", c))
+    return keep_one(fresh, ["symbol", "open_time"], rest) if rest else fresh.distinct()

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from marketspark.functions import text as X
 from marketspark.functions.sentiment import as_record, top_confidence, top_label
-from marketspark.operators.alerts import COOLDOWN_SECONDS, MIN_MOVE, RULE_KEY, replay, with_source
+from marketspark.operators.alerts import COOLDOWN_SECONDS, MIN_MOVE, RULE_KEY, crossings, replay, replay_crossings, with_source
 from marketspark.operators.sentiment import Classifier, score_texts
 from marketspark.session import remove, settle, ship_code
 from marketspark.sources.tables import append_sentiment
 
 FIRED_DDL = "symbol string, exchange string, threshold double, condition string, ts timestamp, seq bigint, price double"
+CROSSED_DDL = "symbol string, exchange string, threshold double, condition string, ts timestamp, seq bigint, price double, _at bigint"
 STATE_DDL = "symbol string, exchange string, threshold double, condition string, at bigint, price double"
 
 
@@ -51,9 +52,7 @@ def start_alerts(
             fires = settle(replay(batch, priced, cooldown_seconds, min_move, entry=entry))
         finally:
             batch.unpersist()
-        when = F.struct("ts", "seq")
-        left = fires.groupBy(*RULE_KEY).agg(F.unix_micros(F.max("ts")).alias("at"), F.max_by("price", when).alias("price"))
-        kept = entry.join(left.select(*RULE_KEY), RULE_KEY, "left_anti").unionByName(left) if number else left
+        kept = _last_fires(entry, fires)
         fires.write.mode("overwrite").parquet(f"{table}/batch={number}")
         if then:
             then(fires, number)
@@ -63,6 +62,86 @@ def start_alerts(
     return quotes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _last_fires(entry: DataFrame | None, fires: DataFrame) -> DataFrame:
+    """The last fire of every rule after these fires."""
+    newest = fires.groupBy(*RULE_KEY).agg(F.unix_micros(F.max("ts")).alias("at"), F.max_by("price", F.struct("ts", "seq")).alias("price"))
+    if entry is None:
+        return newest
+    return entry.join(newest.select(*RULE_KEY), RULE_KEY, "left_anti").unionByName(newest)
+
+
+def start_event_time_alerts(
+    quotes: DataFrame,
+    rules: DataFrame,
+    table: str,
+    late: str,
+    state: str,
+    checkpoint: str,
+    lateness_seconds: int = 600,
+    cooldown_seconds: int = COOLDOWN_SECONDS,
+    min_move: float = MIN_MOVE,
+    **trigger,
+) -> StreamingQuery:
+    """Alerts of a quote stream in event time: quotes may come in any order within ``lateness_seconds``.
+
+    The clock of a batch is the newest quote time seen so far less the lateness. Crossings up to the clock are
+    replayed in time order from the last fires; newer ones wait in ``state`` for a later batch; those at or before
+    the clock of the batch before came too late to be put in order and go to ``late``, by batch. What fires is
+    what ``replay`` finds over all quotes but the late ones, however the stream was cut and shuffled.
+    ``finish_alerts`` lets out what still waits. Fires are in ``table`` by batch. A batch reads only the state
+    that the one before left and overwrites its own parts, so it can be repeated. What waits is bounded by the
+    crossings of one lateness, and rules are replayed in time parts, so none is held by one task.
+    """
+    ship_code(quotes.sparkSession)
+    held = settle(rules)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            newest = batch.agg(F.max(F.unix_micros("ts"))).first()[0]
+            fresh = settle(crossings(batch, held))
+        finally:
+            batch.unpersist()
+        before = _clock(batch.sparkSession, state, number - 1)
+        clock = max(x for x in (before, None if newest is None else newest - lateness_seconds * 1_000_000, -1 << 62) if x is not None)
+        _advance(batch.sparkSession, fresh, before, clock, number, table, late, state, cooldown_seconds, min_move)
+
+    return quotes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def finish_alerts(spark: SparkSession, table: str, late: str, state: str, cooldown_seconds: int = COOLDOWN_SECONDS, min_move: float = MIN_MOVE) -> None:
+    """Replay what still waits, for a stream that has ended: its clock moves beyond all quotes.
+
+    The stream must not go on from there, as its next batch would take the number written here.
+    """
+    clocks = spark.read.schema("clock bigint, batch int").parquet(f"{state}/clock")
+    number = clocks.agg(F.max("batch")).first()[0]
+    none = spark.createDataFrame([], CROSSED_DDL)
+    _advance(spark, none, _clock(spark, state, number), (1 << 62), number + 1, table, late, state, cooldown_seconds, min_move)
+
+
+def _clock(spark: SparkSession, state: str, number: int) -> int | None:
+    if number < 0:
+        return None
+    return spark.read.schema("clock bigint").parquet(f"{state}/clock/batch={number}").first().clock
+
+
+def _advance(spark: SparkSession, fresh: DataFrame, before: int | None, clock: int, number: int, table: str, late: str, state: str, cooldown_seconds: int, min_move: float) -> None:
+    """One step of the event-time replay: from the state of the batch before to that of this one."""
+    entry, waiting = None, fresh
+    if before is not None:
+        entry = spark.read.schema(STATE_DDL).parquet(f"{state}/last/batch={number - 1}")
+        waiting = fresh.filter(F.col("_at") > before).unionByName(spark.read.schema(CROSSED_DDL).parquet(f"{state}/waiting/batch={number - 1}"))
+        fresh.filter(F.col("_at") <= before).drop("_at").write.mode("overwrite").parquet(f"{late}/batch={number}")
+    fires = settle(replay_crossings(waiting.filter(F.col("_at") <= clock), cooldown_seconds, min_move, entry=entry))
+    fires.write.mode("overwrite").parquet(f"{table}/batch={number}")
+    waiting.filter(F.col("_at") > clock).select(*[c.split()[0] for c in CROSSED_DDL.split(", ")]).write.mode("overwrite").parquet(f"{state}/waiting/batch={number}")
+    _last_fires(entry, fires).write.mode("overwrite").parquet(f"{state}/last/batch={number}")
+    spark.createDataFrame([(clock,)], "clock bigint").coalesce(1).write.mode("overwrite").parquet(f"{state}/clock/batch={number}")
+    for part in ("waiting", "last", "clock"):
+        remove(spark, f"{state}/{part}/batch={number - 2}")
+
+
 def with_regimes(fired: DataFrame, patterns: DataFrame) -> DataFrame:
     """Alerts with the regime (``cluster_id``) of the same exchange and symbol, null where none is known."""
     return fired.join(patterns.select("exchange", "symbol", "cluster_id"), ["exchange", "symbol"], "left")

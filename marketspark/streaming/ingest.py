@@ -15,12 +15,29 @@ from marketspark.operators.ordered import sort_key
 from marketspark.session import remove
 
 
-def read_messages(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """Message stream from text files (one JSON message per line), column ``value``."""
+def read_messages(spark: SparkSession, path: str, files_per_batch: int | None = None, arrival: bool = False) -> DataFrame:
+    """Message stream from text files (one JSON message per line), column ``value``.
+
+    With ``arrival`` each message also bears its file's time and name and the block it was read from; with its
+    place in the block (``arrival_order``) that is the order in which messages were written.
+    """
     reader = spark.readStream.format("text")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.load(path)
+    made = reader.load(path)
+    if arrival:
+        facts = [F.col(f"_metadata.{c}").alias(c) for c in ("file_modification_time", "file_path", "file_block_start")]
+        made = made.select("value", F.struct(*facts).alias("arrival"))
+    return made
+
+
+def arrival_order(batch: DataFrame) -> Column:
+    """A column that sorts a batch of messages as they arrived: the topic's offset, or file, block and place in it."""
+    if "offset" in batch.columns:
+        return F.col("offset")
+    if "arrival" not in batch.columns:
+        raise ValueError("messages need an offset or an arrival (read_messages(arrival=True))")
+    return F.struct("arrival.*", F.monotonically_increasing_id().alias("place"))  # rises within a block
 
 
 def read_topic(spark: SparkSession, servers: str, topic: str, **options: str) -> DataFrame:
@@ -87,6 +104,34 @@ def start_ingest(messages: DataFrame, table: str, quarantine: str, checkpoint: s
     return messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def start_unique_ingest(messages: DataFrame, table: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Append closed candles to ``table``, each (symbol, open time) once: the first copy to arrive stays, however late others come.
+
+    No state is kept beside the table and nothing is dropped for being late: a batch is compared with the keys
+    stored for the days that it touches. Parts are by day and batch; a repeated batch replaces its own and is
+    compared with the others only.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        good, _ = split_batch(batch.withColumn("arrival", arrival_order(batch)))
+        rows = keep_one(good, ["symbol", "open_time"], ["arrival"], last=False).drop("arrival")
+        rows = rows.withColumns({"open_date": F.timestamp_millis("open_time").cast("date"), "batch": F.lit(number)}).persist()
+        try:
+            if number:
+                days = [r.open_date for r in rows.select("open_date").distinct().collect()]  # bounded by the calendar
+                stored = spark.read.schema("symbol string, open_time bigint, open_date date, batch int").parquet(table)
+                known = stored.filter(F.col("open_date").isin(days) & (F.col("batch") != number)).select("symbol", "open_time")
+                fresh = rows.join(known, ["symbol", "open_time"], "left_anti")
+            else:
+                fresh = rows
+            fresh.select(*rows.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("open_date", "batch").parquet(table)
+        finally:
+            rows.unpersist()
+
+    return messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def start_append(stream: DataFrame, table: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Append a stream to a parquet table exactly once."""
     return (
@@ -137,13 +182,11 @@ def start_rolling_view(
 def start_latest_view(messages: DataFrame, view: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Keep the newest frame per symbol: a batch with rows of a symbol replaces that symbol's frame.
 
-    Of copies of a candle in one batch the last to arrive stays: by ``offset`` where the messages have one, else
-    by their place in the batch.
+    Of copies of a candle in one batch the last to arrive stays (see ``arrival_order``).
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        place = F.col("offset") if "offset" in batch.columns else F.monotonically_increasing_id()
-        fresh = latest_frame(split_batch(batch.withColumn("arrival", place))[0], ["arrival"]).drop("arrival").persist()
+        fresh = latest_frame(split_batch(batch.withColumn("arrival", arrival_order(batch)))[0], ["arrival"]).drop("arrival").persist()
         try:
             symbols = fresh.select("symbol").distinct()
             kept = _previous(batch.sparkSession, view, number, fresh).join(symbols, "symbol", "left_anti")
