@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketspark.operators.joins import join_small
 from marketspark.session import remove
 
 #: Bytes of stored parts that become one file.
@@ -34,9 +33,13 @@ def _packed_upto(spark: SparkSession, packed: str) -> dict[str, int]:
     return {day: max(parts) for day, parts in found.items() if parts}
 
 
-def _day_list(spark: SparkSession, days: dict[str, int], name: str) -> DataFrame:
-    rows = spark.createDataFrame(list(days.items()), f"day string, {name} int")
-    return rows.select(F.col("day").cast("date").alias("open_date"), name)
+def _by_day(rows: DataFrame, how: str = "inner", **facts: dict[str, int]) -> DataFrame:
+    """Rows with facts about their day; the list of days goes to all tasks, the calendar bounds it."""
+    days = sorted(set().union(*facts.values()))
+    table = [(day, *[fact.get(day) for fact in facts.values()]) for day in days]
+    listed = rows.sparkSession.createDataFrame(table, "day string, " + ", ".join(f"{name} int" for name in facts))
+    listed = listed.withColumn("open_date", F.col("day").cast("date")).drop("day")
+    return rows.join(F.broadcast(listed), "open_date", how).select(*rows.columns, *facts)
 
 
 def _packed_rows(spark: SparkSession, packed: str, upto: dict[str, int]) -> DataFrame:
@@ -47,9 +50,9 @@ def _newer(spark: SparkSession, table: str, packed: str, upto: dict[str, int]) -
     """The rows of the parts after the packed ones, with their batch."""
     if not upto:
         return spark.read.parquet(table)
-    like = _packed_rows(spark, packed, upto).schema.add("batch", "int")  # all parts may be packed and gone
+    like = _packed_rows(spark, packed, upto).schema.add("batch", "integer")  # all parts may be packed and gone
     rows = spark.read.schema(like).parquet(table)
-    after = join_small(rows, _day_list(spark, upto, "_upto"), ["open_date"], "left")
+    after = _by_day(rows, "left", _upto=upto)
     return after.filter(F.col("_upto").isNull() | (F.col("batch") > F.col("_upto"))).drop("_upto")
 
 
@@ -81,13 +84,13 @@ def compact(spark: SparkSession, table: str, packed: str, target_bytes: int = TA
             todo[day], files[day] = max(fresh), max(1, round(size / target_bytes))
     if not todo:
         return 0
-    rows = join_small(_newer(spark, table, packed, upto), _day_list(spark, todo, "_to"), ["open_date"]).filter("batch <= _to").drop("batch", "_to")
+    rows = _by_day(_newer(spark, table, packed, upto), _to=todo).filter("batch <= _to").drop("batch", "_to")
     if again := {day: n for day, n in upto.items() if day in todo}:
         rows = rows.unionByName(_packed_rows(spark, packed, again))
     places, total = {}, 0  # every file of every day is a partition of its own
     for day, n in files.items():
         places[day], total = total, total + n
-    dealt = join_small(join_small(rows, _day_list(spark, files, "_files"), ["open_date"]), _day_list(spark, places, "_place"), ["open_date"])
+    dealt = _by_day(rows, _files=files, _place=places)
     part = F.col("_place") + F.pmod(F.xxhash64("symbol", F.expr("open_time div 3600000")), F.col("_files"))
     stage = f"{packed}/_staged-{uuid.uuid4().hex}"
     in_order = dealt.repartitionById(total, part.cast("int")).sortWithinPartitions("open_date", "symbol", "open_time")
