@@ -114,7 +114,8 @@ def write(pages: DataFrame, root: str, roll: int = 64 << 20, shards: int | None
 
     Rows are range-sorted by id into shards (null ids last), so the same rows and shard number give the same
     files byte for byte. Each task writes under names of its own attempt; only files in the manifest of
-    successful tasks are renamed to their final names, by a second job that may be repeated. Equal payloads
+    successful tasks are renamed to their final names, by a second job that may be repeated; it is an error if a file
+    is then missing or of another size. Pages without an id are dealt by their payload, all others by id. Equal payloads
     of 100 bytes or more: the smallest id is a response, larger ids revisit it; rows that share the smallest
     id are all responses. Null payloads are empty; a null id makes a record without page number.
     """
@@ -122,21 +123,23 @@ def write(pages: DataFrame, root: str, roll: int = 64 << 20, shards: int | None
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     count = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), pages.rdd.getNumPartitions())
     none = F.lit(None).cast("string")
-    both = revisits(rows).select("page_id", F.lit(0).alias("kind"), none.alias("url"), F.col("digest").alias("body"), "refers_to")
-    both = both.unionAll(rows.select("page_id", F.lit(1).alias("kind"), "url", F.col("html").alias("body"), F.lit(None).cast("long").alias("refers_to")))
-    dealt = range_parts(both, count, "page_id", like=rows).withColumnRenamed("part", "shard")
-    ranged = dealt.sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "kind", F.xxhash64("body"), "body", "url")
+    tie = lambda digest: F.when(F.col("page_id").isNull(), F.xxhash64(digest)).otherwise(0).alias("tie")
+    rows = rows.select("*", tie(F.sha2(F.col("html").cast("binary"), 256)))
+    both = revisits(rows).select("page_id", F.lit(0).alias("kind"), none.alias("url"), F.col("digest").alias("body"), "refers_to", tie(F.col("digest")))
+    both = both.unionAll(rows.select("page_id", F.lit(1).alias("kind"), "url", F.col("html").alias("body"), F.lit(None).cast("long").alias("refers_to"), "tie"))
+    dealt = range_parts(both, count, "page_id", F.col("tie"), like=rows).withColumnRenamed("part", "shard")
+    ranged = dealt.sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "tie", "kind", F.xxhash64("body"), "body", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, known, page = None, {}, None
+        roller, known, page, at = None, {}, None, None
         for batch in batches:
             for row in batch.to_pylist():
                 if roller and roller.shard != row["shard"] and (done := roller.close()):
                     yield pa.RecordBatch.from_pylist([done], _MANIFEST_ARROW)
                 if roller is None or roller.shard != row["shard"]:
                     roller = _Roller(root, row["shard"], roll, date)
-                if row["page_id"] != page:
-                    known, page = {}, row["page_id"]
+                if (row["page_id"], row["tie"]) != (page, at):
+                    known, page, at = {}, row["page_id"], row["tie"]
                 if row["kind"] == 0:
                     known[row["body"]] = row["refers_to"]
                     continue
@@ -147,7 +150,7 @@ def write(pages: DataFrame, root: str, roll: int = 64 << 20, shards: int | None
         if roller and (done := roller.close()):
             yield pa.RecordBatch.from_pylist([done], _MANIFEST_ARROW)
 
-    manifest = stored(ranged.select("shard", "page_id", "kind", "url", "body", "refers_to").mapInArrow(run, _MANIFEST), "warc-manifest")
+    manifest = stored(ranged.select("shard", "page_id", "tie", "kind", "url", "body", "refers_to").mapInArrow(run, _MANIFEST), "warc-manifest")
 
     def commit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = _place(root)
@@ -156,15 +159,28 @@ def write(pages: DataFrame, root: str, roll: int = 64 << 20, shards: int | None
                 final, temporary = f"{path}/{row['name']}", f"{path}/{row['temporary']}"
                 if files.get_file_info(temporary).type != fs.FileType.NotFound:
                     files.move(temporary, final)
+                there = files.get_file_info(final)
+                if there.type != fs.FileType.File or there.size != row["bytes"]:
+                    raise ValueError(f"{row['name']} of the manifest is not there as it was written")
             yield batch
 
-    done = stored(manifest.repartition("name").mapInArrow(commit, _MANIFEST).drop("temporary"), "warc-committed")
-    if done.count() != manifest.count():
-        raise RuntimeError("not every file of the manifest was committed")
-    return done
+    return stored(manifest.repartition("name").mapInArrow(commit, _MANIFEST).drop("temporary"), "warc-committed")
 
 
-def _records(source: pa.NativeFile) -> Iterator[bytes]:
+class _Checked:
+    """An open file that knows how much was read from it, and its digest."""
+
+    def __init__(self, source: pa.NativeFile) -> None:
+        self.source, self.size, self.sha = source, 0, hashlib.sha256()
+
+    def read(self, size: int) -> bytes:
+        data = self.source.read(size)
+        self.size += len(data)
+        self.sha.update(data)
+        return data
+
+
+def _records(source: _Checked) -> Iterator[bytes]:
     """The gzip members of an open file, one at a time."""
     press, parts, chunk = zlib.decompressobj(31), [], b""
     while chunk or (chunk := source.read(1 << 16)):
@@ -196,18 +212,23 @@ def parse(data: bytes) -> dict | None:
 
 
 def read(manifest: DataFrame, root: str, payload: bool = False) -> DataFrame:
-    """The page records of a manifest's files, one task per file or several; with their bytes if asked."""
+    """The page records of a manifest's files, one task per file or several; with their bytes if asked.
+
+    A file that is missing, or whose bytes, digest or number of records are not those of the manifest, is an error.
+    """
     schema = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
     schema = pa.schema([*schema, ("payload", pa.binary())] if payload else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = _place(root)
         for batch in batches:
-            for name in batch.column("name").to_pylist():
-                rows, size = [], 0
-                with files.open_input_stream(f"{path}/{name}", compression=None) as source:
+            for wanted in batch.to_pylist():
+                rows, size, count = [], 0, 0
+                with files.open_input_stream(f"{path}/{wanted['name']}", compression=None) as file:
+                    source = _Checked(file)
                     for data in _records(source):
                         if row := parse(data):
+                            count += 1
                             if not payload:
                                 row.pop("payload")
                             rows.append(row)
@@ -215,8 +236,10 @@ def read(manifest: DataFrame, root: str, payload: bool = False) -> DataFrame:
                         if size > 4 << 20:
                             yield pa.RecordBatch.from_pylist(rows, schema)
                             rows, size = [], 0
+                if (count, source.size, source.sha.hexdigest()) != (wanted["records"], wanted["bytes"], wanted["sha256"]):
+                    raise ValueError(f"{wanted['name']} is not the file of the manifest")
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
     ddl = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload
-    return manifest.select("name").repartition("name").mapInArrow(run, ddl)
+    return manifest.select("name", "records", "bytes", "sha256").repartition("name").mapInArrow(run, ddl)

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import os
+import zlib
 
 import pytest
 
@@ -68,3 +69,38 @@ def test_damage_is_found():
     assert warc.parse(good)["payload_bytes"] == 150
     with pytest.raises(ValueError):
         warc.parse(good.replace(b"xxx", b"xyx", 1))
+
+
+def test_loss_is_found(spark):
+    """A file cut between two records, and one that is gone, end the reading."""
+    frame, _ = pages(spark)
+    for harm in ("cut", "gone"):
+        root = new_path(spark, "test-warc")
+        manifest = warc.write(frame, root, roll=3000, shards=2)
+        whole = warc.read(manifest, root).count()
+        assert whole == frame.count()
+        path = f"{local(root)}/{manifest.filter('records > 2').first().name}"
+        if harm == "gone":
+            os.remove(path)
+        else:
+            data = open(path, "rb").read()
+            members = []
+            while data:
+                press = zlib.decompressobj(31)
+                press.decompress(data)
+                members.append(data[: len(data) - len(press.unused_data)])
+                data = press.unused_data
+            assert len(members) > 3
+            open(path, "wb").write(b"".join(members[:-1]))
+        with pytest.raises(Exception, match="manifest|No such file|not found"):
+            warc.read(manifest, root).count()
+
+
+def test_pages_without_ids_are_spread(spark):
+    rows = [(None, f"u{i}", f"{i % 700} " * 60) for i in range(2000)] + [(1, "u", "5 " * 60)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    root = new_path(spark, "test-warc")
+    manifest = warc.write(frame, root, shards=8)
+    assert max(r.records for r in manifest.collect()) < 800
+    got = warc.read(manifest, root).collect()
+    assert len(got) == len(rows) and sum(r.record_type == "revisit" and r.refers_to == 1 for r in got) == 3  # of 5, 705, 1405
