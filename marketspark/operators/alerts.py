@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import numpy as np
@@ -151,6 +151,49 @@ def _part_width(rows: DataFrame, target: int, cooldown: int) -> int:
     return max((high - low + 1) * target // most, PART_COOLDOWNS * cooldown, 1)
 
 
+def next_fires(rows: DataFrame, state: DataFrame, keys: Sequence[str], cooldown: int, min_move: float) -> DataFrame:
+    """The next crossing that fires of each part in ``state``; parts without one yield no row.
+
+    ``state`` has the last fire of each part (``_last_at`` in microseconds, ``_last_seq``, ``_last_price``, null
+    before the first) and the entry state it began with. Nothing is sorted: every task keeps the earliest crossing
+    that may fire, so a part may be spread over all tasks.
+    """
+    move = F.abs(F.col("price") - F.col("_last_price"))
+    after = (F.col("_at") > F.col("_last_at")) | F.col("_last_seq").isNull() | (F.col("seq") > F.col("_last_seq"))
+    moved = (move > min_move) & ~F.isnan(move)  # as in ``fire``: a price that is no number never moves
+    ready = F.col("_last_at").isNull() | ((F.col("_at") >= F.col("_last_at") + cooldown) & after & moved)
+    found = join_small(rows, state, keys).filter(ready)
+    found = found.select("*", F.timestamp_micros("_at").alias("_ts"), F.coalesce("seq", F.lit(-(1 << 63))).alias("_seq"))
+    return (
+        found.withColumn("_when", sort_key(found, ["_ts", "_seq"]))
+        .groupBy(*keys, "_in_at", "_in_price")
+        .agg(F.min("_at").alias("at"), F.min_by("seq", "_when").alias("seq"), F.min_by("price", "_when").alias("price"))
+    )
+
+
+def search(rows: DataFrame, parts: DataFrame, keys: Sequence[str], cooldown: int, min_move: float) -> DataFrame:
+    """Fires of whole parts, each from its entry state, and one end row a part.
+
+    A round finds the next fire of every part that fired in the round before, so there are as many rounds as
+    a part has fires, and one more. A part that is as long as n cooldowns has n + 1 fires at most.
+    """
+    begin = parts.select(*keys, "_in_at", "_in_price")
+    state = begin.select("*", F.col("_in_at").alias("_last_at"), F.lit(None).cast("bigint").alias("_last_seq"), F.col("_in_price").alias("_last_price"))
+    fires = None
+    while True:
+        found = settle(next_fires(rows, state, keys, cooldown, min_move))
+        fires = found if fires is None else fires.unionByName(found)
+        if found.isEmpty():
+            break
+        state = found.withColumnsRenamed({"at": "_last_at", "seq": "_last_seq", "price": "_last_price"})
+    fires = settle(fires)
+    last = fires.groupBy(*keys).agg(F.max_by(F.struct("at", "price"), F.struct("at", "seq")).alias("_last"))
+    ends = begin.join(last, list(keys), "left").select(
+        *keys, F.lit(True).alias("_end"), "_in_at", "_in_price", F.col("_last.at").alias("at"), F.lit(None).cast("bigint").alias("seq"), F.col("_last.price").alias("price")
+    )
+    return ends.unionByName(fires.withColumn("_end", F.lit(False)))
+
+
 def replay(
     quotes: DataFrame,
     rules: DataFrame,
@@ -163,8 +206,9 @@ def replay(
     """Every alert that would have fired over stored quotes, per rule.
 
     The rule depends on its own past, so a rule's history is cut into time parts that run in
-    parallel, each from a guessed entry state; a part is read in time order in small batches
-    and never held as a whole. A part whose guess differs from what the parts before it leave
+    parallel, each from a guessed entry state; a part of up to ``part_rows`` rows is read in time
+    order in small batches and never held as a whole, a larger one is searched (``next_fires``)
+    and never put in order. A part whose guess differs from what the parts before it leave
     behind runs again. Parts settle from the earliest on, so the loop ends with the exact
     sequential result, after few rounds as long as parts are longer than the cooldown.
     ``entry`` (the rule's key, ``at`` in microseconds, ``price``) is the last fire before the quotes, as the
@@ -217,16 +261,31 @@ def replay_crossings(
         out = out.assign(**facts, _in_at=pd.array([entry[0]] * len(out), "Int64"), _in_price=pd.array([entry[1]] * len(out), "Float64"))
         return out[[*keys, "_end", "_in_at", "_in_price", "at", "seq", "price"]]
 
-    def evaluate(rows: DataFrame) -> DataFrame:
-        in_order = rows.repartition(*keys).sortWithinPartitions(*keys, "_at", "seq")
-        return in_order.groupBy(*keys).applyInPandas(run, result)
+    crowded = None
+    if width:
+        sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+        crowded = settle(sizes.filter(F.col("_rows") > part_rows).select(*keys))
+        if crowded.isEmpty():
+            crowded = None
+    calm = rows if crowded is None else settle(join_small(rows, crowded, keys, "left_anti"))
+    hot = None if crowded is None else settle(join_small(rows, crowded, keys, "left_semi"))
+
+    def evaluate(with_entry: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Fires and end rows of the parts to which ``with_entry`` gives an entry state (it may drop others)."""
+        in_order = with_entry(calm).repartition(*keys).sortWithinPartitions(*keys, "_at", "seq")
+        out = in_order.groupBy(*keys).applyInPandas(run, result)
+        if crowded is None:
+            return out
+        parts = settle(with_entry(crowded))
+        return out if parts.isEmpty() else out.unionByName(search(hot, parts, keys, cooldown, min_move))
 
     if entry is None:
-        done = settle(evaluate(rows.withColumns({"_in_at": F.lit(None).cast("bigint"), "_in_price": F.lit(None).cast("double")})))
+        nothing = {"_in_at": F.lit(None).cast("bigint"), "_in_price": F.lit(None).cast("double")}
+        done = settle(evaluate(lambda df: df.withColumns(nothing)))
     else:
         before = settle(entry.select(*RULE_KEY, F.col("at").alias("_in_at"), F.col("price").alias("_in_price")))
-        done = settle(evaluate(join_small(rows, before, RULE_KEY, "left")))
         known = before.select(*RULE_KEY, F.struct(F.col("_in_at").alias("at"), F.col("_in_price").alias("price")).alias("_known"))
+        done = settle(evaluate(lambda df: join_small(df, before, RULE_KEY, "left")))
     earlier = Window.partitionBy(*RULE_KEY).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     while width:
         # One end row per part: the right entry state is the last fire of any earlier part.
@@ -237,6 +296,6 @@ def replay_crossings(
         wrong = settle(linked.filter(~same).select(*keys, F.col("_from.at").alias("_in_at"), F.col("_from.price").alias("_in_price")))
         if wrong.isEmpty():
             break
-        again = evaluate(join_small(rows, wrong, keys))
+        again = evaluate(lambda df: join_small(df, wrong, keys))
         done = settle(done.join(wrong.select(*keys), keys, "left_anti").unionByName(again))
     return done.filter(~F.col("_end")).select(*RULE_KEY, F.timestamp_micros("at").alias("ts"), "seq", "price")

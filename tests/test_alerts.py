@@ -72,6 +72,59 @@ def test_parts_do_not_change_the_result(spark, rules, part_seconds):
     assert got == want
 
 
+def literal(prices, cooldown, min_move, entry=(None, None)):
+    """The firing rule, one crossing (time, price) after another."""
+    (at, last), fires = entry, []
+    for now, price in prices:
+        if at is None or (now - at >= cooldown and abs(price - last) > min_move):
+            at, last = now, price
+            fires.append((now, price))
+    return fires
+
+
+@pytest.mark.parametrize("cooldown,part_seconds", [(3600, None), (900, 5 * 3600), (0, 6 * 3600)])
+def test_crowded_parts_are_searched(spark, rules, cooldown, part_seconds):
+    """Parts beyond ``part_rows`` rows, beside calm ones: same fires as one crossing after another."""
+    rng = np.random.default_rng(11)
+    minutes = np.sort(np.concatenate([rng.integers(600, 1200, 300), rng.integers(0, 3000, 40)]))
+    prices = np.round(70001 + np.abs(rng.normal(0, 40, len(minutes)).cumsum()), 2)
+    tape = [quote(int(m), p, seq=i) for i, (m, p) in enumerate(zip(minutes, prices))]
+    want = literal([(60 * int(m), float(p)) for m, p in zip(minutes, prices)], cooldown, 100.0)
+    got = [(60 * f[2], f[3]) for f in fired(spark, rules, tape, cooldown_seconds=cooldown, part_seconds=part_seconds, part_rows=60)]
+    assert len(want) > 3 and got == sorted(want)
+
+
+def test_crowded_parts_begin_from_the_entry(spark, rules):
+    tape = spark.createDataFrame([quote(i, 71000 + 3 * i, seq=i) for i in range(200)], QUOTE_DDL)
+    entry = spark.createDataFrame([("BTC/USDT", "binance", 70000.0, "above", int(START.replace(tzinfo=dt.timezone.utc).timestamp() - 600) * 1_000_000, 71200.0)], "symbol string, exchange string, threshold double, condition string, at bigint, price double")
+    want = literal([(60 * i, 71000.0 + 3 * i) for i in range(200)], 3600, 100.0, (-600, 71200.0))
+    out = A.replay(tape, rules, part_rows=20, entry=entry).orderBy("seq").collect()
+    assert [(60 * r.seq, r.price) for r in out] == want and len(want) > 1
+
+
+def test_a_rule_with_a_million_crossings_in_an_hour(spark, rules):
+    """One part of one rule over eight tasks: each hands on one row a round, none is sorted or sent to Python."""
+    tape = spark.range(0, 1_000_000, 1, 8).select(
+        F.lit("BTC/USDT").alias("symbol"), F.lit("binance").alias("exchange"), F.timestamp_micros(F.col("id") * 3600 + 1_704_067_200_000_000).alias("ts"),
+        F.col("id").alias("seq"), (70001 + F.pmod(F.col("id") * 7919, F.lit(1000))).cast("double").alias("price"), F.lit(1.0).alias("volume"),
+    )
+    ids = np.arange(1_000_000)
+    at, price = ids * 3600, 70001.0 + ids * 7919 % 1000
+    for cooldown in (3600, 450):
+        want = A.fire(at, price, None, None, cooldown * 1_000_000, 100.0)[0]
+        got = [r.seq for r in A.replay(tape, rules, cooldown_seconds=cooldown, part_rows=1000).orderBy("seq").collect()]
+        assert got == want
+    rows = A.crossings(tape, rules).withColumn("_part", F.lit(0).cast("bigint"))
+    keys = [*A.RULE_KEY, "_part"]
+    none = {c: F.lit(None).cast(t) for c, t in (("_in_at", "bigint"), ("_in_price", "double"), ("_last_at", "bigint"), ("_last_seq", "bigint"), ("_last_price", "double"))}
+    state = rules.filter("symbol = 'BTC/USDT'").select(*A.RULE_KEY, F.lit(0).cast("bigint").alias("_part")).withColumns(none)
+    step = A.next_fires(rows, state, keys, 3_600_000_000, 100.0)
+    plan = step._jdf.queryExecution().executedPlan().toString()
+    before = plan[plan.index("Exchange hashpartitioning"):]
+    assert "partial_min_by" in before and "Pandas" not in plan and "SortAggregate" not in plan
+    assert [r.seq for r in step.collect()] == [0]
+
+
 def test_part_width_is_measured(spark, rules):
     rows = A.crossings(spark.createDataFrame([quote(i, 71000 + i) for i in range(200)], QUOTE_DDL), rules)
     assert A._part_width(rows, 1000, 0) == 0
