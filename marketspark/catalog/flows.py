@@ -14,12 +14,15 @@ from marketspark.catalog.sentiment import SENTIMENT, gloomy_classifier
 from marketspark.functions import parse
 from marketspark.operators import alerts as A
 from marketspark.operators.candles import PRICES, new_rows
+from marketspark.operators.features import FEATURES, MIN_ROWS
+from marketspark.plans.training import train
 from marketspark.sources import paged, tables
 from marketspark.session import new_path, settle
 from marketspark.streaming import alerts as SA
 from marketspark.streaming import compaction as SC
 from marketspark.streaming import indicators as SN
 from marketspark.streaming import ingest as SI
+from marketspark.streaming import regimes as SR
 from marketspark.views import HOUR_MS, candles, quotes, quotes_of, rules, sentiment, stored_candles, table, with_views
 
 _ALL = "symbol, open_time, open, high, low, close, volume, close_time, round(quote_volume, 4) AS quote_volume, num_trades, taker_base_volume, round(taker_quote_volume, 4) AS taker_quote_volume"
@@ -360,6 +363,37 @@ def _(spark, sf_dir):
     )
 
 
+@query(
+    "x6_detected",
+    _CYCLE + f""", span AS (SELECT min(epoch_us(ts)) AS low, max(epoch_us(ts)) AS high FROM quotes),
+  minutes AS (SELECT n, exchange, symbol, time_bucket(INTERVAL '1 minute', ts) AS minute, arg_max(price, (ts, seq)) AS close, sum(volume) AS volume
+    FROM (SELECT q.*, (epoch_us(ts) - low) * 3 // (high - low + 1) AS load FROM quotes q, span) q JOIN range(3) l(n) ON load <= n GROUP BY ALL),
+  ring AS (SELECT n, exchange, symbol, count(*) AS bars, avg(close) AS mean_close, avg(volume) AS mean_volume
+    FROM (SELECT *, row_number() OVER (PARTITION BY n, exchange, symbol ORDER BY minute DESC) AS rn FROM minutes) WHERE rn <= 60 GROUP BY ALL)
+  SELECT f.symbol, f.exchange, condition, ts, price, bars, bars >= {MIN_ROWS} AS detected, bars >= {MIN_ROWS} AS told,
+    CASE WHEN bars >= {MIN_ROWS} THEN round(mean_close, 6) END AS mean_close, CASE WHEN bars >= {MIN_ROWS} THEN round(mean_volume, 6) END AS mean_volume
+  FROM f, span JOIN ring r ON r.n = (epoch_us(ts) - low) * 3 // (high - low + 1) AND r.exchange = f.exchange AND r.symbol = f.symbol""",
+)
+def _(spark, sf_dir):
+    """Three loads; the regime of each alert is that of its key's newest 60 minutes when its load has come."""
+    feed, store, box, fired, held, ring, state = (new_path(spark, n) for n in ("feed", "sentiment", "outbox", "fired", "last", "ring", "state"))
+    model = train(stored_candles(spark, sf_dir), k=5, starts=2)
+    detector = SR.RegimeRing(ring, model.embedder, model.centroids)
+    tape = quotes(spark, sf_dir)
+    low, high = tape.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    for turn in range(3):
+        load = F.expr(f"(unix_micros(ts) - {low}L) * 3 div {high - low + 1}L")
+        tape.filter(load == turn).write.mode("append").parquet(feed)
+        stream = spark.readStream.schema(tape.schema).parquet(feed)
+        run(SA.start_alert_cycle(stream, rules(spark, sf_dir), detector, _stand_in, store, box, fired, held, state, gloomy_classifier, availableNow=True))
+    found = spark.read.schema(SR.FOUND_DDL + ", batch int").parquet(f"{ring}/found")
+    told = F.col("message").contains("*Pattern:*")
+    value = {c: F.col("feature_vector").getItem(FEATURES.index(c)) for c in ("mean_close", "mean_volume")}
+    out = spark.read.parquet(box).join(found, ["batch", "exchange", "symbol"]).withColumns(value)
+    out = out.select("symbol", "exchange", "condition", "ts", "price", "bars", (F.col("cluster_id") >= 0).alias("detected"), told.alias("told"), "mean_close", "mean_volume")
+    return rounded(out, "mean_close", "mean_volume")
+
+
 @query("x7_no_repeats", CANDLES + f" SELECT symbol, open_time, close FROM candles WHERE {_KEPT}")
 def _(spark, sf_dir):
     """Second copies, with another close, come in a later load, up to a month after the first."""

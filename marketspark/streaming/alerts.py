@@ -29,7 +29,7 @@ def start_alerts(
     cooldown_seconds: int = COOLDOWN_SECONDS,
     min_move: float = MIN_MOVE,
     fallback: bool = False,
-    then: Callable[[DataFrame, int], None] | None = None,
+    then: Callable[[DataFrame, DataFrame, int], None] | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Alerts of a quote stream: one row per fire, in ``table`` by batch.
@@ -38,7 +38,8 @@ def start_alerts(
     so a rule's crossings are cut into parts and never held together, however many a batch brings. A repeated
     batch starts from the same state and replaces its own output. The stream is expected to be in time order
     across batches, as a topic partition is. With ``fallback`` a rule whose exchange has no quote of its symbol in
-    a batch is priced by the first of its fallback exchanges that has. ``then`` gets each batch's fires.
+    a batch is priced by the first of its fallback exchanges that has. ``then`` gets each batch's fires, its quotes
+    and its number.
     """
     ship_code(quotes.sparkSession)
     held = settle(rules)
@@ -50,13 +51,12 @@ def start_alerts(
         try:
             priced = with_source(held, batch) if fallback else held
             fires = settle(replay(batch, priced, cooldown_seconds, min_move, entry=entry))
+            fires.write.mode("overwrite").parquet(f"{table}/batch={number}")
+            if then:
+                then(fires, batch, number)
         finally:
             batch.unpersist()
-        kept = _last_fires(entry, fires)
-        fires.write.mode("overwrite").parquet(f"{table}/batch={number}")
-        if then:
-            then(fires, number)
-        kept.write.mode("overwrite").parquet(f"{state}/batch={number}")
+        _last_fires(entry, fires).write.mode("overwrite").parquet(f"{state}/batch={number}")
         remove(spark, f"{state}/batch={number - 2}")
 
     return quotes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
@@ -185,7 +185,7 @@ def outbox(messages: DataFrame) -> DataFrame:
 def start_alert_cycle(
     quotes: DataFrame,
     rules: DataFrame,
-    patterns: DataFrame | Callable[[DataFrame], DataFrame] | None,
+    patterns: DataFrame | Callable[[DataFrame, DataFrame, int], DataFrame] | None,
     make: Callable[[], Classifier],
     sentiment_table: str,
     outbox_table: str,
@@ -199,14 +199,15 @@ def start_alert_cycle(
 ) -> StreamingQuery:
     """Fire, enrich, store sentiment, and put messages in an outbox table for a sender.
 
-    ``patterns`` is a table of regimes, stored once, or a function of a batch's fires that detects them anew.
+    ``patterns`` is a table of regimes, stored once, or a function of a batch's fires, quotes and number that
+    detects them anew, as ``regimes.RegimeRing`` does from the newest bars.
     Sentiment goes to the same table as ``append_sentiment`` writes, by day and load. All writes of a batch bear
     its number, so a repeated batch replaces itself.
     """
     regimes = settle(patterns) if isinstance(patterns, DataFrame) else patterns
 
-    def send(fires: DataFrame, number: int) -> None:
-        found = settle(regimes(fires)) if callable(regimes) else regimes
+    def send(fires: DataFrame, quotes: DataFrame, number: int) -> None:
+        found = settle(regimes(fires, quotes, number)) if callable(regimes) else regimes
         messages = messages_of(fires, found, make, "mistral", fallback).persist()
         try:
             append_sentiment(sentiment_records(messages), sentiment_table, f"cycle-{number:09d}")

@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from marketspark.operators import alerts as A
 from marketspark.schemas import QUOTE_DDL, RULE_DDL
 from marketspark.operators import indicators as I
+from marketspark.operators.candles import build_candles, last_bars
+from marketspark.operators.features import FEATURES
+from marketspark.operators.patterns import Embedder, detect
 from marketspark.schemas import CANDLE_DDL
 from marketspark.streaming import alerts as SA
 from marketspark.streaming import compaction as SC
 from marketspark.streaming import indicators as SN
 from marketspark.streaming import ingest as SI
+from marketspark.streaming import regimes as SR
 
 START = dt.datetime(2024, 1, 1)
 
@@ -157,6 +161,33 @@ def test_outbox_and_stored_sentiment(spark, tmp_path):
     assert row.metadata["all_labels"] == '["bearish","bullish"]' and row.metadata["alert_condition"] == "above"
 
 
+def test_ring_of_bars_in_any_order(spark, tmp_path):
+    """The ring after each batch is the newest bars of all quotes so far; only fired keys are detected, as in one batch."""
+    rng = np.random.default_rng(6)
+    tape = [(s, "x", START + dt.timedelta(seconds=int(t)), i, float(p), 1.0) for i, (s, t, p) in enumerate(zip(rng.choice(["A", "B", "C"], 900), rng.integers(0, 7200, 900), 100 + rng.normal(0, 1, 900).cumsum()))]
+    tape += [("D", "x", START, 900, 5.0, 1.0), (None, None, START, 901, 6.0, None), ("A", "x", None, 902, 7.0, 1.0)]
+    model = Embedder(FEATURES, [0.0] * 18, [1.0] * 18, [[1.0] + [0.0] * 17], [1.0])
+    centroids = [[90.0], [110.0]]
+    ring = SR.RegimeRing(str(tmp_path / "ring"), model, centroids, bars=40)
+    fires = spark.createDataFrame([("x", "A"), ("x", "B"), ("x", "D"), ("x", "none")], "exchange string, symbol string")
+    order, seen = rng.permutation(len(tape)), []
+    for number, part in enumerate(np.array_split(order, 3)):
+        rows = [tape[i] for i in part]
+        seen += rows
+        found = ring(fires, spark.createDataFrame(rows, QUOTE_DDL), number)
+        if number == 1:
+            ring(fires, spark.createDataFrame(rows, QUOTE_DDL), number)  # a repeated batch changes nothing
+        whole = build_candles(spark.createDataFrame(seen, QUOTE_DDL), ["exchange", "symbol"], 60).withColumn("open_time", F.unix_millis("ts"))
+        names = ["exchange", "symbol", "open_time", "open", "high", "low", "close", "volume", "num_trades"]
+        want = sorted(map(str, last_bars(whole, ["exchange", "symbol"], 40).select(*names).collect()))
+        held = spark.read.schema(SR.RING_DDL).parquet(f"{ring.path}/ring/batch={number}")
+        assert sorted(map(str, held.select(*names).collect())) == want
+    same = detect(whole, model, centroids, n=40).filter("symbol in ('A', 'B', 'D')")
+    pick = lambda df: sorted((r.symbol, r.bars, r.cluster_id, r.distance and round(r.distance, 6)) for r in df.collect())
+    assert pick(found) == pick(same)
+    assert [p[2] for p in pick(found)][2] == -1 and {p[2] for p in pick(found)[:2]} <= {0, 1}
+
+
 def test_kafka_needs_its_connector(spark):
     with pytest.raises(Exception, match="(?i)kafka"):
         SI.read_topic(spark, "localhost:9092", "candles")
