@@ -47,14 +47,54 @@ def _(spark, sf_dir):
     return tidy(tables.parse_candle_pages(pages))
 
 
-@query("s2_paged_read", _WHOLE)
-def _(spark, sf_dir):
+FEED = "marketspark.sources.paged:from_table"
+
+
+def _feed(spark, sf_dir):
+    """The candles behind a stand-in for the paged service, and the range of their open times."""
     store = new_path(spark, "feed")
     candles(spark, sf_dir).write.parquet(store)
     bars = spark.read.parquet(store)
-    low, high = bars.agg(F.min("open_time"), F.max("open_time")).first()
-    symbols = [r[0] for r in bars.select("symbol").distinct().collect()]
-    return tidy(paged.read_paged(spark, "marketspark.sources.paged:from_table", symbols, low, high, "15m", 1, store=store))
+    return store, bars, *bars.agg(F.min("open_time"), F.max("open_time")).first()
+
+
+@query("s2_paged_read", _WHOLE)
+def _(spark, sf_dir):
+    store, bars, _, _ = _feed(spark, sf_dir)
+    instruments = bars.groupBy("symbol").agg(F.min("open_time").alias("start"), F.max("open_time").alias("end"))
+    return tidy(paged.read_instruments(instruments, FEED, "15m", 1, store=store))
+
+
+@query("s2_resumed", _WHOLE)
+def _(spark, sf_dir):
+    """One symbol is loaded to the middle, the others not at all; then every symbol from where it stands."""
+    store, bars, low, high = _feed(spark, sf_dir)
+    table = new_path(spark, "candles")
+    paged.read_paged(spark, FEED, ["view"], low, (low + high) // 2, "15m", 1, store=store).write.parquet(table)
+    lacking = paged.resumed(bars, spark.read.parquet(table), low, high)
+    paged.read_instruments(lacking, FEED, "15m", 1, store=store).write.mode("append").parquet(table)
+    return tidy(spark.read.parquet(table))
+
+
+@query("s2_pushed", _WHOLE + " WHERE symbol IN ('view', 'error') AND open_time >= 1704672000000 AND open_time < 1706000000000")
+def _(spark, sf_dir):
+    """Only two symbols and a part of the time are asked for."""
+    store, bars, low, high = _feed(spark, sf_dir)
+    instruments = new_path(spark, "instruments")
+    bars.select("symbol").distinct().write.parquet(instruments)
+    rows = paged.read_paged(spark, FEED, instruments, low, high, "15m", 1, store=store)
+    return tidy(rows.filter("symbol IN ('view', 'error') AND open_time >= 1704672000000 AND open_time < 1706000000000"))
+
+
+@query("s2_stream", _WHOLE)
+def _(spark, sf_dir):
+    """A stream of pages that is stopped in the middle and started again."""
+    store, bars, low, high = _feed(spark, sf_dir)
+    instruments, table, state = (new_path(spark, n) for n in ("instruments", "candles", "state"))
+    bars.select("symbol").distinct().write.parquet(instruments)
+    for end in ((low + high) // 2, high):
+        run(SI.start_append(paged.stream_paged(spark, FEED, instruments, low, end, "15m", 1, store=store), table, state))
+    return tidy(spark.read.parquet(table))
 
 
 def messages(spark, sf_dir, copy=None):

@@ -6,13 +6,16 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThan
 
 from marketspark.operators import candles as O
 from marketspark.schemas import CANDLE_DDL, SENTIMENT_DDL
 from marketspark.session import checkpoint_root, clean, new_path
 from marketspark.sources import paged, tables
+from marketspark.streaming import ingest as SI
 
 STEP = 900_000
+FEED = "marketspark.sources.paged:from_table"
 
 
 def candle(symbol, i, close=1.0):
@@ -43,6 +46,58 @@ def test_paged_read_until_caught_up(spark, tmp_path):
     assert paged.months_back(1_000_000_000_000, 6) == 1_000_000_000_000 - 180 * 86_400_000
 
 
+def test_conditions_reach_the_paged_service(spark, tmp_path):
+    rows = [candle(s, i) for s in "ABC" for i in range(3000) if not 500 <= i < 2600]
+    path, names = str(tmp_path / "feed"), str(tmp_path / "names")
+    spark.createDataFrame(rows, CANDLE_DDL).write.parquet(path)
+    spark.createDataFrame([("A",), ("B",), ("C",), ("B",), (None,)], "symbol string").write.parquet(names)
+    options = {"transport": FEED, "instruments": names, "start": "0", "end": str(3000 * STEP), "pages": "1"}
+
+    def asked(*conditions):
+        reader = paged.PagedReader(options)
+        assert list(reader.pushFilters(list(conditions))) == list(conditions)
+        return [(s.symbol, s.start // STEP, s.end // STEP) for s in reader.partitions()]
+
+    assert len(asked()) == 12
+    assert asked(EqualTo(("symbol",), "B"), GreaterThan(("open_time",), 2500 * STEP - 1), LessThan(("open_time",), 2700 * STEP)) == [("B", 2500, 2699)]
+    assert asked(In(("symbol",), ("A", "C", "none")), In(("symbol",), ("C", "B")), EqualTo(("open_time",), 7 * STEP)) == [("C", 7, 7)]
+    assert asked(EqualTo(("symbol",), "none")) == [] and asked(GreaterThan(("close",), 1.0)) == asked()
+    df = paged.read_paged(spark, FEED, names, 0, 3000 * STEP, pages=1, store=path)
+    assert df.count() == 2700  # over the gap
+    some = df.filter((F.col("symbol") == "B") & (F.col("open_time") > 2590 * STEP))
+    assert some.rdd.getNumPartitions() == 1 and some.count() == 400
+    assert df.filter("symbol = 'none'").count() == 0
+
+
+def test_instruments_resume_where_they_stand(spark, tmp_path):
+    rows = [candle(s, i) for s in "ABC" for i in range(1500)]
+    path = str(tmp_path / "feed")
+    spark.createDataFrame(rows, CANDLE_DDL).write.parquet(path)
+    stored = spark.createDataFrame([candle("A", i) for i in range(1200)] + [candle("B", i) for i in range(1500)], CANDLE_DDL)
+    names = spark.createDataFrame([("A",), ("B",), ("C",), ("D",), (None,)], "symbol string")
+    lacking = paged.resumed(names, stored, 100 * STEP, 1499 * STEP)
+    for pages, tasks in ((1, None), (10, 1)):
+        got = paged.read_instruments(lacking, FEED, "15m", pages, tasks, store=path)
+        assert {r.symbol: (r.n, r.a // STEP) for r in got.groupBy("symbol").agg(F.count("*").alias("n"), F.min("open_time").alias("a")).collect()} == {"A": (300, 1200), "C": (1400, 100)}
+    assert paged.read_instruments(lacking.limit(0), FEED, store=path).count() == 0
+
+
+def test_paged_stream_goes_on_per_instrument(spark, tmp_path):
+    rows = [candle(s, i) for s in "AB" for i in range(30)]
+    path, names, table, state = (str(tmp_path / n) for n in ("feed", "names", "table", "state"))
+    spark.createDataFrame(rows, CANDLE_DDL).write.parquet(path)
+
+    def load(symbols, end):
+        spark.createDataFrame([(s,) for s in symbols], "symbol string").write.mode("overwrite").parquet(names)
+        stream = paged.stream_paged(spark, FEED, names, 0, end * STEP, pages=1, store=path)
+        SI.start_append(stream, table, state).awaitTermination()
+        return sorted((r.symbol, r["count"]) for r in spark.read.schema(CANDLE_DDL).parquet(table).groupBy("symbol").count().collect())
+
+    assert load("A", 9) == [("A", 10)]
+    assert load("A", 9) == [("A", 10)]
+    assert load("AB", 29) == [("A", 30), ("B", 30)]  # A from 10, B from the start
+
+
 def test_rules_file_and_defaults(spark, tmp_path):
     path = tmp_path / "rules.json"
     path.write_text(json.dumps([{"symbol": "A", "threshold": 1.0, "condition": "above"}, {"symbol": "B", "exchange": "kraken", "threshold": 2, "condition": "below", "fallback_exchanges": ["x", "y"]}], indent=1))
