@@ -136,6 +136,30 @@ def fit_centroids(rows: DataFrame, vector: str = "embedding", k: int = 5, starts
         points.unpersist()
 
 
+BLOCK = 4096
+
+
+def _nearest(x: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of and distance to each row's nearest centroid, the lowest index on ties; cluster 0 without a distance.
+
+    One matrix product gives all distances up to rounding; those that rounding could make the least are measured
+    exactly, so the result is that of measuring all.
+    """
+    lengths, sizes = (x * x).sum(axis=1), (table * table).sum(axis=1)
+    with np.errstate(all="ignore"):
+        rough = lengths[:, None] + sizes[None, :] - 2 * (x @ table.T)
+        slack = 1e-12 * x.shape[1] * (lengths + sizes.max())
+        close = ~(rough > rough.min(axis=1, keepdims=True) + slack[:, None])  # all, where a value is no number
+    row, index = np.nonzero(close)
+    pieces = [slice(i, i + 16 * BLOCK) for i in range(0, len(row), 16 * BLOCK)]
+    exact = np.concatenate([np.sqrt(((x[row[p]] - table[index[p]]) ** 2).sum(axis=1)) for p in pieces])
+    exact = np.where(np.isnan(exact), np.inf, exact)
+    order = np.lexsort((index, exact, row))
+    first = order[np.unique(row[order], return_index=True)[1]]
+    chosen, best = index[first].astype("int32"), exact[first]
+    return np.where(np.isinf(best), 0, chosen).astype("int32"), best
+
+
 def nearest_centroid(df: DataFrame, centroids: Sequence[Sequence[float]] | None, vector: str = "embedding") -> DataFrame:
     """Append ``cluster_id`` (lowest index on ties, -1 without centroids or vector) and ``distance``."""
     if not centroids:
@@ -149,12 +173,8 @@ def nearest_centroid(df: DataFrame, centroids: Sequence[Sequence[float]] | None,
         distance = np.full(len(vectors), np.nan)
         if known.any():
             x = np.stack(vectors[known].to_numpy()).astype(float)
-            best = np.full(len(x), np.inf)
-            chosen = np.zeros(len(x), dtype="int32")
-            for i, centre in enumerate(table):
-                d = np.sqrt(((x - centre) ** 2).sum(axis=1))
-                chosen = np.where(d < best, i, chosen)
-                best = np.minimum(d, best)
+            parts = [_nearest(x[i : i + BLOCK], table) for i in range(0, len(x), BLOCK)]
+            chosen, best = (np.concatenate(p) for p in zip(*parts))
             cluster[known], distance[known] = chosen, best
         return pd.DataFrame({"cluster_id": cluster, "distance": pd.Series(distance).where(known, None)})
 

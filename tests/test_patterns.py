@@ -63,6 +63,22 @@ def test_nearest_centroid(spark):
     assert {r.cluster_id for r in M.nearest_centroid(df, None, "v").collect()} == {-1}
 
 
+@pytest.mark.parametrize("k,dim,scale", [(1, 3, 1.0), (40, 8, 1.0), (300, 64, 1e6), (60, 2, 1e-3)])
+def test_nearest_is_that_of_measuring_all(k, dim, scale):
+    rng = np.random.default_rng(k)
+    table = np.round(rng.normal(0, 2, (k, dim)), 1) * scale
+    table[k // 2] = table[0]  # equal centroids
+    x = np.round(rng.normal(0, 2, (700, dim)), 1) * scale
+    x[:k:3] = table[: len(x[:k:3])]  # on a centroid
+    x[7], x[8, 0], x[9, 0] = np.nan, np.inf, np.nan
+    with np.errstate(all="ignore"):
+        every = np.sqrt(((x[:, None, :] - table[None, :, :]) ** 2).sum(axis=2))
+    every = np.where(np.isnan(every), np.inf, every)
+    chosen, best = M._nearest(x, table)
+    np.testing.assert_array_equal(best, every.min(axis=1))
+    np.testing.assert_array_equal(chosen, every.argmin(axis=1))
+
+
 def test_centroids(spark, tmp_path):
     x = blobs()
     labels = [0] * 30 + [1] * 35 + [-1] * 6
