@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from marketspark.catalog.alerts import LATEST, REGIME_SQL, REPLAY_SQL, RULES
 from marketspark.catalog.base import query, rounded
 from marketspark.catalog.candles import CANDLES, DERIVED_SQL, DOUBLED, doubled
-from marketspark.catalog.indicators import ATR_SQL, EMAS_SQL, NUMBERED
+from marketspark.catalog.indicators import ATR_SQL, EMAS_SQL, MINUTES, NUMBERED, minute_bars
 from marketspark.catalog.sentiment import SENTIMENT, gloomy_classifier
 from marketspark.functions import parse
 from marketspark.operators import alerts as A
 from marketspark.operators.candles import PRICES, new_rows
 from marketspark.operators.features import FEATURES, MIN_ROWS
+from marketspark.operators.joins import join_small
+from marketspark.operators.patterns import detect
 from marketspark.plans.training import train
 from marketspark.sources import paged, tables
 from marketspark.session import new_path, settle
@@ -468,3 +470,17 @@ def _(spark, sf_dir):
     return out.select("symbol", "exchange", "threshold", "condition", "cluster_id")
 
 
+@query(
+    "j6_detected",
+    LATEST + MINUTES.removeprefix(with_views("quotes")) + f""", g AS (SELECT exchange, symbol, count(*) >= {MIN_ROWS} AS detected FROM newest GROUP BY 1, 2)
+  SELECT r.symbol, r.exchange, threshold, condition, detected FROM latest l JOIN rules r ON l.exchange = r.exchange AND l.symbol = r.symbol
+  LEFT JOIN g ON g.exchange = r.exchange AND g.symbol = r.symbol WHERE CASE condition WHEN 'above' THEN price > threshold ELSE price < threshold END""",
+)
+def _(spark, sf_dir):
+    """Alerts of the newest quotes with the regime of their key's newest minutes; only alerting keys are given to the detector."""
+    model = train(stored_candles(spark, sf_dir), k=5, starts=2)
+    tape = quotes(spark, sf_dir)
+    fired = settle(A.matched_rules(A.latest_quotes(tape), rules(spark, sf_dir)).filter("crossed"))
+    wanted = join_small(minute_bars(spark, sf_dir), fired.select("exchange", "symbol").distinct(), ["exchange", "symbol"], "left_semi")
+    out = SA.with_regimes(fired, detect(wanted, model.embedder, model.centroids))
+    return out.select("symbol", "exchange", "threshold", "condition", (F.col("cluster_id") >= 0).alias("detected"))
