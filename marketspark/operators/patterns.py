@@ -7,11 +7,13 @@ they are computed by distributed aggregates and then travel inside the plan.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
+from pyspark import inheritable_thread_target
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -113,6 +115,8 @@ def fit_embedder(df: DataFrame, dim: int = 16, columns: Sequence[str] = FEATURES
 
 #: Most clusters of a model: what is kept on the driver and sent to tasks is bounded by it.
 MAX_CLUSTERS = 1000
+#: Starts that run side by side, so that the tasks of one fill the waits of another.
+STARTS_AT_ONCE = 4
 
 
 def fit_centroids(rows: DataFrame, vector: str = "embedding", k: int = 5, starts: int = 10, seed: int = 42) -> list[list[float]] | None:
@@ -129,7 +133,13 @@ def fit_centroids(rows: DataFrame, vector: str = "embedding", k: int = 5, starts
         return None
     points = valid.select(array_to_vector(vector).alias("x")).cache()
     try:
-        models = [KMeans(k=k, featuresCol="x", seed=seed + i, maxIter=200, tol=0.0).fit(points) for i in range(starts)]
+        points.count()  # cached before several starts read it at once
+
+        def fit(i: int) -> KMeansModel:
+            return KMeans(k=k, featuresCol="x", seed=seed + i, maxIter=200, tol=0.0).fit(points)
+
+        with ThreadPoolExecutor(min(starts, STARTS_AT_ONCE)) as pool:
+            models = list(pool.map(inheritable_thread_target(fit), range(starts)))
         best = min(models, key=lambda m: m.summary.trainingCost)
         return [c.tolist() for c in best.clusterCenters()]
     finally:
