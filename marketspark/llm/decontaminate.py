@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
 
@@ -10,14 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketspark.llm.common import Words, chunks
+from marketspark.llm.common import Rolling, Words, chunks, window_starts
 
 #: Sampled coordinates per key.
 SAMPLES = 3
 #: Measured chance that one coordinate of the embeddings agrees at the edit threshold, over all starts of a passage of up to PIECE words.
 AGREES = 0.55
 #: Longer items are searched by pieces of at most so many words, as walks of long sequences drift apart.
-PIECE = 40
+PIECE = 25
 #: Items of one class differ in length by less than this factor.
 LADDER = 1.15
 #: Embedding steps per word of the class; a step moves on by half a word on average.
@@ -32,7 +33,7 @@ def repetitions(recall: float) -> int:
 class Matcher:
     """Finds passages within the edit threshold of some items; built once per task from the items' texts."""
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float, recall: float, least_words: int, seed: int = 7) -> None:
+    def __init__(self, items: list[tuple[int | None, str]], similarity: float, recall: float, least_words: int, seed: int = 7) -> None:
         self.ids = [i for i, _ in items]
         words = Words(pa.array([t for _, t in items], pa.string()))
         hashes = words.hashes(lower=True)
@@ -40,6 +41,12 @@ class Matcher:
         self.items = [(k, w) for k, w in enumerate(own) if len(w) >= least_words]
         self.edits = [int((1 - similarity) * len(w) + 1e-9) for w in own]
         self.words = own
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in sorted({len(w) for w in own if 0 < len(w) < least_words}):
+            members = np.array([k for k, w in enumerate(own) if len(w) == size])
+            keys = Rolling(np.concatenate([own[k] for k in members])).of(np.arange(len(members)) * size, size)
+            order = np.argsort(keys, kind="stable")
+            self.short[size] = keys[order], members[order]
         # Of a passage within the item's edit rate, some piece has no higher rate.
         self.pieces = []
         for k, w in self.items:
@@ -103,11 +110,14 @@ class Matcher:
         return found
 
     def match(self, column: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text, item, first word, word behind, edits): the best passage of each item in each text."""
+        """(text, item, first word, word behind, edits): the passages of each item in each text that do not overlap, best first."""
         words = Words(column)
-        if not len(words.start) or not self.items:
+        if not len(words.start):
             return
         hashes = words.hashes(lower=True)
+        yield from self._exact(hashes, words.first)
+        if not self.items:
+            return
         total = len(hashes)
         text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
         strange = np.concatenate([[0], np.cumsum(~self.known(hashes), dtype=np.int64)])
@@ -134,8 +144,22 @@ class Matcher:
                     near.append(np.stack([piece, begin[maybe[source]]], axis=1))
         yield from self._verify(np.unique(np.concatenate(near), axis=0), hashes, words.first, text)
 
+    def _exact(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """Where the items too short for edits stand word for word, leftmost first."""
+        rolling = Rolling(hashes) if self.short else None
+        for size, (keys, members) in self.short.items():
+            start, text = window_starts(first, size)
+            key = rolling.of(start, size)
+            left, right = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+            free: dict[tuple[int, int], int] = {}
+            for i in np.flatnonzero(left < right).tolist():
+                own, at = int(text[i]), int(start[i])
+                for item in members[left[i] : right[i]].tolist():
+                    if at >= free.get((own, item), 0):
+                        free[own, item] = at + size
+                        yield own, item, at - int(first[own]), at - int(first[own]) + size, 0
+
     def _verify(self, near: np.ndarray, hashes: np.ndarray, first: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
         spots = []
         for piece, at in near.tolist():
             _, _, wanted, edits = self.pieces[piece]
@@ -151,16 +175,9 @@ class Matcher:
                 a = max(int(first[own]), a - offset - self.edits[item])
                 b = min(int(first[own + 1]), b + size - offset - len(wanted) + self.edits[item])
             around.append((item, own, a, b))
-        regions = [(own, item, a, b) for item, own, a, b in joined(sorted(around))]
-        for own, item, a, b in regions:
-            wanted, body = self.words[item].tolist(), hashes[a:b].tolist()
-            edits, end = nearest(wanted, body)
-            if edits <= self.edits[item]:
-                back, length = nearest(wanted[::-1], body[:end][::-1], anchored=True)
-                found = (back, a + end - length - int(first[own]), a + end - int(first[own]))
-                best[own, item] = min(best.get((own, item), found), found)
-        for (own, item), (edits, a, b) in sorted(best.items()):
-            yield own, item, a, b, edits
+        for item, own, a, b in joined(sorted(around)):
+            for start, end, edits in passages(self.words[item].tolist(), hashes[a:b].tolist(), self.edits[item]):
+                yield own, item, a + start - int(first[own]), a + end - int(first[own]), edits
 
 
 def joined(regions: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -174,8 +191,8 @@ def joined(regions: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int
     return out
 
 
-def nearest(wanted: list[int], body: list[int], anchored: bool = False) -> tuple[int, int]:
-    """Least edits between ``wanted`` and a run of ``body``, and the run's (first best) end.
+def scores(wanted: list[int], body: list[int], anchored: bool = False) -> Iterator[int]:
+    """Least edits between ``wanted`` and a run of ``body`` that ends with each word of ``body``.
 
     Bit-parallel dynamic programming over one column per word; ``anchored`` runs begin at the start of ``body``.
     """
@@ -185,8 +202,7 @@ def nearest(wanted: list[int], body: list[int], anchored: bool = False) -> tuple
     size = len(wanted)
     full, top = (1 << size) - 1, 1 << (size - 1)
     plus, minus, score = full, 0, size
-    best, end = size, 0
-    for j, w in enumerate(body):
+    for w in body:
         eq = masks.get(w, 0)
         xv = eq | minus
         xh = (((eq & plus) + plus) ^ plus) | eq
@@ -197,30 +213,61 @@ def nearest(wanted: list[int], body: list[int], anchored: bool = False) -> tuple
         down = (down << 1) & full
         plus = down | (full & ~(xv | up))
         minus = up & xv
+        yield score
+
+
+def nearest(wanted: list[int], body: list[int], anchored: bool = False) -> tuple[int, int]:
+    """Least edits between ``wanted`` and a run of ``body``, and the run's (first best) end; of an empty run at first."""
+    best, end = len(wanted), 0
+    for j, score in enumerate(scores(wanted, body, anchored)):
         if score < best:
             best, end = score, j + 1
     return best, end
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int = 8 << 20, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int, str]]]:
+def passages(wanted: list[int], body: list[int], most: int) -> list[tuple[int, int, int]]:
+    """(start, end, edits) of runs of ``body`` within ``most`` edits of ``wanted``: fewest edits first, then the first, none overlapping.
+
+    Of the runs with one end the one of fewest edits is meant, and of those the shortest.
+    """
+    least = len(wanted) - most  # a run has so many words at least, which tells most overlaps by the ends alone
+    ends = sorted((score, j + 1) for j, score in enumerate(scores(wanted, body)) if score <= most)
+    found: list[tuple[int, int, int]] = []
+    taken: list[tuple[int, int]] = []
+    for edits, end in ends:
+        k = bisect.bisect_left(taken, (end, 0))  # spans before k begin before this end
+        before = taken[k - 1][1] if k else 0
+        if k and end < before + least:
+            continue
+        start = end - nearest(wanted[::-1], body[max(0, end - len(wanted) - most) : end][::-1], anchored=True)[1]
+        if start >= before:
+            found.append((start, end, edits))
+            taken.insert(k, (start, end))
+    return found
+
+
+def item_blocks(benchmark: DataFrame, block_bytes: int = 8 << 20, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int | None, str]]]:
     """The benchmark in blocks of about ``block_bytes`` of text; what a task receives is thus bounded."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("i IS NOT NULL AND t IS NOT NULL")
+    items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("t IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = -(-size // block_bytes)
     for k in range(blocks):
-        yield sorted((r.i, r.t) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect())
+        own = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()
+        yield sorted(((r.i, r.t) for r in own), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.98, least_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, start_word, end_word, edits, similarity): passages of ``docs`` close to benchmark items.
 
     Words are compared with A-Z folded. A passage counts if it is within (1 - similarity) x item length word
-    edits of the item; the best passage of each item in each row is given. Every start in every text whose next
+    edits of the item; of each item in each row all passages are given that do not overlap a better one. Every start in every text whose next
     words are mostly known to the benchmark (no such passage fails that) is embedded by CGK random walks, which
     bring edit distance to Hamming distance; sampled coordinates are looked up among the items' in as many
     tables as the recall needs, and hits are verified exactly. Items of over PIECE words are looked up by pieces,
-    of which one keeps the item's rate of edits, and verified whole. Items of fewer than ``least_words`` words, null
-    items and null or empty texts match nothing; repeated rows and items are reported each.
+    of which one keeps the item's rate of edits, and verified whole. Items of fewer than ``least_words`` words are
+    found word for word only, so an item of one word is in every text with that word. Items without an id are
+    searched like others (item_id null). Null items, items without words and null or empty texts match nothing, nor
+    does an empty table on either side; repeated rows and items are reported each; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
@@ -230,9 +277,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
             matcher = Matcher(items, similarity, recall, least_words)
             for batch in chunks(batches):
                 ids = batch.column("doc_id").to_pylist()
-                found = [(ids[t], matcher.ids[i], a, b, e, 1 - e / len(matcher.words[i])) for t, i, a, b, e in matcher.match(batch.column("text"))]
+                found = [(ids[t], matcher.ids[i], a, b, e, 1 - e / len(matcher.words[i])) for t, i, a, b, e in sorted(matcher.match(batch.column("text")))]
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) if n else pa.array(x, pa.int64()) for n, x in enumerate(zip(*found, strict=True))], _LEAK_NAMES)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64() if n == 5 else pa.int64()) for n, x in enumerate(zip(*found, strict=True))], _LEAK_NAMES)
 
         part = rows.mapInArrow(run, _LEAKS)
         out = part if out is None else out.unionAll(part)
@@ -244,7 +291,10 @@ _LEAK_NAMES = [x.split()[0] for x in _LEAKS.split(", ")]
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.98, least_words: int = 5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which ``find_leaks`` finds nothing, columns unchanged; no shuffle."""
+    """The rows of ``docs`` in which ``find_leaks`` finds nothing, columns unchanged; no shuffle.
+
+    Null and wordless texts stay, repeated rows stay or go alike; an empty benchmark leaves all rows.
+    """
     schema = docs.schema
     for items in item_blocks(benchmark):
 
