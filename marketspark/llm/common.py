@@ -143,6 +143,20 @@ def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    """A column's name as it stands in expressions, whatever dots or blanks it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def numbered(docs: DataFrame, text_col: str, *leave: str) -> tuple[DataFrame, list[str]]:
+    """The columns of ``docs`` but ``leave`` as c0, c1, … with their names, and the text once more as ``text``.
+
+    Names of any form thus pass through, and none clashes with what an operator adds; ``toDF`` brings them back.
+    """
+    names = [c for c in docs.columns if c not in leave]
+    return docs.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(names)], F.col(quoted(text_col)).alias("text")), names
+
+
 #: Stands for a null id where rows are put in order: after all others.
 LAST_ID = (1 << 63) - 1
 

@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketspark.llm.common import Rolling, Words, chunks, window_starts
+from marketspark.llm.common import Rolling, Words, chunks, quoted, window_starts
+from marketspark.session import ship_code
 
 #: Sampled coordinates per key.
 SAMPLES = 3
@@ -269,7 +270,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
     searched like others (item_id null). Null items, items without words and null or empty texts match nothing, nor
     does an empty table on either side; repeated rows and items are reported each; other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    ship_code(docs.sparkSession)
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"))
     out = None
     for items in item_blocks(benchmark):
 
@@ -295,15 +297,18 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
 
     Null and wordless texts stay, repeated rows stay or go alike; an empty benchmark leaves all rows.
     """
-    schema = docs.schema
+    ship_code(docs.sparkSession)
+    names = docs.columns
+    rows, text = docs.toDF(*[f"c{i}" for i in range(len(names))]), f"c{names.index(text_col)}"
+    schema = rows.schema
     for items in item_blocks(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], items: list = items) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(items, similarity, recall, least_words)
-            for batch in chunks(batches, text_col):
+            for batch in chunks(batches, text):
                 clean = np.ones(batch.num_rows, dtype=bool)
-                clean[[t for t, *_ in matcher.match(batch.column(text_col))]] = False
+                clean[[t for t, *_ in matcher.match(batch.column(text))]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, schema)
-    return docs
+        rows = rows.mapInArrow(run, schema)
+    return rows.toDF(*names)

@@ -11,8 +11,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from marketspark.llm.common import chunks
+from marketspark.llm.common import chunks, numbered
+from marketspark.session import ship_code
 
 #: Symbols: 0 is any run of non-letters, then the most frequent letters of training, then any other letter.
 ALPHABET = 62
@@ -21,6 +23,8 @@ DIGITS = 33
 #: Symbols that are parsed in one go; a new phrase begins at each multiple.
 SEGMENT = 256
 FAILED = np.int32(1 << 30)
+#: The columns that a prediction adds.
+PREDICTED = ("lang_pred", "score", "cross_entropy")
 
 
 def held_out(id_col: str = "doc_id", parts: int = 4, part: int = 2) -> Column:
@@ -247,15 +251,15 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     best, 0 to 1 (1 with one language). Null texts and texts without a letter are ``und`` with score 0 and no
     entropy, as is everything if nothing was taught. Whole texts are parsed; any other column passes through.
     """
-    kept = [F.col(c) for c in docs.columns if c not in ("lang_pred", "score", "cross_entropy")]
+    ship_code(docs.sparkSession)
+    rows, names_kept = numbered(docs, text_col, *PREDICTED)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*kept, F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         lookup, bits, names = model.lookup(), np.log2(np.array(model.sizes or [2])), np.array([*model.langs, "und"], dtype=object)
-        for batch in chunks(batches, "__text"):
-            sym, first, letters = symbols(batch.column("__text"), lookup, len(model.letters) + 1, model.digits)
+        for batch in chunks(batches):
+            sym, first, letters = symbols(batch.column("text"), lookup, len(model.letters) + 1, model.digits)
             size = np.maximum(np.diff(first), 1)
             cost = phrases(sym, first, model) * bits / size[:, None] if model.langs else np.full((len(size), 1), np.inf)
             best = np.argmin(cost, axis=1)
@@ -264,7 +268,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             with np.errstate(invalid="ignore", divide="ignore"):
                 score = 1 - ranked[:, 0] / ranked[:, 1] if cost.shape[1] > 1 else np.ones(len(size))
             made = [pa.array(names[np.where(ok, best, len(model.langs))], pa.string()), pa.array(np.where(ok, np.nan_to_num(score), 0.0)), pa.array(ranked[:, 0], mask=~ok)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], "lang_pred", "score", "cross_entropy"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], *PREDICTED])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, cross_entropy double")
+    schema = StructType([*rows.schema.fields[:-1], *[StructField(c, StringType() if c == "lang_pred" else DoubleType()) for c in PREDICTED]])
+    return rows.mapInArrow(run, schema).toDF(*names_kept, *PREDICTED)

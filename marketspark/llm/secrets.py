@@ -10,8 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from marketspark.llm.common import chunks, fold, text_bytes
+from marketspark.llm.common import chunks, fold, numbered, quoted, text_bytes
+from marketspark.session import ship_code
 
 try:
     from re import _constants as sre_kinds
@@ -204,8 +206,11 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
     wanted = np.array(sorted({_code(g) for q in queries if q for grams in q for g in grams}), dtype=np.int32)
     compiled = [re.compile(r.pattern) for r in rules]
     plain = [hex_like(r) for r in rules]
-    rest = [F.col(c) for c in docs.columns if c != "spans"] if keep else [F.col(id_col).cast("long").alias("doc_id")]
-    rows = docs.select(*rest, F.col(text_col).alias("__text"))
+    ship_code(docs.sparkSession)
+    if keep:
+        rows, names = numbered(docs, text_col, "spans")
+    else:
+        rows, names = docs.select(F.col(quoted(id_col)).cast("long").alias("c0"), F.col(quoted(text_col)).alias("text")), ["doc_id"]
 
     def scan(column: pa.Array) -> list[list[tuple[str, int, int]]]:
         data, offsets = text_bytes(column)
@@ -230,12 +235,12 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "__text"):
-            spans = [[{"kind": k, "start": a, "end": b} for k, a, b in own] for own in scan(batch.column("__text"))]
+        for batch in chunks(batches):
+            spans = [[{"kind": k, "start": a, "end": b} for k, a, b in own] for own in scan(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(spans, kind)], names=[*batch.schema.names[:-1], "spans"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema)
-    return rows.mapInArrow(work, f"{schema}, spans array<struct<kind string, start long, end long>>")
+    shape = ArrayType(StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType())]))
+    return rows.mapInArrow(work, StructType([*rows.schema.fields[:-1], StructField("spans", shape)])).toDF(*names, "spans")
 
 
 def posting_table(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,11 +256,14 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, m
 
     ``size_col``, where it exists, becomes the length of a changed text. Null texts stay null.
     """
-    found = find_secrets(docs, rules, text_col=text_col, keep=True)
+    names = docs.columns
+    rows, text = docs.toDF(*[f"c{i}" for i in range(len(names))]), f"c{names.index(text_col)}"
+    found = find_secrets(rows, rules, text_col=text, keep=True)
     cut = F.expr(f"""aggregate(spans, named_struct('out', '', 'at', 0L), (done, x) -> named_struct(
-        'out', IF(x.start < done.at, done.out, concat(done.out, substring(`{text_col}`, CAST(done.at + 1 AS INT), CAST(x.start - done.at AS INT)), '{mark}')),
-        'at', greatest(done.at, x.end)), done -> concat(done.out, substring(`{text_col}`, CAST(done.at + 1 AS INT))))""")
-    changed = found.withColumn(text_col, F.when(F.size("spans") > 0, cut).otherwise(F.col(text_col)))
-    if size_col in docs.columns:
-        changed = changed.withColumn(size_col, F.when(F.size("spans") > 0, F.char_length(text_col).cast(docs.schema[size_col].dataType)).otherwise(F.col(size_col)))
-    return changed.select(*docs.columns)
+        'out', IF(x.start < done.at, done.out, concat(done.out, substring({text}, CAST(done.at + 1 AS INT), CAST(x.start - done.at AS INT)), '{mark}')),
+        'at', greatest(done.at, x.end)), done -> concat(done.out, substring({text}, CAST(done.at + 1 AS INT))))""")
+    changed = found.withColumn(text, F.when(F.size("spans") > 0, cut).otherwise(F.col(text)))
+    if size_col in names:
+        size = f"c{names.index(size_col)}"
+        changed = changed.withColumn(size, F.when(F.size("spans") > 0, F.char_length(text).cast(rows.schema[size].dataType)).otherwise(F.col(size)))
+    return changed.drop("spans").toDF(*names)

@@ -121,3 +121,21 @@ def test_stages_on_odd_rows(spark, docs, tmp_path, items):
             continue
         assert {r.doc_id for r in made.select("doc_id").collect()} == {5, 6}
         rows = made
+
+
+def test_odd_names_through_all_stages(spark, tmp_path, items):
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    odd = {"a.b": F.lit(1), "__text": F.lit("x"), "with blank": F.struct(F.lit(2).alias("in.side")), "spans": F.lit("s"), "c0": F.lit(3), "lang_pred": F.lit("l"), "n": F.lit(4)}
+    secret = f"password: hunter2hunter2 {' '.join(f'ord{i}' for i in range(40))}"
+    docs = spark.createDataFrame([(1, PROSE, "en", "a"), (2, secret, "en", "a"), (3, secret, "en", "b")], "doc_id long, text string, lang string, source string")
+    docs = docs.select(docs.columns[0], F.length("text").alias("n_chars"), *docs.columns[1:], *[v.alias(k) for k, v in odd.items()])
+    rows = docs
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        rows = stage(spark, rows, str(tmp_path))
+        if k + 1 < len(corpus_pipeline.STAGES):
+            assert rows.schema.names == docs.schema.names, name
+            assert [f.dataType.simpleString() for f in rows.schema] == [f.dataType.simpleString() for f in docs.schema], name
+    (kept,) = {tuple(r[c] for c in docs.columns) for r in rows.collect()}
+    told = dict(zip(docs.columns, kept, strict=True))
+    assert told["doc_id"] == 2 and "hunter2" not in told["text"] and told["n_chars"] == len(told["text"])
+    assert (told["a.b"], told["__text"], told["with blank"], told["spans"], told["c0"], told["lang_pred"], told["n"]) == (1, "x", (2,), "s", 3, "l", 4)

@@ -3,6 +3,7 @@
 import random
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from marketspark.llm import minhash
@@ -54,3 +55,17 @@ def test_stage_leaves_no_near_copies(spark):
     assert not [(a, b) for a in ids for b in ids if a < b and like(texts[a], texts[b]) >= 0.8]
     for gone in set(range(len(texts))) - set(ids):
         assert any(like(texts[gone], texts[k]) >= 0.8 for k in range(gone))
+
+
+def test_crowded_bucket_of_unlike_texts(spark):
+    rng = random.Random(8)
+    heading = [f"head{i}" for i in range(60)]
+    texts = [" ".join(heading + [f"own{k}x{i}" for i in range(rng.randint(18, 26))]) for k in range(1500)]
+    texts += [f"{t} more" for t in texts[::300]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    assert minhash._alike(docs, 0.8, 5).count() == 5  # of 1.1 million pairs
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    few = [k for k in range(len(texts)) if k % 5 == 0][:120]
+    some = {(b, a) for a in few for b in few if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.56}
+    got = {(r.id, r.lead) for r in minhash._alike(docs.filter(F.col("id").isin(few)), 0.56, 5).collect()}
+    assert some and some <= got
