@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -78,13 +80,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
-_made: dict[str, list[str]] = {}
+_made: dict[str, list[tuple[int, str]]] = {}
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that nothing has used before; ``clean`` removes what was written there."""
     path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _made.setdefault(spark.sparkContext.applicationId, []).append((threading.get_ident(), path))
     return path
 
 
@@ -94,9 +96,18 @@ def remove(spark: SparkSession, path: str) -> bool:
     return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True))
 
 
-def clean(spark: SparkSession) -> int:
-    """Remove the hand-over tables of this application; to be called when its results have been read."""
-    return sum(remove(spark, path) for path in _made.pop(spark.sparkContext.applicationId, []))
+def handed_over(spark: SparkSession) -> list[str]:
+    """The paths that ``new_path`` gave to this thread and that were not cleaned since, oldest first."""
+    return [path for thread, path in _made.get(spark.sparkContext.applicationId, []) if thread == threading.get_ident()]
+
+
+def clean(spark: SparkSession, paths: Collection[str] | None = None) -> int:
+    """Remove the hand-over tables of this application, or only ``paths`` of them; to be called when they have been read."""
+    made = _made.pop(spark.sparkContext.applicationId, [])
+    gone = {path for _, path in made if paths is None or path in paths}
+    if left := [x for x in made if x[1] not in gone]:
+        _made[spark.sparkContext.applicationId] = left
+    return sum(remove(spark, path) for path in sorted(gone))
 
 
 def settle(df: DataFrame) -> DataFrame:
