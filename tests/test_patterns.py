@@ -1,5 +1,7 @@
 """Scaling, embedding, clustering and prediction against direct computations."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -118,6 +120,53 @@ def test_core_distance_and_spanning_tree(spark, block):
     np.testing.assert_allclose([got[i] for i in range(len(x))], reachability(x, 4)[1], atol=1e-12)
 
 
+@pytest.mark.parametrize(("scale", "shift"), [(1, 0), (1e-3, 50), (1e30, 0), (1e-20, 0)])
+def test_few_distances_are_computed(monkeypatch, scale, shift):
+    rng = np.random.default_rng(3)
+    x, y = (rng.normal(size=(n, 9)) * scale + shift for n in (400, 311))
+    x[5:60], y[3] = x[4], x[9]
+    counts, computed = [], D._distances
+
+    def counting(a, b):
+        counts.append(len(a))
+        return computed(a, b)
+
+    monkeypatch.setattr(D, "_distances", counting)
+    for step in (1000, 60, 7):
+        for got, a, b in zip([*D.nearest_distances(x, y, 4, step), *D.nearest_distances(x, None, 4, step)], (x, y, x), (y, x, x), strict=True):
+            np.testing.assert_array_equal(got, np.sort(np.sqrt(((a[:, None] - b) ** 2).sum(axis=2)), axis=1)[:, :4])
+    if scale in (1, 1e-3):  # of the others single precision holds no squares
+        assert sum(counts) < 3 * (400 * 311 + 400 * 400) / 5
+
+
+def test_points_are_copied_once_per_tile(spark, monkeypatch):
+    x = blobs()
+    cells = D._cells(frame(spark, x).repartition(3), 2)
+    assert cells.groupBy("_a", "_b").count().count() == 36  # pairs of eight tiles, not of all blocks
+    assert cells.selectExpr("sum(size(ids))").first()[0] == 8 * len(x)
+    monkeypatch.setattr(D, "TILE", 10)  # five points
+    assert D._cells(frame(spark, x), 2).selectExpr("max(_b)").first()[0] == -(-len(x) // 5) - 1
+
+
+@pytest.mark.parametrize("block", [2000, 3])
+def test_core_distance_of_odd_rows(spark, block):
+    """Rows without a vector, of one id or of none, with unknown, infinite and huge coordinates; too few points."""
+    nan, inf = math.nan, math.inf
+    rows = [(1, [0.0, 0.0]), (2, [0.0, 1.0]), (3, [3.0, 0.0]), (3, [3.0, 4.0]), (None, [9.0, 0.0]), (None, [9.0, 9.0]), (4, None), (5, [nan, 0.0]), (6, [inf, 0.0]), (7, [1e200, 0.0]), (8, [0.0, 1.0])]
+    want = {}
+    for i in {i for i, _ in rows}:
+        with np.errstate(all="ignore"):
+            found = np.sort([np.sqrt(((np.array(a) - np.array(b)) ** 2).sum()) for j, a in rows for _, b in rows if j == i and a and b])
+        want[i] = found[2] if len(found) else None
+    schema = "id long, v array<double>"
+    got = {r.id: r.core for r in D.core_distances(spark.createDataFrame(rows, schema), 3, block).collect()}
+    assert got.keys() == want.keys()
+    for i, core in want.items():
+        assert got[i] is core is None or np.array_equal(got[i], core, equal_nan=True), i
+    assert [tuple(r) for r in D.core_distances(spark.createDataFrame(rows[:1], schema), 3, block).collect()] == [(1, None)]
+    assert D.core_distances(spark.createDataFrame([], schema), 3, block).count() == 0
+
+
 def test_training_and_detection(spark):
     rng = np.random.default_rng(7)
     n = 260
