@@ -6,7 +6,7 @@ import json
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from marketspark.llm.common import chunks
 from marketspark.session import ship_code
 
-#: How byte-level tokenizers cut text before merging (a fixed value of the format).
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: A place where any text may be cut without changing its pieces: no piece goes on with a space after something else.
 CUT = regex.compile(r"\S(?=\s)")
 #: Code points of a text that are cut and encoded at a time, so that a giant text needs little beside its ids.
@@ -30,6 +28,8 @@ SHORT, KEPT_PIECES = 64, 200_000
 PAIR_SLOTS = 1 << 20
 #: Stand-ins for characters that this machine's Unicode tables class otherwise than the tokenizer does.
 LETTER, NUMBER, SPACE, OTHER = "z", "0", "\t", "-"
+#: The class of letters, numbers and white space in ``Vocabulary.classes``; all others have 0.
+CLASSES = {LETTER: 1, NUMBER: 2, SPACE: 3, OTHER: 0}
 
 
 @dataclass
@@ -39,7 +39,8 @@ class Vocabulary:
     A merge number orders tokens by when they are made (single bytes -1, before all); ``left`` and ``right`` are
     the two parts of a merged token. ``edge_keys`` (state * 256 + byte) and ``edge_to`` are the suffix automaton
     of all tokens, ``link`` its suffix links, ``size`` the longest string of a state, ``token`` the token that this
-    string is (or -1), and ``shorter`` the next state up the links whose string is a token.
+    string is (or -1), and ``shorter`` the next state up the links whose string is a token. ``classes`` has the class
+    of every code point, that of its stand-in where it is ``odd``.
     """
 
     texts: list[bytes]
@@ -54,6 +55,7 @@ class Vocabulary:
     shorter: np.ndarray
     special: list[tuple[str, int]]
     odd: dict[int, str]
+    classes: np.ndarray
 
 
 def byte_letters() -> dict[str, int]:
@@ -124,6 +126,59 @@ def odd_characters(cut) -> dict[int, str]:
     return odd
 
 
+def character_classes(odd: dict[int, str]) -> np.ndarray:
+    """The class of every code point as the tokenizer sees it."""
+    points = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    classes = np.zeros(0x110000, dtype=np.uint8)
+    for stand_in, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        classes[np.frombuffer("".join(regex.findall(pattern, points)).encode("utf-32-le"), dtype=np.uint32)] = CLASSES[stand_in]
+    classes[list(odd)] = [CLASSES[x] for x in odd.values()]
+    return classes
+
+
+def piece_starts(points: np.ndarray, sizes: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Where the pieces begin that byte-level tokenizers cut texts into before merging, for texts one after another.
+
+    ``points`` are their code points, ``sizes`` how many each has. The cuts are those of ``'s|'t|'re|'ve|'m|'ll|'d|
+    ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``, a fixed value of the format: a piece is a run of one class
+    with the blank before it; the last space of a run is no piece with the others where a text goes on.
+    """
+    n = len(points)
+    kind, blank = classes[points], points == 0x20
+    space = kind == CLASSES[SPACE]
+    first = np.zeros(n + 1, dtype=bool)
+    ends = np.cumsum(sizes)
+    first[ends - sizes] = True
+    first[n] = True
+    goes_on = ~first[1:]  # the next code point is of the same text
+    begins = first[:n].copy()
+    begins[1:] |= (kind[1:] != kind[:-1]) & ~(blank[:-1] & ~first[1:n])
+    begins[:-1] |= space[:-1] & ~space[1:] & goes_on[:-1]
+    quote = np.flatnonzero((points == 0x27) & begins & goes_on)
+    second = points[quote + 1]
+    long = goes_on[quote + 1]
+    third = points[np.minimum(quote + 2, n - 1)]
+    long &= np.isin(second, [ord("r"), ord("v")]) & (third == ord("e")) | (second == ord("l")) & (third == ord("l"))
+    short = np.isin(second, [ord(x) for x in "stmd"])
+    begins[quote[short | long] + 1] = False
+    after = np.concatenate([quote[short] + 2, quote[long] + 3])
+    begins[after[after < n]] = True
+    return np.flatnonzero(begins)
+
+
+class Numbers(dict):
+    """Numbers pieces in the order in which they are met, from ``kept`` on; ``new`` has those met since it was emptied."""
+
+    def __init__(self, kept: int) -> None:
+        super().__init__()
+        self.kept, self.new = kept, []
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = self.kept + len(self.new)
+        self.new.append(piece)
+        return number
+
+
 def load(path: str) -> Vocabulary:
     """Read a tokenizer file of the byte-level BPE kind; an error if it asks for anything that is not handled here."""
     with open(path, encoding="utf-8") as file:
@@ -162,7 +217,8 @@ def load(path: str) -> Vocabulary:
         shorter[state] = link[state] if token[link[state]] >= 0 else shorter[link[state]]
     keys = np.fromiter((s << 8 | b for s, e in enumerate(edges) for b in e), dtype=np.int64)
     to = np.fromiter((t for e in edges for t in e.values()), dtype=np.int32)
-    found = Vocabulary(texts, merge, left, right, keys, to, np.array(link, np.int32), np.array(length, np.int32), token, shorter, sorted(added.items()), odd_characters(_library_cut()))
+    odd = odd_characters(_library_cut())
+    found = Vocabulary(texts, merge, left, right, keys, to, np.array(link, np.int32), np.array(length, np.int32), token, shorter, sorted(added.items()), odd, character_classes(odd))
     words = [texts[i] for i in made.tolist()]
     if Encoder(found).encode_pieces(words) != [(i,) for i in made.tolist()]:
         raise ValueError(f"{path} has tokens that its own merges do not reach")
@@ -187,16 +243,21 @@ class Encoder:
         pairs = v.left[merged].astype(np.int64) * len(v.merge) + v.right[merged]
         order = np.argsort(pairs)
         self.pairs, self.pair_merge = pairs[order], v.merge[merged][order]
-        self.special = dict(v.special)
+        self.special = {x: number for number, (x, _) in enumerate(v.special)}
         names = sorted((regex.escape(x) for x in self.special if x), key=len, reverse=True)
         self.split = regex.compile("|".join(names)) if names else None
-        self.is_odd = np.zeros(0x110000, dtype=bool)
-        self.is_odd[list(v.odd)] = True
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.lengths = np.array([len(x) for x in v.texts])
+        self.forget()
         self.lists: dict[str, array] = {}
         self.met = np.full(PAIR_SLOTS, -1, dtype=np.int64)
         self.met_fits = np.zeros(PAIR_SLOTS, dtype=bool)
 
+    def forget(self) -> None:
+        """Keep the ids of no pieces but the added tokens, which come first."""
+        self.known = Numbers(len(self.special))
+        self.kept = np.array([i for _, i in self.vocabulary.special], dtype=np.int32)
+        self.kept_sizes = np.ones(len(self.special), dtype=np.int64)
+
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging the bytes of tokens a and b leaves exactly these two, for many pairs at once.
 
@@ -279,13 +340,19 @@ class Encoder:
         return tuple(reversed(ids))
 
     def encode_pieces(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """The ids of each piece: for every prefix the one token that its encoding ends with, then back from the end.
+        """The ids of each piece."""
+        ids, sizes = self.encode_together(pieces)
+        ends, ids = np.cumsum(sizes).tolist(), ids.tolist()
+        return [tuple(ids[a:b]) for a, b in pairwise([0, *ends])]
+
+    def encode_together(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces one after another and how many each has: for every prefix the one token that its encoding ends with, then back from the end.
 
         Tokens that end a prefix are found along the suffix links of the automaton's longest match, so the work is
-        a small multiple of the bytes however long a piece is. All pieces move on by a byte together.
+        a small multiple of the bytes however long a piece is. All pieces move on by a byte together, and back by a token.
         """
         v = self.vocabulary
-        sizes = np.array([len(x) for x in pieces])
+        sizes = np.array([len(x) for x in pieces], dtype=np.int64)
         order = np.argsort(-sizes, kind="stable")
         sizes = sizes[order]
         longest = int(sizes[0]) if len(sizes) else 0
@@ -315,25 +382,23 @@ class Encoder:
                 fits[rest] = self.remembered(last[begin[todo[rest]] + start[rest] - 1], one[rest])
                 last[begin[todo[fits]] + step] = one[fits]
                 todo, at = todo[~fits], v.shorter[at[~fits]]
-        out: list[tuple[int, ...]] = [()] * len(pieces)
-        lengths = [len(x) for x in v.texts]
-        ends, first = last.tolist(), begin.tolist()
-        for k, i in enumerate(order.tolist()):
-            end, low, ids = first[k] + int(sizes[k]), first[k], []
-            while end > low:
-                ids.append(ends[end - 1])
-                end -= lengths[ids[-1]]
-            out[i] = tuple(reversed(ids))
-        return out
-
-    def pieces(self, text: str) -> list[str]:
-        if not text.isascii() and self.is_odd[np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)].any():
-            shown = text.translate(self.vocabulary.odd)
-            return [text[m.start() : m.end()] for m in PIECES.finditer(shown)]
-        return PIECES.findall(text)
+        end, todo, found = begin + sizes, np.flatnonzero(sizes), []
+        while len(todo):
+            one = last[end[todo] - 1]
+            found.append((order[todo], one))
+            end[todo] -= self.lengths[one]
+            todo = todo[end[todo] > begin[todo]]
+        counts = np.zeros(len(pieces), dtype=np.int64)
+        for piece, _ in found:
+            counts[piece] += 1
+        ids, at = np.empty(counts.sum(), dtype=np.int32), np.cumsum(counts)
+        for piece, one in found:
+            at[piece] -= 1
+            ids[at[piece]] = one
+        return ids, counts
 
     def parts(self, text: str) -> Iterator[tuple[str, int | None]]:
-        """Slices of a text and the added token, if any, that follows each."""
+        """Slices of a text and the number of the added token, if any, that follows each."""
         at = 0
         for m in chain(self.split.finditer(text) if self.split else (), [None]):
             end = m.start() if m else len(text)
@@ -343,42 +408,63 @@ class Encoder:
             yield text[at:end], self.special[m.group()] if m else None
             at = m.end() if m else end
 
-    def ids(self, texts: list[str]) -> Iterator[array]:
+    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text. New pieces of many slices are encoded together."""
-        open_parts: list[tuple[bool, list[str], int | None]] = []
-        size, out = 0, array("i")
+        open_parts: list[tuple[str, int | None]] = []
+        ends, begun, size = [], [], 0
         for text in texts:
-            for part, special in self.parts(text):
-                open_parts.append((False, self.pieces(part), special))
-                size += len(part)
+            for part in self.parts(text):
+                open_parts.append(part)
+                size += len(part[0])
                 if size > 4 * SLICE:
-                    yield from self._close(open_parts, out)
-                    open_parts, size = [], 0
-            open_parts.append((True, [], None))
-        yield from self._close(open_parts, out)
-
-    def _close(self, parts: list[tuple[bool, list[str], int | None]], out: array) -> Iterator[array]:
-        """Adds the ids of ``parts`` to ``out``, which is handed on and emptied where a text ends."""
-        known = self.known
-        if len(known) > KEPT_PIECES:
-            known.clear()
-        new = [p for p in {p for _, pieces, _ in parts for p in pieces} if p not in known]
+                    yield from self._close(open_parts, ends, begun)
+                    open_parts, ends, size = [], [], 0
+            ends.append(len(open_parts))
+        yield from self._close(open_parts, ends, begun)
+
+    def _close(self, parts: list[tuple[str, int | None]], ends: list[int], begun: list[np.ndarray]) -> Iterator[np.ndarray]:
+        """The ids of texts that end after ``ends`` of ``parts``; ``begun`` has those of a text that does not end yet."""
+        if len(self.known) > KEPT_PIECES:
+            self.forget()
+        text = "".join(part for part, _ in parts)
+        sizes = np.array([len(part) for part, _ in parts], dtype=np.int64)
+        starts = piece_starts(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32), sizes[sizes > 0], self.vocabulary.classes)
+        pieces = (text[a:b] for a, b in pairwise([*starts.tolist(), len(text)]))
+        numbers = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(starts))
+        numbers, ids, counts = self._encode_new(numbers)
+        added = np.array([special is not None for _, special in parts], dtype=bool)
+        until = np.searchsorted(starts, np.cumsum(sizes))
+        numbers = np.insert(numbers, until[added], [special for _, special in parts if special is not None])
+        until = np.concatenate([[0], until + np.cumsum(added)])
+        counts, first = counts[numbers], (np.cumsum(counts) - counts)[numbers]
+        at = np.concatenate([[0], np.cumsum(counts)])
+        ids = ids[np.repeat(first - at[:-1], counts) + np.arange(at[-1])]
+        start = 0
+        for end in at[until[ends]].tolist():
+            yield np.concatenate([*begun, ids[start:end]])
+            begun.clear()
+            start = end
+        begun.append(ids[start:])
+
+    def _encode_new(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers, ids, counts): the ids of all numbered pieces, the new ones encoded; long ones are last and not remembered."""
+        known, old = self.known, self.known.kept
+        new, known.new = known.new, []
         data = [p.encode() for p in new]
-        short = [i for i, x in enumerate(data) if len(x) <= SHORT]
-        for i, ids in zip(short, self.encode_pieces([data[i] for i in short]), strict=True):
-            known[new[i]] = ids
-        long = [i for i, x in enumerate(data) if len(x) > SHORT]
-        for i in long:
-            known[new[i]] = self.encode_piece(data[i])
-        for end, pieces, special in parts:
-            out.extend(chain.from_iterable(map(known.__getitem__, pieces)))
-            if special is not None:
-                out.append(special)
-            if end:
-                yield array("i", out)
-                del out[:]
+        size = np.array([len(x) for x in data], dtype=np.int64)
+        short, long = np.flatnonzero(size <= SHORT).tolist(), np.flatnonzero(size > SHORT).tolist()
+        ids, counts = self.encode_together([data[i] for i in short])
+        self.kept, self.kept_sizes = np.concatenate([self.kept, ids]), np.concatenate([self.kept_sizes, counts])
+        known.kept = old + len(short)
+        if not long:
+            return numbers, self.kept, self.kept_sizes
         for i in long:
             del known[new[i]]
+        known.update((new[i], old + n) for n, i in enumerate(short))
+        place = np.arange(old + len(new))
+        place[old + np.array([*short, *long])] = np.arange(old, old + len(new))
+        more = [np.array(self.encode_piece(data[i]), dtype=np.int32) for i in long]
+        return place[numbers], np.concatenate([self.kept, *more]), np.concatenate([self.kept_sizes, [len(x) for x in more]])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -408,11 +494,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(key, shared)
         for batch in chunks(batches):
-            ids, offsets = array("i"), [0]
-            for made in encoder.ids([text or "" for text in batch.column("text").to_pylist()]):
-                ids += made
-                offsets.append(len(ids))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(ids, dtype=np.int32) if ids else [], pa.int32()))
+            made = [*encoder.ids([text or "" for text in batch.column("text").to_pylist()])]
+            offsets = np.concatenate([[0], np.cumsum([len(ids) for ids in made])])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(made) if made else [], pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")

@@ -3,8 +3,10 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from tokenizers import Tokenizer
 
 from marketspark.llm import bpe, queries
@@ -51,6 +53,36 @@ def test_both_ways_to_encode_a_piece(vocabulary):
     assert [encoder.encode_piece(x) for x in pieces] == encoder.encode_pieces(pieces)
 
 
+def test_where_pieces_begin(vocabulary):
+    """Many texts at once as the format's expression cuts them one by one, blanks and contractions at all ends included."""
+    form = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+    rng = random.Random(4)
+    texts = ["".join(rng.choices(["'", "s", "re", "l", "v", "e", "d", " ", "\n", "1", "-", "é"], k=rng.randrange(9))) for _ in range(20_000)] + odd_texts(2000, 9)
+    shown = [x.translate(vocabulary.odd) for x in texts]
+    points = np.array([ord(c) for x in texts for c in x], dtype=np.uint32)
+    want, at = [], 0
+    for x in shown:
+        want += [at + m.start() for m in form.finditer(x)]
+        at += len(x)
+    sizes = np.array([len(x) for x in texts if x])
+    assert bpe.piece_starts(points, sizes, vocabulary.classes).tolist() == want
+    assert bpe.piece_starts(points[:0], sizes[:0], vocabulary.classes).tolist() == []
+
+
+def test_long_pieces_are_not_remembered(vocabulary, library):
+    """Ids stay right when short and long pieces are new together, and each new short piece is encoded once."""
+    encoder = bpe.Encoder(vocabulary)
+    long = ["z" * 70, "qx" * 50]
+    seen, together = [], encoder.encode_together
+    encoder.encode_together = lambda pieces: seen.extend(pieces) or together(pieces)
+    texts = [f"one {long[0]} two{long[1]}", f"two one {long[1]}<|endoftext|>", "three one", f"<|endoftext|>{long[0]} two", ""]
+    for _ in range(3):
+        assert [x.tolist() for t in texts for x in encoder.ids([t])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in encoder.ids(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sorted(seen) == [b" one", b" two", b"one", b"three", b"two"]
+    assert sorted(encoder.known) == [" one", " two", "one", "three", "two"]
+
+
 def test_bounded_memory(vocabulary, library, monkeypatch):
     monkeypatch.setattr(bpe, "KEPT_PIECES", 5)
     monkeypatch.setattr(bpe, "PAIR_SLOTS", 4)
